@@ -38,6 +38,8 @@ from ..spec import ALPHA, WEIGHTS, LogContext, Schema, Step, dest_kinds
 
 SEQ = "_seq"
 LONG_SCHEMA = "axis string, check string, entity string, step int, kind string, a double, b double, c double, d double, e double"
+ENTITY_CHECKS = ("v_cov_recall", "v_cov_false_pos", "v_cov_part_recall", "v_cov_part_false_pos", "v_fid_base",
+                 "v_fid_merge", "v_fid_partition", "v_fid_unmapped_left", "v_rel_refs", "v_str_jaccard")
 AXES = ("coverage", "field_fidelity", "relationship_integrity", "type_correctness", "structural")
 
 
@@ -45,7 +47,7 @@ def _f(c: Column) -> Column:
     return c.cast("double")
 
 
-def _cnt(cond: Column) -> Column:
+def _cntx(cond: Column) -> Column:
     return _f(F.count_if(cond))
 
 
@@ -72,7 +74,8 @@ class Verifier:
 
     def __init__(self, schema: Schema, log: Sequence[Step], source: Mapping[str, DataFrame],
                  dest: Mapping[str, DataFrame], null_present: Mapping[str, Iterable[str]] | None = None,
-                 dedupe: bool = True):
+                 dedupe: bool = True, only: Iterable[str] | None = None):
+        self.only = set(only) if only is not None else None
         self.schema = schema
         self.log = tuple(log)
         self.ctx = LogContext(schema, self.log)
@@ -84,10 +87,16 @@ class Verifier:
         any_df = next(iter(self.source.values()), None) or next(iter(self.dest.values()), None)
         self.spark: SparkSession = any_df.sparkSession if any_df is not None else SparkSession.active()
         self._parts: list[DataFrame] = []
+        self._pending: dict[int, tuple[DataFrame, list]] = {}
+        self._const: list[tuple] = []
         self._ref_cands: list[DataFrame] = []
         self._targets: set[str] = set()
+        self._raw: DataFrame | None = None
 
     # -- helpers ------------------------------------------------------------
+    def wants(self, *checks: str) -> bool:
+        return self.only is None or any(c in self.only for c in checks)
+
     def _np_dest(self, table: str) -> set[str]:
         return self.ctx.null_present(table) | self.user_np.get(table, set())
 
@@ -130,20 +139,47 @@ class Verifier:
 
     def _row(self, base: DataFrame | None, axis: str, check: str, entity: str, step: int | None, kind: str,
              **vals: Column) -> None:
-        """Emit one check row from an aggregate over ``base`` (or constants when base is None)."""
-        cols = {x: vals.get(x, F.lit(0.0)) for x in "abcde"}
-        meta = [F.lit(axis).alias("axis"), F.lit(check).alias("check"), F.lit(entity).alias("entity"),
-                F.lit(step).cast("int").alias("step"), F.lit(kind).alias("kind")]
+        """Queue one check row: aggregates ``vals`` over ``base`` (constants when base is None).
+
+        Rows queued on the same frame are computed by one aggregate (one scan) in ``_flush``.
+        """
+        if not self.wants(check):
+            return
+        meta = (axis, check, entity, step, kind)
         if base is None:
-            self._emit(self.spark.range(1).select(*meta, *[v.alias(k) for k, v in cols.items()]))
-        else:
-            self._emit(base.agg(*[v.alias(k) for k, v in cols.items()]).select(*meta, *list("abcde")))
+            self._const.append(meta)
+            return
+        key = id(base)
+        if key not in self._pending:
+            self._pending[key] = (base, [])
+        self._pending[key][1].append((meta, vals))
+
+    def _flush(self) -> None:
+        for base, rows in self._pending.values():
+            aggs, structs = [], []
+            for i, (meta, vals) in enumerate(rows):
+                fields = [F.lit(meta[0]).alias("axis"), F.lit(meta[1]).alias("check"), F.lit(meta[2]).alias("entity"),
+                          F.lit(meta[3]).cast("int").alias("step"), F.lit(meta[4]).alias("kind")]
+                for x in "abcde":
+                    if x in vals:
+                        aggs.append(vals[x].cast("double").alias(f"__m{i}{x}"))
+                        fields.append(F.col(f"__m{i}{x}").alias(x))
+                    else:
+                        fields.append(F.lit(0.0).alias(x))
+                structs.append(F.struct(*fields))
+            agg = base.agg(*aggs) if aggs else base.limit(1).select(F.lit(1).alias("__one"))
+            self._emit(agg.select(F.explode(F.array(*structs)).alias("r")).select("r.*"))
+        self._pending = {}
+        if self._const:
+            rows = [(a, c, e, st, k, 0.0, 0.0, 0.0, 0.0, 0.0) for a, c, e, st, k in self._const]
+            self._parts.append(self.spark.createDataFrame(rows, LONG_SCHEMA))
+            self._const = []
 
     def _count_row(self, df: DataFrame | None, axis: str, check: str, entity: str, step: int | None, kind: str,
                    slot: str) -> None:
         if df is None:
             return
-        self._row(df, axis, check, entity, step, kind, **{slot: _f(F.count(F.lit(1)))})
+        self._row(df, axis, check, entity, step, kind, **{slot: F.count(F.lit(1))})
 
     def _present(self, cols: Sequence[str], name: str, prefixed: str, np_: set[str], flag: Column) -> Column:
         """Presence of a column value on one side of a join."""
@@ -154,18 +190,42 @@ class Verifier:
         return flag & F.col(prefixed).isNotNull()
 
     # -- located join --------------------------------------------------------
-    def _located(self, entity: str):
-        """Expected rows of ``entity`` joined with the dest rows they should land in.
+    def _dest_union(self, tables: Sequence[str]) -> tuple[DataFrame, dict[str, list[tuple[str, T.DataType]]]]:
+        """Union of sub-tables tagged with ``__mg_sub``.
 
-        Returns (joined frame, expected columns, dest columns, dest tables, is_partition).
+        A column typed differently in two sub-tables is kept as one column per type (so a
+        text value is never silently cast to a number by the union).
         """
+        frames = [(t, self._dest_norm(t)) for t in tables]
+        types: dict[str, list[T.DataType]] = {}
+        for _, fr in frames:
+            for f in fr.schema.fields:
+                lst = types.setdefault(f.name, [])
+                if f.dataType not in lst:
+                    lst.append(f.dataType)
+        variants: dict[str, list[tuple[str, T.DataType]]] = {}
+        for c, lst in types.items():
+            variants[c] = [(c, lst[0])] if len(lst) == 1 or c == "id" else \
+                [(f"{c}__mgt{k}", dt) for k, dt in enumerate(lst)]
+        out = []
+        for t, fr in frames:
+            cols = [F.lit(t).alias("__mg_sub")]
+            for c, vs in variants.items():
+                for phys, dt in vs:
+                    have = c in fr.columns and (len(vs) == 1 or fr.schema[c].dataType == dt)
+                    cols.append((F.col(f"`{c}`").cast(dt) if have else F.lit(None).cast(dt)).alias(phys))
+            out.append(fr.select(*cols))
+        return reduce(lambda a, b: a.union(b), out), variants
+
+    def _located(self, entity: str):
+        """Expected rows of ``entity`` full-outer-joined with the dest rows they should land in."""
         ctx = self.ctx
         src = self._src(entity)
         refs = self.schema.refs(entity)
         # raw ref values come straight from the source row
         raw = {f"__mg_raw{i}": fname for i, (fname, _) in enumerate(refs) if fname in src.columns}
         x = expected_frame(src.select(*[F.col(f"`{c}`") for c in src.columns],
-                                      *[F.col(f).alias(r) for r, f in raw.items()]), entity, self.log)
+                                      *[F.col(f"`{f}`").alias(r) for r, f in raw.items()]), entity, self.log)
         part = ctx.partition_of.get(entity)
         if entity in ctx.merge_parents:
             tables = [ctx.merge_parents[entity]]
@@ -176,139 +236,120 @@ class Verifier:
         if part is not None:
             from ..operators.transforms import route_column
             x = x.withColumn("__mg_sub", route_column(x, part.on_field, part.as_dict))
-            frames = [self._dest_norm(t).withColumn("__mg_sub", F.lit(t)) for t in tables]
-            d = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+            d, variants = self._dest_union(tables)
             d = self._dedup(d, ["__mg_sub", "id"])
-            keys = ["__mg_sub", "id"]
         else:
             d = self._dedup(self._dest_norm(tables[0]), ["id"])
-            keys = ["id"]
-        xcols = [c for c in x.columns if not c.startswith("__mg_")]
-        dcols = [c for c in d.columns if not c.startswith("__mg_")]
-        xs = x.select(*[F.col(f"`{c}`").alias(f"x__{c}") for c in x.columns if c != "__mg_sub"],
-                      *([F.col("__mg_sub").alias("x____mg_sub")] if part is not None else []),
-                      F.lit(True).alias("__x"))
-        ds = d.select(*[F.col(f"`{c}`").alias(f"d__{c}") for c in d.columns if c != "__mg_sub"],
-                      *([F.col("__mg_sub").alias("d____mg_sub")] if part is not None else []),
-                      F.lit(True).alias("__d"))
+            variants = {f.name: [(f.name, f.dataType)] for f in d.schema.fields}
+        xs = x.select(*[F.col(f"`{c}`").alias(f"x__{c}") for c in x.columns], F.lit(True).alias("__x"))
+        ds = d.select(*[F.col(f"`{c}`").alias(f"d__{c}") for c in d.columns], F.lit(True).alias("__d"))
         cond = xs["x__id"] == ds["d__id"]
         if part is not None:
             cond = cond & (xs["x____mg_sub"] == ds["d____mg_sub"])
         j = xs.join(ds, cond, "full_outer")
-        j = j.withColumn("__x", F.coalesce(F.col("__x"), F.lit(False))).withColumn(
-            "__d", F.coalesce(F.col("__d"), F.lit(False)))
-        if part is not None:
-            j = j.withColumn("__sub", F.coalesce(F.col("x____mg_sub"), F.col("d____mg_sub")))
-        return j, x, d, xcols, dcols, tables, part, raw, keys
+        dvars = {c: [(f"d__{p}", dt) for p, dt in vs] for c, vs in variants.items() if not c.startswith("__mg_")}
+        return j, x, dvars, tables, part, raw
+
+    @staticmethod
+    def _dpresent(dvars, name: str, np_: set[str], flag: Column) -> Column:
+        if name not in dvars:
+            return F.lit(False)
+        if name in np_:
+            return flag
+        return flag & reduce(lambda a, b: a | b, [F.col(p).isNotNull() for p, _ in dvars[name]])
+
+    @staticmethod
+    def _deq(dvars, name: str, xv: Column, xt: T.DataType) -> Column:
+        if name not in dvars:
+            return values_equal(F.lit(None), T.NullType(), xv, xt)
+        vs = dvars[name]
+        if len(vs) == 1:
+            return values_equal(F.col(vs[0][0]), vs[0][1], xv, xt)
+        any_nn = reduce(lambda a, b: a | b, [F.col(p).isNotNull() for p, _ in vs])
+        eqs = reduce(lambda a, b: a | b, [F.col(p).isNotNull() & values_equal(F.col(p), dt, xv, xt) for p, dt in vs])
+        return F.when(any_nn, eqs).otherwise(xv.isNull())
 
     def _entity_checks(self, entity: str) -> None:
         ctx = self.ctx
-        if self._src(entity) is None:
+        if self._src(entity) is None or not self.wants(*ENTITY_CHECKS):
             return
-        j, x, d, xcols, dcols, tables, part, raw, _ = self._located(entity)
-        X, D = F.col("__x"), F.col("__d")
-        both = X & D
+        j, x, dvars, tables, part, raw = self._located(entity)
+        X = F.coalesce(F.col("__x"), F.lit(False))
+        D = F.coalesce(F.col("__d"), F.lit(False))
+        xcols = [c for c in x.columns if not c.startswith("__mg_")]
         np_x = self._np_expected(entity)
         np_d = set().union(*[self._np_dest(t) for t in tables])
         is_merge_parent = entity in ctx.merge_parents
         is_base = entity not in ctx.removed
-        aggs: dict[str, Column] = {}
-
-        # coverage
-        if is_base:
-            aggs["rec_t"] = _cnt(X)
-            aggs["rec_h"] = _cnt(both)
-            aggs["fp"] = _cnt(D & ~X)
-        elif part is not None:
-            aggs["rec_t"] = _cnt(X)
-            aggs["rec_h"] = _cnt(both)
-            aggs["fp"] = _cnt(D & ~X)
-
-        # fidelity: expected fields present on both sides
-        fid_scope = X if part is None else X & F.col("x____mg_sub").isNotNull()
+        i1 = lambda c: F.when(c, 1).otherwise(0)
+        per: dict[str, Column] = {}
+
+        if is_base or part is not None:
+            per["rec_t"] = i1(X)
+            per["rec_h"] = i1(X & D)
+            per["fp"] = i1(D & ~X)
+        scope = X if part is None else X & F.col("x____mg_sub").isNotNull()
         if is_base or is_merge_parent or part is not None:
             fields = [c for c in xcols if not (part is not None and c == part.on_field)]
-            miss = _cnt(fid_scope & ~D)
-            tot_terms, hit_terms = [miss], []
+            tot, hit = [i1(scope & ~D)], [F.lit(0)]
             for fcol in fields:
-                px = self._present(xcols, fcol, f"x__{fcol}", np_x, F.lit(True))
-                pd_ = self._present(dcols, fcol, f"d__{fcol}", np_d, F.lit(True))
-                cond = fid_scope & D & px & pd_
-                tot_terms.append(_cnt(cond))
-                if fcol in dcols:
-                    eq = values_equal(F.col(f"x__{fcol}"), x.schema[fcol].dataType,
-                                      F.col(f"d__{fcol}"), d.schema[fcol].dataType)
-                    hit_terms.append(_cnt(cond & eq))
-            aggs["fid_t"] = reduce(lambda a, b: a + b, tot_terms)
-            aggs["fid_h"] = reduce(lambda a, b: a + b, hit_terms) if hit_terms else F.lit(0.0)
-            if is_base:
-                left = [_cnt(X & D & self._present(dcols, u, f"d__{u}", np_d, F.lit(True)))
-                        for u in ctx.unmapped_fields(entity)]
-                aggs["unm_t"] = reduce(lambda a, b: a + b, left) if left else F.lit(0.0)
-
-        # relationship: per ref, row / column absence are misses; candidates go to the id join
-        refs = self.schema.refs(entity) if entity not in ctx.merge_children else []
+                px = F.lit(True) if fcol in np_x else F.col(f"x__{fcol}").isNotNull()
+                both = scope & D & px & self._dpresent(dvars, fcol, np_d, F.lit(True))
+                tot.append(i1(both))
+                if fcol in dvars:
+                    hit.append(i1(both & self._deq(dvars, fcol, F.col(f"x__{fcol}"), x.schema[fcol].dataType)))
+            per["fid_t"] = reduce(lambda a, b: a + b, tot)
+            per["fid_h"] = reduce(lambda a, b: a + b, hit)
+            if is_base and ctx.unmapped_fields(entity):
+                per["unm_t"] = reduce(lambda a, b: a + b, [
+                    i1(X & D & self._dpresent(dvars, u, np_d, F.lit(True))) for u in ctx.unmapped_fields(entity)])
+
+        refs = self.schema.refs(entity)
         cands = []
         if refs:
-            located = X & D
-            rel_t = []
+            per["rel_t"] = i1(X) * F.lit(len(refs))
             for i, (fname, target) in enumerate(refs):
                 dname = ctx.dest_field_name(entity, fname)
-                pd_ = self._present(dcols, dname, f"d__{dname}", np_d, F.lit(True))
-                rel_t.append(_cnt(X))
-                if f"__mg_raw{i}" in raw and dname in dcols:
-                    eq = values_equal(F.col(f"d__{dname}"), d.schema[dname].dataType,
-                                      F.col(f"x____mg_raw{i}"), x.schema[f"__mg_raw{i}"].dataType)
-                    ok = located & pd_ & eq
-                    cands.append(F.when(ok, F.struct(F.lit(fname).alias("ref"), F.lit(target).alias("target"),
-                                                     F.col(f"x____mg_raw{i}").cast("bigint").alias("value"))))
                 self._targets.add(target)
-            aggs["rel_t"] = reduce(lambda a, b: a + b, rel_t)
-
-        if not aggs:
-            return
-        agg = j.agg(*[v.alias(k) for k, v in aggs.items()])
-        meta = lambda axis, check, kind: [F.lit(axis).alias("axis"), F.lit(check).alias("check"),
-                                         F.lit(entity).alias("entity"), F.lit(None).cast("int").alias("step"),
-                                         F.lit(kind).alias("kind")]
-        if "rec_t" in aggs:
-            rc = "v_cov_recall" if part is None else "v_cov_part_recall"
-            fc = "v_cov_false_pos" if part is None else "v_cov_part_false_pos"
-            self._emit(agg.select(*meta("coverage", rc, "ratio"), F.col("rec_h").alias("a"),
-                                  F.col("rec_t").alias("b"), *[F.lit(0.0).alias(z) for z in "cde"]))
-            self._emit(agg.select(*meta("coverage", fc, "ratio"), F.lit(0.0).alias("a"),
-                                  F.col("fp").alias("b"), *[F.lit(0.0).alias(z) for z in "cde"]))
-        if "fid_t" in aggs:
-            fc = "v_fid_base" if is_base else ("v_fid_merge" if is_merge_parent else "v_fid_partition")
-            self._emit(agg.select(*meta("field_fidelity", fc, "ratio"), F.col("fid_h").alias("a"),
-                                  F.col("fid_t").alias("b"), *[F.lit(0.0).alias(z) for z in "cde"]))
-        if "unm_t" in aggs and ctx.unmapped_fields(entity):
-            self._emit(agg.select(*meta("field_fidelity", "v_fid_unmapped_left", "ratio"), F.lit(0.0).alias("a"),
-                                  F.col("unm_t").alias("b"), *[F.lit(0.0).alias(z) for z in "cde"]))
-        if "rel_t" in aggs:
-            self._emit(agg.select(*meta("relationship_integrity", "v_rel_refs", "ratio"), F.lit(0.0).alias("a"),
-                                  F.col("rel_t").alias("b"), *[F.lit(0.0).alias(z) for z in "cde"]))
+                if f"__mg_raw{i}" in raw and dname in dvars:
+                    rawc = F.col(f"x____mg_raw{i}")
+                    ok = X & D & self._dpresent(dvars, dname, np_d, F.lit(True)) & self._deq(
+                        dvars, dname, rawc, x.schema[f"__mg_raw{i}"].dataType)
+                    cands.append(F.when(ok, F.struct(F.lit(target).alias("target"),
+                                                     rawc.cast("bigint").alias("value"))))
+        if part is not None:
+            sub = F.coalesce(F.col("x____mg_sub"), F.col("d____mg_sub"))
+            for s_ in part.subs:
+                at = sub == s_
+                per[f"j_a_{s_}"] = i1(X & D & at)
+                per[f"j_b_{s_}"] = i1((X & at) | (D & ~X & at))
+                per[f"j_c_{s_}"] = i1(X & at)
+                per[f"j_d_{s_}"] = i1(D & at)
+        if per:
+            jr = j.select(*[v.alias(k) for k, v in per.items()])
+            S = lambda k: F.coalesce(F.sum(k), F.lit(0))
+            if "rec_t" in per:
+                rc = "v_cov_recall" if part is None else "v_cov_part_recall"
+                fc = "v_cov_false_pos" if part is None else "v_cov_part_false_pos"
+                self._row(jr, "coverage", rc, entity, None, "ratio", a=S("rec_h"), b=S("rec_t"))
+                self._row(jr, "coverage", fc, entity, None, "ratio", b=S("fp"))
+            if "fid_t" in per:
+                fc = "v_fid_base" if is_base else ("v_fid_merge" if is_merge_parent else "v_fid_partition")
+                self._row(jr, "field_fidelity", fc, entity, None, "ratio", a=S("fid_h"), b=S("fid_t"))
+            if "unm_t" in per:
+                self._row(jr, "field_fidelity", "v_fid_unmapped_left", entity, None, "ratio", b=S("unm_t"))
+            if "rel_t" in per:
+                self._row(jr, "relationship_integrity", "v_rel_refs", entity, None, "ratio", b=S("rel_t"))
+            if part is not None:
+                step = self.log.index(part)
+                for s_ in part.subs:
+                    self._row(jr, "structural", "v_str_jaccard", s_, step, "jaccard", a=S(f"j_a_{s_}"),
+                              b=S(f"j_b_{s_}"), c=S(f"j_c_{s_}"), d=S(f"j_d_{s_}"))
         if cands:
             c = j.select(F.explode(F.array(*cands)).alias("c")).filter(F.col("c").isNotNull())
             c = c.groupBy(F.col("c.target").alias("target"), F.col("c.value").alias("value")).agg(
                 F.count(F.lit(1)).alias("n"))
             self._ref_cands.append(c.withColumn("entity", F.lit(entity)))
-        if part is not None:
-            self._jaccard(j, entity, part)
-
-    def _jaccard(self, j: DataFrame, entity: str, part) -> None:
-        step = self.log.index(part)
-        sub = F.col("__sub")
-        for s in part.subs:
-            at = sub == s
-            self._emit(j.agg(
-                _cnt(F.col("__x") & F.col("__d") & at).alias("a"),
-                _cnt((F.col("__x") & at) | (F.col("__d") & ~F.col("__x") & at)).alias("b"),
-                _cnt(F.col("__x") & at).alias("c"),
-                _cnt(F.col("__d") & at).alias("d"),
-            ).select(F.lit("structural").alias("axis"), F.lit("v_str_jaccard").alias("check"),
-                     F.lit(s).alias("entity"), F.lit(step).alias("step"), F.lit("jaccard").alias("kind"),
-                     "a", "b", "c", "d", F.lit(0.0).alias("e")))
 
     # -- target ids ----------------------------------------------------------
     def target_ids(self, targets: Iterable[str]) -> DataFrame:
@@ -324,6 +365,8 @@ class Verifier:
 
     def _link_valid(self, rows: DataFrame, link: str, target: str, check: str, entity: str, step: int) -> None:
         """+1 per row, hit when the link value is an id of ``target`` (pre-aggregated by value)."""
+        if not self.wants(check):
+            return
         if link in rows.columns:
             vals = rows.select(norm_id(F.col(link), rows.schema[link].dataType).alias("value"))
         else:
@@ -390,7 +433,7 @@ class Verifier:
 
     def _split_fidelity(self, s, i: int) -> None:
         src = self._src(s.from_)
-        if src is None:
+        if src is None or not self.wants("v_fid_split"):
             return
         moved = [m for m in s.moved_fields if m in self.kinds.get(s.detail, {})]
         post = expected_frame(src, s.from_, self.log, split_drop=False)
@@ -416,7 +459,7 @@ class Verifier:
                 pd_ = self._present(det.columns, m, f"d__{m}", np_d, D)
                 xv = F.col(f"x__{m}") if m in post.columns else F.lit(None)
                 xt = post.schema[m].dataType if m in post.columns else T.NullType()
-                hits.append(_cnt(pd_ & values_equal(F.col(f"d__{m}"), det.schema[m].dataType, xv, xt)))
+                hits.append(_cntx(pd_ & values_equal(F.col(f"d__{m}"), det.schema[m].dataType, xv, xt)))
         self._row(j, "field_fidelity", "v_fid_split", s.detail, i, "ratio",
                   a=reduce(lambda a, b: a + b, hits), b=_f(F.count(F.lit(1)) * F.lit(n_moved)))
 
@@ -439,7 +482,7 @@ class Verifier:
         self._link_valid(new if new is not None else self._empty_ids().select(F.col("id").alias(s.link_field)),
                          s.link_field, s.entity, "v_rel_extract_link", s.new_entity, i)
         # fidelity by position
-        if src is None:
+        if src is None or not self.wants("v_fid_extract", "v_fid_extract_extra"):
             return
         bfs = list(self.schema.blocks.get(s.block, {}))
         if has_arr:
@@ -474,7 +517,7 @@ class Verifier:
             for b in bfs:
                 dv = F.col(f"d__{b}") if b in keep else F.lit(None)
                 dt = dtypes.get(b, T.NullType())
-                hits.append(_cnt(D & values_equal(dv, dt, F.col(f"x__{b}"), xtypes[b])))
+                hits.append(_cntx(D & values_equal(dv, dt, F.col(f"x__{b}"), xtypes[b])))
             self._row(j, "field_fidelity", "v_fid_extract", s.new_entity, i, "ratio",
                       a=reduce(lambda a, b: a + b, hits), b=_f(F.count(F.lit(1)) * F.lit(len(bfs))))
         # surplus rows per known parent
@@ -488,7 +531,7 @@ class Verifier:
     def _share(self, frames: Sequence[DataFrame], cond_for, check: str, entity: str, i: int, kind: str,
                num: str = "a", den: str = "b") -> None:
         for fr in frames:
-            self._row(fr, "structural", check, entity, i, kind, **{num: _cnt(cond_for(fr)), den: _f(F.count(F.lit(1)))})
+            self._row(fr, "structural", check, entity, i, kind, **{num: _cntx(cond_for(fr)), den: _f(F.count(F.lit(1)))})
 
     def _flatten_check(self, s, i: int) -> None:
         ctx = self.ctx
@@ -543,13 +586,13 @@ class Verifier:
         for k, (_, dfield) in enumerate(s.inlined):
             if dst is not None:
                 self._row(dst, "structural", "v_str_denorm", f"{ent}.{dfield}", i, "share",
-                          a=_cnt(self._present(dst.columns, dfield, dfield, np_, F.lit(True))),
+                          a=_cntx(self._present(dst.columns, dfield, dfield, np_, F.lit(True))),
                           b=_f(F.count(F.lit(1))))
             else:
                 self._row(None, "structural", "v_str_denorm", f"{ent}.{dfield}", i, "share")
         # fidelity: dest value equals a fresh lookup in the original source
         src, frm = self._src(ent), self._src(s.from_entity)
-        if src is None or dst is None:
+        if src is None or dst is None or not self.wants("v_fid_denorm"):
             return
         via = self.ctx.via_source_name(ent, s.via_field)
         d1 = self._dedup(self._dest_norm(ent), ["id"])
@@ -572,11 +615,13 @@ class Verifier:
             dt = d1.schema[dfield].dataType if dfield in dcols else T.NullType()
             fv = F.col(f"f__{sf}") if sf in ftypes else F.lit(None)
             ft = ftypes.get(sf, T.NullType())
-            hits.append(_cnt(values_equal(dv, dt, fv, ft)))
+            hits.append(_cntx(values_equal(dv, dt, fv, ft)))
         self._row(j, "field_fidelity", "v_fid_denorm", ent, i, "ratio",
                   a=reduce(lambda a, b: a + b, hits), b=_f(F.count(F.lit(1)) * F.lit(len(s.inlined))))
 
     def _computed_check(self, s, i: int) -> None:
+        if not self.wants("v_str_computed"):
+            return
         ent = s.entity
         dst = self.dest.get(ent)
         src = self._src(ent)
@@ -597,10 +642,12 @@ class Verifier:
         pd_ = self._present(dn.columns, s.dest_field, "__dv", np_, F.lit(True))
         dt = dn.schema[s.dest_field].dataType if has else T.NullType()
         self._row(j, "structural", "v_str_computed", ent, i, "computed",
-                  a=_cnt(matched & pd_ & values_equal(F.col("__dv"), dt, F.col("__xv"), xt)),
-                  b=_cnt(matched), c=_f(F.count(F.lit(1))))
+                  a=_cntx(matched & pd_ & values_equal(F.col("__dv"), dt, F.col("__xv"), xt)),
+                  b=_cntx(matched), c=_f(F.count(F.lit(1))))
 
     def _type_checks(self) -> None:
+        if not self.wants("v_type"):
+            return
         for table, kmap in self.kinds.items():
             df = self.dest.get(table)
             if df is None:
@@ -611,13 +658,13 @@ class Verifier:
                 if kind == "nested" or fcol not in df.columns:
                     continue
                 p = self._present(df.columns, fcol, fcol, np_, F.lit(True))
-                tot.append(_cnt(p))
-                hit.append(_cnt(p & kind_valid(F.col(f"`{fcol}`"), df.schema[fcol].dataType, kind)))
+                tot.append(_cntx(p))
+                hit.append(_cntx(p & kind_valid(F.col(f"`{fcol}`"), df.schema[fcol].dataType, kind)))
             self._row(df, "type_correctness", "v_type", table, None, "ratio",
                       a=reduce(lambda a, b: a + b, hit), b=reduce(lambda a, b: a + b, tot))
 
     def _ref_hits(self) -> None:
-        if not self._ref_cands:
+        if not self._ref_cands or not self.wants("v_rel_refs"):
             return
         cands = reduce(lambda a, b: a.unionByName(b), self._ref_cands)
         ids = self.target_ids(self._targets).select(F.col("target").alias("__t"), F.col("id").alias("__tid"))
@@ -630,7 +677,7 @@ class Verifier:
 
     # -- public ------------------------------------------------------------------
     def raw_parts(self) -> DataFrame:
-        if not self._parts:
+        if self._raw is None:
             for ename in self.schema.entities:
                 if ename in self.ctx.merge_children:
                     continue
@@ -638,8 +685,9 @@ class Verifier:
             self._step_checks()
             self._type_checks()
             self._ref_hits()
-        return reduce(lambda a, b: a.unionByName(b), self._parts) if self._parts else \
-            self.spark.createDataFrame([], LONG_SCHEMA)
+            self._flush()
+            self._raw = union_all(self.spark, self._parts, LONG_SCHEMA)
+        return self._raw
 
     def checks(self) -> DataFrame:
         """Long table ``(axis, check, entity, step, hits, total)``, one row per check item."""
@@ -664,6 +712,25 @@ class Verifier:
         return score_report(self.checks(), self.ctx.has_structural)
 
 
+_VIEW_SEQ = [0]
+
+
+def union_all(spark: SparkSession, parts: Sequence[DataFrame], empty_schema: str) -> DataFrame:
+    """UNION ALL of many same-shaped frames, analysed once (a chain of binary unions is
+    re-analysed at every step)."""
+    if not parts:
+        return spark.createDataFrame([], empty_schema)
+    if len(parts) == 1:
+        return parts[0]
+    names = []
+    for p in parts:
+        _VIEW_SEQ[0] += 1
+        name = f"__mg_part_{_VIEW_SEQ[0]}"
+        p.createOrReplaceTempView(name)
+        names.append(name)
+    return spark.sql(" UNION ALL ".join(f"SELECT * FROM {n}" for n in names))
+
+
 def score_report(checks: DataFrame, has_structural: bool) -> DataFrame:
     """V6: one row with the axis ratios (empty axis -> 1.0) and the 0-100 total."""
     sums = checks.groupBy().agg(*[
