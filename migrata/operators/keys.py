@@ -153,5 +153,5 @@ def dense_id_nested(
 ) -> DataFrame:
     """K2: explode an array and number the items 1..n by (parent key, position)."""
     exploded = df.select(*[F.col(c) for c in [parent_key, *keep]],
-                         F.posexplode(F.col(array_col)).alias("__mg_pos", "__mg_item"))
-    return rank_within(exploded, [], [parent_key, "__mg_pos"], name, **kw)
+                         F.posexplode(F.col(array_col)).alias("pos", "item"))
+    return rank_within(exploded, [], [parent_key, "pos"], name, **kw)
