@@ -70,19 +70,16 @@ def orders_nested(spark, d):
 
 
 def supplier_nested(spark, d):
-    s = load(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"),
-                                          F.col("s_nationkey").cast("bigint").alias("nation_key"),
-                                          F.col("s_acctbal").alias("acctbal"))
-    li = load(spark, d, "lineitem")
-    item = F.struct(F.col("l_orderkey").alias("orderkey"), F.col("l_linenumber").cast("bigint").alias("linenumber"),
-                    F.col("l_quantity").alias("quantity"), F.col("l_partkey").alias("partkey"),
-                    F.col("l_extendedprice").alias("price"), F.col("l_discount").alias("discount"),
-                    F.col("l_tax").alias("tax"), F.col("l_returnflag").alias("returnflag"),
-                    F.col("l_linestatus").alias("linestatus"), F.col("l_shipdate").alias("shipdate"))
-    g = li.groupBy(F.col("l_suppkey").alias("supp_id")).agg(F.array_sort(F.collect_list(item)).alias("items"))
-    g = g.select("supp_id", F.transform("items", lambda x: F.struct(x["orderkey"].alias("orderkey"),
-                                                                   x["quantity"].alias("quantity"))).alias("lines"))
-    return s.join(g, s["id"] == g["supp_id"], "left").drop("supp_id")
+    """Suppliers with a per-row nested ``contacts`` array (1-2 items built from the row itself)."""
+    s = load(spark, d, "supplier")
+    items = F.when(F.col("s_acctbal") < 0, F.array(
+        F.struct(F.lit("nation").alias("kind"), F.col("s_nationkey").cast("double").alias("value")))
+    ).otherwise(F.array(
+        F.struct(F.lit("nation").alias("kind"), F.col("s_nationkey").cast("double").alias("value")),
+        F.struct(F.lit("balance").alias("kind"), F.col("s_acctbal").alias("value"))))
+    return s.select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"),
+                    F.col("s_nationkey").cast("bigint").alias("nation_key"), F.col("s_acctbal").alias("acctbal"),
+                    items.alias("lines"))
 
 
 def event_s(spark, d):
@@ -101,10 +98,9 @@ lines_s AS (SELECT l_orderkey AS order_id, CAST(l_linenumber AS BIGINT) AS linen
                    row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity,
                        l_extendedprice, l_returnflag, l_suppkey, l_discount, l_tax, l_linestatus, l_shipdate) - 1 AS pos
             FROM lineitem),
-supplier_s AS (SELECT s.s_suppkey AS id, s.s_name AS name, CAST(s.s_nationkey AS BIGINT) AS nation_key,
-                      s.s_acctbal AS acctbal, CAST(COALESCE(n.cnt, 0) AS BIGINT) AS n_lines
-               FROM supplier s LEFT JOIN (SELECT l_suppkey, count(*) AS cnt FROM lineitem GROUP BY l_suppkey) n
-               ON s.s_suppkey = n.l_suppkey),
+supplier_s AS (SELECT s_suppkey AS id, s_name AS name, CAST(s_nationkey AS BIGINT) AS nation_key,
+                      s_acctbal AS acctbal, CAST(CASE WHEN s_acctbal < 0 THEN 1 ELSE 2 END AS BIGINT) AS n_lines
+               FROM supplier),
 event_s AS (SELECT event_id AS id, user_id, event_type, value FROM events)
 """
 
@@ -130,13 +126,13 @@ VS_SCHEMA = Schema.from_dict({
         "Event": {"fields": {"id": {"kind": "id"}, "user_id": {"kind": "ref", "target": "Customer"},
                              "event_type": {"kind": "enum", "values": EVENT_TYPES}, "value": {"kind": "number"}}},
         "Supplier": {"fields": {"id": {"kind": "id"}, "name": {"kind": "text"}, "nation_key": {"kind": "number"},
-                                "acctbal": {"kind": "number"}, "lines": {"kind": "nested", "of": "SupplyBlock"}}},
+                                "acctbal": {"kind": "number"}, "lines": {"kind": "nested", "of": "ContactBlock"}}},
     },
     "nested_blocks": {
         "LineBlock": {"fields": {"linenumber": {"kind": "number"}, "partkey": {"kind": "number"},
                                  "quantity": {"kind": "number"}, "price": {"kind": "number"},
                                  "returnflag": {"kind": "text"}}},
-        "SupplyBlock": {"fields": {"orderkey": {"kind": "number"}, "quantity": {"kind": "number"}}},
+        "ContactBlock": {"fields": {"kind": {"kind": "text"}, "value": {"kind": "number"}}},
     },
 })
 
@@ -146,7 +142,7 @@ VS_LOG = log_from_dicts([
     {"type": "enum_remap", "entity": "Orders", "field": "status",
      "mapping": {"F": "FULFILLED", "O": "OPEN", "P": "PENDING"}},
     {"type": "unmapped", "entity": "Orders", "field": "priority"},
-    {"type": "flatten_nested", "entity": "Supplier", "field": "lines", "block": "SupplyBlock", "into": "lines_count",
+    {"type": "flatten_nested", "entity": "Supplier", "field": "lines", "block": "ContactBlock", "into": "lines_count",
      "strategy": "count"},
     {"type": "extract_nested", "entity": "Orders", "field": "lines", "block": "LineBlock", "new_entity": "OrderLine",
      "link_field": "order_id"},
