@@ -99,42 +99,37 @@ def literal_equal(a: Column, at: T.DataType, value: Any) -> Column:
 def _py_float_str(c: Column) -> Column:
     """Python ``repr(float)`` from Spark's shortest-digits double string.
 
-    Spark prints ``1.2345E7`` from 1e7 up and ``1.0E-4`` below 1e-3; Python prints plain
-    digits from 1e-4 up to 1e16 and ``1e+16`` / ``1e-05`` outside.  Rebuild from digits and
-    exponent with built-in string functions.
+    Between 1e-3 and 1e7 both print the same plain digits.  Outside, Spark prints
+    ``1.2345E7`` / ``1.0E-4`` where Python prints plain digits from 1e-4 up to 1e16 and
+    ``1e+16`` / ``1e-05`` beyond; only those rows are rebuilt, from digits and exponent
+    bound once (a one-element ``transform`` acts as a let-binding, so no subexpression
+    is duplicated in the generated code).
     """
     s = c.cast("string")
-    neg = s.startswith("-")
     body = F.regexp_replace(s, "^-", "")
-    has_exp = body.contains("E")
-    mant = F.when(has_exp, F.substring_index(body, "E", 1)).otherwise(body)
-    e = F.when(has_exp, F.substring_index(body, "E", -1)).cast("int")
-    int_part = F.substring_index(mant, ".", 1)
-    frac_part = F.when(mant.contains("."), F.substring_index(mant, ".", -1)).otherwise(F.lit(""))
-    digits = F.regexp_replace(F.concat(int_part, frac_part), "0+$", "")
-    digits = F.when(digits == "", F.lit("0")).otherwise(digits)
-    n = F.length(digits)
-    # exponent form, as Python prints for |x| >= 1e16 or < 1e-4
-    py_mant = F.when(n > 1, F.concat(F.substring(digits, 1, 1), F.lit("."), F.substring(digits, F.lit(2), n)))\
-        .otherwise(digits)
-    py_exp = F.concat(F.when(e < 0, F.lit("-")).otherwise(F.lit("+")), F.lpad(F.abs(e).cast("string"), 2, "0"))
-    exp_form = F.concat(py_mant, F.lit("e"), py_exp)
-    # plain form for 0 <= e < 16: integer digits padded with zeros, then the fraction
-    n_int = e + 1
-    big_int = F.when(n >= n_int, F.substring(digits, F.lit(1), n_int)).otherwise(F.rpad(digits, n_int, "0"))
-    big_frac = F.when(n > n_int, F.substring(digits, n_int + 1, n)).otherwise(F.lit("0"))
-    big_form = F.concat(big_int, F.lit("."), big_frac)
-    # plain form for -4 <= e < 0: 0.000ddd
-    small_form = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), digits)
-    rebuilt = (F.when(~has_exp, body)
-               .when((e >= 16) | (e < -4), exp_form)
-               .when(e >= 0, big_form)
-               .otherwise(small_form))
+    mant = F.substring_index(body, "E", 1)
+    digits = F.regexp_replace(F.regexp_replace(mant, "[.]", ""), "0+$", "")
+    bound = F.struct(s.startswith("-").alias("neg"), digits.alias("d"),
+                     F.substring_index(body, "E", -1).cast("int").alias("e"))
+
+    def build(t: Column) -> Column:
+        d = F.when(t["d"] == "", F.lit("0")).otherwise(t["d"])
+        e, n = t["e"], F.length(F.when(t["d"] == "", F.lit("0")).otherwise(t["d"]))
+        exp_form = F.concat(
+            F.when(n > 1, F.concat(F.substring(d, 1, 1), F.lit("."), F.substring(d, F.lit(2), n))).otherwise(d),
+            F.lit("e"), F.when(e < 0, F.lit("-")).otherwise(F.lit("+")), F.lpad(F.abs(e).cast("string"), 2, "0"))
+        big_form = F.concat(F.when(n >= e + 1, F.substring(d, F.lit(1), e + 1)).otherwise(F.rpad(d, e + 1, "0")),
+                            F.lit("."), F.when(n > e + 1, F.substring(d, e + 2, n)).otherwise(F.lit("0")))
+        small_form = F.concat(F.lit("0."), F.repeat(F.lit("0"), -e - 1), d)
+        rebuilt = F.when((e >= 16) | (e < -4), exp_form).when(e >= 0, big_form).otherwise(small_form)
+        return F.concat(F.when(t["neg"], F.lit("-")).otherwise(F.lit("")), rebuilt)
+
     return (F.when(c.isNull(), F.lit(None).cast("string"))
             .when(F.isnan(c), F.lit("nan"))
             .when(c == F.lit(float("inf")), F.lit("inf"))
             .when(c == F.lit(float("-inf")), F.lit("-inf"))
-            .otherwise(F.concat(F.when(neg, F.lit("-")).otherwise(F.lit("")), rebuilt)))
+            .when(~s.contains("E"), s)
+            .otherwise(F.element_at(F.transform(F.array(bound), build), 1)))
 
 
 def py_str(c: Column, dt: T.DataType) -> Column:

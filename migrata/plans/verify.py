@@ -92,6 +92,8 @@ class Verifier:
         self._ref_cands: list[DataFrame] = []
         self._targets: set[str] = set()
         self._raw: DataFrame | None = None
+        self._memo_norm: dict[str, DataFrame] = {}
+        self._memo_x: dict[tuple, DataFrame] = {}
 
     # -- helpers ------------------------------------------------------------
     def wants(self, *checks: str) -> bool:
@@ -112,6 +114,19 @@ class Verifier:
 
     def _dest_norm(self, table: str) -> DataFrame:
         """Dest table with a BIGINT-normalised ``id`` (absent table -> no rows, id only)."""
+        if table in self._memo_norm:
+            return self._memo_norm[table]
+        out = self._dest_norm_build(table)
+        self._memo_norm[table] = out
+        return out
+
+    def _expected(self, entity: str, split_drop: bool = True) -> DataFrame:
+        key = (entity, split_drop)
+        if key not in self._memo_x:
+            self._memo_x[key] = expected_frame(self._src(entity), entity, self.log, split_drop=split_drop)
+        return self._memo_x[key]
+
+    def _dest_norm_build(self, table: str) -> DataFrame:
         df = self.dest.get(table)
         if df is None:
             return self._empty_ids()
@@ -155,20 +170,22 @@ class Verifier:
         self._pending[key][1].append((meta, vals))
 
     def _flush(self) -> None:
+        def q(v) -> str:
+            return "NULL" if v is None else ("'" + str(v).replace("'", "''") + "'" if isinstance(v, str) else str(v))
         for base, rows in self._pending.values():
             aggs, structs = [], []
             for i, (meta, vals) in enumerate(rows):
-                fields = [F.lit(meta[0]).alias("axis"), F.lit(meta[1]).alias("check"), F.lit(meta[2]).alias("entity"),
-                          F.lit(meta[3]).cast("int").alias("step"), F.lit(meta[4]).alias("kind")]
+                fields = [f"'axis', {q(meta[0])}", f"'check', {q(meta[1])}", f"'entity', {q(meta[2])}",
+                          f"'step', CAST({q(meta[3])} AS INT)", f"'kind', {q(meta[4])}"]
                 for x in "abcde":
                     if x in vals:
                         aggs.append(vals[x].cast("double").alias(f"__m{i}{x}"))
-                        fields.append(F.col(f"__m{i}{x}").alias(x))
+                        fields.append(f"'{x}', __m{i}{x}")
                     else:
-                        fields.append(F.lit(0.0).alias(x))
-                structs.append(F.struct(*fields))
-            agg = base.agg(*aggs) if aggs else base.limit(1).select(F.lit(1).alias("__one"))
-            self._emit(agg.select(F.explode(F.array(*structs)).alias("r")).select("r.*"))
+                        fields.append(f"'{x}', CAST(0.0 AS DOUBLE)")
+                structs.append("named_struct(" + ", ".join(fields) + ")")
+            agg = base.agg(*aggs)
+            self._parts.append(agg.select(F.expr("inline(array(" + ", ".join(structs) + "))")))
         self._pending = {}
         if self._const:
             rows = [(a, c, e, st, k, 0.0, 0.0, 0.0, 0.0, 0.0) for a, c, e, st, k in self._const]
@@ -436,7 +453,7 @@ class Verifier:
         if src is None or not self.wants("v_fid_split"):
             return
         moved = [m for m in s.moved_fields if m in self.kinds.get(s.detail, {})]
-        post = expected_frame(src, s.from_, self.log, split_drop=False)
+        post = self._expected(s.from_, split_drop=False)
         post = post.select("id", *[m for m in moved if m in post.columns])
         n_moved = len(moved)
         if s.detail not in self.dest or s.link_field not in self.dest[s.detail].columns:

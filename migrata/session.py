@@ -12,6 +12,9 @@ import tempfile
 from pyspark.sql import SparkSession
 
 DEFAULTS = {
+    # call-site capture costs several JVM round trips per DataFrame / Column call while plans
+    # are built; the verifier builds plans with thousands of expressions
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
