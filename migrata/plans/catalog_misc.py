@@ -335,8 +335,47 @@ SQL_G_TEXT = ("SELECT 'User' AS table_name, count(*) AS rule_rows, count(*) AS s
               "FROM customer UNION ALL SELECT 'Project', count(*), 0, count(*) FROM orders")
 
 
+# ---------------------------------------------------------------------------
+# streaming
+# ---------------------------------------------------------------------------
+STREAM_LOG = [
+    {"type": "rename", "entity": "Event", "from": "value", "to": "amount"},
+    {"type": "enum_remap", "entity": "Event", "field": "event_type",
+     "mapping": {"click": "Click", "view": "View", "purchase": "Purchase", "signup": "Signup"}},
+    {"type": "computed", "entity": "Event", "operation": "bool_from_enum", "source_field": "event_type",
+     "value": "Purchase", "dest_field": "is_purchase"},
+    {"type": "denormalize", "entity": "Event", "via_field": "user_id", "from_entity": "Customer",
+     "inlined": [{"source_field": "segment", "dest_field": "user_segment"}]},
+]
+STREAM_PART = {"type": "partition", "entity": "Event", "on_field": "event_type",
+               "mapping": {"Click": "ClickEvent", "View": "ViewEvent", "Purchase": "PurchaseEvent"}}
+
+
+def st_event_stream(spark, d):
+    """Events replayed as a stream (micro-batches of files), routed into sub-table folders."""
+    from ..spec import log_from_dicts, step_from_dict
+    from ..streaming import replay_stream, route_stream, run_to_table
+    from .scenario import customer_s
+
+    schema = load(spark, d, "events").schema
+    stream = (spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet")
+              .option("maxFilesPerTrigger", 1).parquet(d)
+              .select(F.col("event_id").alias("id"), "user_id", "event_type", "value"))
+    out = replay_stream(stream, "Event", log_from_dicts(STREAM_LOG), {"Customer": customer_s(spark, d)})
+    routed = route_stream(out, step_from_dict(STREAM_PART)).withColumnRenamed("__mg_sub", "sub")
+    path = scratch_path(spark, "stream-events")
+    return run_to_table(spark, routed, path, ["sub"], name=path.rsplit("/", 1)[-1])
+
+
+SQL_STREAM = W + """SELECT e.id, e.user_id, e.value AS amount, e.event_type = 'purchase' AS is_purchase,
+  c.segment AS user_segment,
+  CASE e.event_type WHEN 'click' THEN 'ClickEvent' WHEN 'view' THEN 'ViewEvent' WHEN 'purchase' THEN 'PurchaseEvent' END AS sub
+FROM event_s e LEFT JOIN customer_s c ON c.id = e.user_id WHERE e.event_type IN ('click', 'view', 'purchase')"""
+
+
 def queries() -> dict:
     return {
+        "st_event_stream": st_event_stream,
         "a_output_summary": a_output_summary, "a_shotgun": a_shotgun, "a_partition_ablation": a_partition_ablation,
         "a_group_stats": a_group_stats, "a_ranking": a_ranking, "a_score_pivot": a_score_pivot,
         "a_metric_pivot": a_metric_pivot, "a_reward_variance": a_reward_variance, "a_fingerprint": a_fingerprint,
@@ -383,4 +422,5 @@ def oracles() -> dict:
         "g_refs": SQL_G_REFS,
         "g_nested": SQL_G_NESTED,
         "g_text": SQL_G_TEXT,
+        "st_event_stream": SQL_STREAM,
     }
