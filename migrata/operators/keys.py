@@ -6,22 +6,20 @@ Spark rows have no order, so every order-dependent operator takes explicit order
 plans ``Exchange SinglePartition`` (all rows in one task) and
 ``row_number().over(partitionBy(g).orderBy(o))`` puts a hot group (a third of all rows)
 into one task.  Instead rows are cut into ``B`` range buckets on the composite key
-``(group..., order...)`` using bounds from a bounded sample, so a hot group spreads over
-many buckets.  Inside each (bucket, group) a windowed ``row_number`` runs; a tiny table of
+``(group..., order...)`` (one bucket per shuffle partition) using bounds from a bounded
+sample, so a hot group spreads over many buckets.  Inside each (bucket, group) a windowed ``row_number`` runs; a tiny table of
 per-(bucket, group) counts gives each bucket its offset within the group.  Only the
 sample (at most ``SAMPLE_PER_BUCKET * B`` keys) ever reaches the driver.
 """
 
 from __future__ import annotations
 
-import math
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ROWS_PER_BUCKET = 2_000_000
 SAMPLE_PER_BUCKET = 40
 MAX_BUCKETS = 4096
 _B = "__mg_bucket"
@@ -52,23 +50,24 @@ def _sort_key(row: tuple) -> tuple:
     return tuple((v is not None, v) for v in row)
 
 
-def range_buckets(
-    df: DataFrame,
-    key_cols: Sequence[str],
-    rows_per_bucket: int = ROWS_PER_BUCKET,
-    seed: int = 17,
-    n_rows: int | None = None,
-) -> tuple[DataFrame, int]:
+def range_buckets(df: DataFrame, key_cols: Sequence[str], n_buckets: int | None = None,
+                  seed: int = 17) -> tuple[DataFrame, int]:
     """Add a bucket column so that key order equals (bucket, key) order.
 
-    Returns the frame and the bucket count; one bucket when the data is small.
+    The bounds come from one bounded random sample (at most ``SAMPLE_PER_BUCKET`` keys per
+    bucket, taken as the rows with the smallest seeded random tag: a per-task top-k, so one
+    job and no count).  They are fixed into the plan as literals, so every later evaluation
+    and every task retry buckets each row the same way.
     """
-    n = df.count() if n_rows is None else n_rows
-    n_buckets = max(1, min(MAX_BUCKETS, math.ceil(n / max(1, rows_per_bucket))))
+    if n_buckets is None:
+        n_buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions") or 200)
+    n_buckets = max(1, min(MAX_BUCKETS, n_buckets))
     if n_buckets == 1:
         return df.withColumn(_B, F.lit(0)), 1
-    fraction = min(1.0, SAMPLE_PER_BUCKET * n_buckets / n)
-    sample = [tuple(r) for r in df.select(*key_cols).sample(False, fraction, seed).collect()]
+    k = SAMPLE_PER_BUCKET * n_buckets
+    # a bounded sample for the range bounds: the limit is the sampling operator itself
+    tagged = df.select(*key_cols, F.rand(seed).alias("__mg_r"))
+    sample = [tuple(r)[:-1] for r in tagged.orderBy("__mg_r").limit(k).collect()]
     sample.sort(key=_sort_key)
     if not sample:
         return df.withColumn(_B, F.lit(0)), 1
@@ -78,6 +77,8 @@ def range_buckets(
     for r in raw:
         if not cuts or _sort_key(r) > _sort_key(cuts[-1]):
             cuts.append(r)
+    if not cuts:
+        return df.withColumn(_B, F.lit(0)), 1
     bounds = [_literal_struct(c, types) for c in cuts]
     bucket = _bucket_tree(_key_struct(key_cols), bounds, 0, len(bounds))
     return df.withColumn(_B, bucket), len(bounds) + 1
@@ -89,8 +90,7 @@ def rank_within(
     order_cols: Sequence[str],
     name: str,
     start: int = 1,
-    rows_per_bucket: int = ROWS_PER_BUCKET,
-    n_rows: int | None = None,
+    n_partitions: int | None = None,
 ) -> DataFrame:
     """Dense 1-based (or ``start``-based) row number of each row within its group, by order.
 
@@ -98,7 +98,7 @@ def rank_within(
     needed) to make the result repeatable after a task retry.
     """
     group_cols, order_cols = list(group_cols), list(order_cols)
-    bucketed, n_buckets = range_buckets(df, group_cols + order_cols, rows_per_bucket, n_rows=n_rows)
+    bucketed, n_buckets = range_buckets(df, group_cols + order_cols, n_partitions)
     order = [F.col(c).asc_nulls_first() for c in order_cols]
     w = Window.partitionBy(_B, *group_cols).orderBy(*order)
     ranked = bucketed.withColumn(_RN, F.row_number().over(w))
@@ -107,7 +107,16 @@ def rank_within(
     counts = bucketed.groupBy(_B, *group_cols).agg(F.count(F.lit(1)).alias("__mg_n"))
     wp = Window.partitionBy(*group_cols).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn(_OFF, F.coalesce(F.sum("__mg_n").over(wp), F.lit(0))).drop("__mg_n")
-    out = ranked.join(offsets, on=[_B, *group_cols], how="left")
+    if group_cols:
+        o = offsets.select(*[F.col(c).alias(f"__mg_g{i}") for i, c in enumerate(group_cols)],
+                           F.col(_B).alias("__mg_ob"), _OFF)
+        cond = ranked[_B] == o["__mg_ob"]
+        for i, c in enumerate(group_cols):
+            cond = cond & ranked[c].eqNullSafe(o[f"__mg_g{i}"])
+        out = ranked.join(o, cond, "left").drop("__mg_ob", *[f"__mg_g{i}" for i in range(len(group_cols))])
+    else:
+        # one row per bucket: its size is bounded by the bucket count
+        out = ranked.join(F.broadcast(offsets), on=[_B], how="left")
     return out.withColumn(name, (F.col(_OFF) + F.col(_RN) + F.lit(start - 1)).cast("bigint")).drop(_B, _RN, _OFF)
 
 

@@ -7,7 +7,7 @@ from migrata.operators.keys import dense_id, first_per_key, last_wins, position_
 
 def test_dense_id_many_buckets(spark):
     df = spark.range(0, 5000).select(((F.col("id") * 7919) % 5000).alias("k"), (F.col("id") % 3).alias("g"))
-    out = dense_id(df, ["g", "k"], "rid", rows_per_bucket=300).collect()
+    out = dense_id(df, ["g", "k"], "rid", n_partitions=13).collect()
     got = {(r.g, r.k): r.rid for r in out}
     want = {key: i + 1 for i, key in enumerate(sorted(got))}
     assert got == want
@@ -17,12 +17,18 @@ def test_position_in_group_hot_key(spark):
     # a third of all rows share one key; buckets split it and offsets stitch it back
     df = spark.range(0, 3000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"),
                                      F.col("id").alias("o"))
-    out = position_in_group(df, "k", ["o"], "pos", rows_per_bucket=200).collect()
+    out = position_in_group(df, "k", ["o"], "pos", n_partitions=11).collect()
     hot = sorted((r.o, r.pos) for r in out if r.k == 7)
     assert [p for _, p in hot] == list(range(len(hot)))
     assert all(r.pos == 0 for r in out if r.k != 7)
 
 
+def test_position_with_null_group(spark):
+    df = spark.createDataFrame([(None, 1), (None, 2), (5, 1)], "k bigint, o bigint")
+    out = sorted((r.k if r.k is not None else -1, r.o, r.pos) for r in position_in_group(df, "k", ["o"]).collect())
+    assert out == [(-1, 1, 0), (-1, 2, 1), (5, 1, 0)]
+
+
 def test_last_wins_and_first_per_key(spark):
     df = spark.createDataFrame([(1, "a", 0), (1, "b", 1), (2, "c", 5)], "id bigint, v string, _seq bigint")
     assert sorted((r.id, r.v) for r in last_wins(df, "id", "_seq").collect()) == [(1, "b"), (2, "c")]
