@@ -80,3 +80,20 @@ def test_dest_kinds_fold():
     assert "Ticket" not in k and k["BugTicket"]["reporter_id"] == "ref"
     assert k["ProfileRecord"]["profilenote_score"] == "number"
     assert k["User"]["org_name"] == "text" and k["Org"]["events_count"] == "number"
+
+
+def test_jobs_migrate_then_verify(spark, tmp_path):
+    import json
+
+    from migrata.plans import jobs
+    from migrata.sources.io import write_table_set
+    from migrata.spec import log_to_dicts
+
+    spec = tmp_path / "spec.json"
+    spec.write_text(json.dumps({"schema": SCHEMA.to_dict(), "log": log_to_dicts(LOG)}))
+    src = generate(spark, SCHEMA, n=6, seed=2)
+    write_table_set(src, str(tmp_path / "src"))
+    jobs.migrate(spark, str(spec), str(tmp_path / "src"), str(tmp_path / "dst"))
+    jobs.verify(spark, str(spec), str(tmp_path / "src"), str(tmp_path / "dst"), str(tmp_path / "out"))
+    rep = spark.read.parquet(str(tmp_path / "out" / "report")).first()
+    assert rep.total == pytest.approx(100.0, abs=1e-6)
