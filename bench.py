@@ -25,9 +25,13 @@ def main() -> None:
 
     spark = get_spark(f"local[{cpus}]", shuffle_partitions=int(cpus) * 2, app="migrata-bench")
 
-    def replay_full():
-        for _, df in sorted(vs_perfect(spark, sf_dir).items()):
-            df.write.format("noop").mode("overwrite").save()
+    def replay_at(dir_):
+        def go():
+            for _, df in sorted(vs_perfect(spark, dir_).items()):
+                df.write.format("noop").mode("overwrite").save()
+        return go
+
+    replay_full = replay_at(sf_dir)
 
     def run(fn):
         def go():
@@ -61,9 +65,21 @@ def main() -> None:
         t0 = time.time()
         fn()
         times[name] = round(time.time() - t0, 3)
+    # scaling of the two headline jobs against the next smaller scale factor (not in the total)
+    scaling = {}
+    small = os.environ.get("BENCH_SMALL_DIR", "/root/testdata/sf0.01")
+    if os.path.isdir(small) and os.path.abspath(small) != os.path.abspath(sf_dir):
+        for name, fn in (("replay_full", replay_at(small)),
+                         ("score_report", lambda: catalog_verify.v_score_report(spark, small)
+                          .write.format("noop").mode("overwrite").save())):
+            t0 = time.time()
+            fn()
+            small_t = time.time() - t0
+            scaling[name] = {"small_sec": round(small_t, 3), "ratio": round(times[name] / max(small_t, 1e-9), 3)}
     sf = os.path.basename(sf_dir.rstrip("/")).replace("sf", "")
     print(json.dumps({"metric": "headline_total_sec", "value": round(sum(times.values()), 3), "unit": "sec",
-                      "queries": times, "sf": float(sf) if sf.replace(".", "").isdigit() else sf_dir}))
+                      "queries": times, "sf": float(sf) if sf.replace(".", "").isdigit() else sf_dir,
+                      "scaling_vs": small, "scaling": scaling}))
     spark.stop()
 
 
