@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from ..operators.keys import rank_within
 from ..spec import ALPHA, WEIGHTS
-from .verify import AXES, Verifier, norm_id, union_all
+from ..functions.fields import field_map, id_value
+from .verify import AXES, Verifier, union_all
 
 
 # ---------------------------------------------------------------------------
@@ -31,7 +32,7 @@ def output_summary(tables: Mapping[str, DataFrame]) -> DataFrame:
     parts = []
     for name in sorted(tables):
         df = tables[name]
-        idc = norm_id(F.col("id"), df.schema["id"].dataType) if "id" in df.columns else F.lit(None).cast("bigint")
+        idc = id_value(field_map(df.schema).get("id"))
         agg = df.select(idc.alias("__id")).agg(
             F.count(F.lit(1)).alias("n_rows"),
             (F.count_distinct("__id") + F.max(F.when(F.col("__id").isNull(), 1).otherwise(0))).alias("unique_ids"))

@@ -31,7 +31,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.values import is_integral, is_numeric, kind_valid, values_equal
+from ..functions.fields import FieldAccess, equal, field_map, id_value, present, select_fields, valid
+from ..functions.values import is_integral, is_numeric, values_equal
 from ..operators.keys import position_in_group
 from ..operators.transforms import expected_frame
 from ..spec import ALPHA, WEIGHTS, LogContext, Schema, Step, dest_kinds
@@ -130,9 +131,10 @@ class Verifier:
         df = self.dest.get(table)
         if df is None:
             return self._empty_ids()
-        if "id" not in df.columns:
-            df = df.withColumn("id", F.lit(None).cast("bigint"))
-        return df.withColumn("id", norm_id(F.col("id"), df.schema["id"].dataType))
+        fa = field_map(df.schema).get("id")
+        idc = id_value(fa)
+        drop = [c for c in (fa.physical() if fa else []) if c != "id"]
+        return df.drop(*drop).withColumn("id", idc) if drop else df.withColumn("id", idc)
 
     def _dedup(self, df: DataFrame, keys: Sequence[str]) -> DataFrame:
         """Last write wins per key on ``_seq``; without it a deterministic pick (row hash)."""
@@ -198,41 +200,47 @@ class Verifier:
             return
         self._row(df, axis, check, entity, step, kind, **{slot: F.count(F.lit(1))})
 
-    def _present(self, cols: Sequence[str], name: str, prefixed: str, np_: set[str], flag: Column) -> Column:
-        """Presence of a column value on one side of a join."""
-        if name not in cols:
-            return F.lit(False)
-        if name in np_:
-            return flag
-        return flag & F.col(prefixed).isNotNull()
+    @staticmethod
+    def _has(df: DataFrame, name: str, np_: set[str]) -> Column:
+        """Key ``name`` present in a row of a destination frame (typed columns or record bag)."""
+        return present(field_map(df.schema).get(name), name in np_)
 
     # -- located join --------------------------------------------------------
-    def _dest_union(self, tables: Sequence[str]) -> tuple[DataFrame, dict[str, list[tuple[str, T.DataType]]]]:
+    def _dest_union(self, tables: Sequence[str]) -> tuple[DataFrame, dict[str, FieldAccess]]:
         """Union of sub-tables tagged with ``__mg_sub``.
 
-        A column typed differently in two sub-tables is kept as one column per type (so a
-        text value is never silently cast to a number by the union).
+        A field typed differently in two sub-tables is kept as one column per type (so a
+        text value is never silently cast to a number by the union); present-``None`` flags
+        are carried along.
         """
-        frames = [(t, self._dest_norm(t)) for t in tables]
+        frames = [(t, self._dest_norm(t), field_map(self._dest_norm(t).schema)) for t in tables]
         types: dict[str, list[T.DataType]] = {}
-        for _, fr in frames:
-            for f in fr.schema.fields:
-                lst = types.setdefault(f.name, [])
-                if f.dataType not in lst:
-                    lst.append(f.dataType)
-        variants: dict[str, list[tuple[str, T.DataType]]] = {}
-        for c, lst in types.items():
-            variants[c] = [(c, lst[0])] if len(lst) == 1 or c == "id" else \
-                [(f"{c}__mgt{k}", dt) for k, dt in enumerate(lst)]
+        has_none: set[str] = set()
+        for _, _, fm in frames:
+            for name, fa in fm.items():
+                lst = types.setdefault(name, [])
+                for _, dt in fa.vars:
+                    if dt not in lst:
+                        lst.append(dt)
+                if fa.none:
+                    has_none.add(name)
+        layout: dict[str, FieldAccess] = {}
+        for name, lst in types.items():
+            vs = [(name, lst[0])] if len(lst) == 1 or name == "id" else \
+                [(f"{name}__mgt{k}", dt) for k, dt in enumerate(lst)]
+            layout[name] = FieldAccess(vs, f"{name}__mgnone" if name in has_none else None)
         out = []
-        for t, fr in frames:
+        for t, fr, fm in frames:
             cols = [F.lit(t).alias("__mg_sub")]
-            for c, vs in variants.items():
-                for phys, dt in vs:
-                    have = c in fr.columns and (len(vs) == 1 or fr.schema[c].dataType == dt)
-                    cols.append((F.col(f"`{c}`").cast(dt) if have else F.lit(None).cast(dt)).alias(phys))
+            for name, fa in layout.items():
+                src = fm.get(name)
+                for phys, dt in fa.vars:
+                    match = [p for p, sdt in (src.vars if src else []) if sdt == dt or len(fa.vars) == 1]
+                    cols.append((F.col(f"`{match[0]}`").cast(dt) if match else F.lit(None).cast(dt)).alias(phys))
+                if fa.none:
+                    cols.append((F.col(f"`{src.none}`") if src and src.none else F.lit(False)).alias(fa.none))
             out.append(fr.select(*cols))
-        return reduce(lambda a, b: a.union(b), out), variants
+        return reduce(lambda a, b: a.union(b), out), layout
 
     def _located(self, entity: str):
         """Expected rows of ``entity`` full-outer-joined with the dest rows they should land in."""
@@ -253,38 +261,28 @@ class Verifier:
         if part is not None:
             from ..operators.transforms import route_column
             x = x.withColumn("__mg_sub", route_column(x, part.on_field, part.as_dict))
-            d, variants = self._dest_union(tables)
+            d, layout = self._dest_union(tables)
             d = self._dedup(d, ["__mg_sub", "id"])
         else:
             d = self._dedup(self._dest_norm(tables[0]), ["id"])
-            variants = {f.name: [(f.name, f.dataType)] for f in d.schema.fields}
+            layout = field_map(d.schema)
         xs = x.select(*[F.col(f"`{c}`").alias(f"x__{c}") for c in x.columns], F.lit(True).alias("__x"))
         ds = d.select(*[F.col(f"`{c}`").alias(f"d__{c}") for c in d.columns], F.lit(True).alias("__d"))
         cond = xs["x__id"] == ds["d__id"]
         if part is not None:
             cond = cond & (xs["x____mg_sub"] == ds["d____mg_sub"])
         j = xs.join(ds, cond, "full_outer")
-        dvars = {c: [(f"d__{p}", dt) for p, dt in vs] for c, vs in variants.items() if not c.startswith("__mg_")}
+        dvars = {c: FieldAccess([(f"d__{p}", dt) for p, dt in fa.vars], f"d__{fa.none}" if fa.none else None)
+                 for c, fa in layout.items() if not c.startswith("__mg_")}
         return j, x, dvars, tables, part, raw
 
     @staticmethod
-    def _dpresent(dvars, name: str, np_: set[str], flag: Column) -> Column:
-        if name not in dvars:
-            return F.lit(False)
-        if name in np_:
-            return flag
-        return flag & reduce(lambda a, b: a | b, [F.col(p).isNotNull() for p, _ in dvars[name]])
+    def _dpresent(dvars: dict[str, FieldAccess], name: str, np_: set[str], flag: Column) -> Column:
+        return flag & present(dvars.get(name), name in np_)
 
     @staticmethod
-    def _deq(dvars, name: str, xv: Column, xt: T.DataType) -> Column:
-        if name not in dvars:
-            return values_equal(F.lit(None), T.NullType(), xv, xt)
-        vs = dvars[name]
-        if len(vs) == 1:
-            return values_equal(F.col(vs[0][0]), vs[0][1], xv, xt)
-        any_nn = reduce(lambda a, b: a | b, [F.col(p).isNotNull() for p, _ in vs])
-        eqs = reduce(lambda a, b: a | b, [F.col(p).isNotNull() & values_equal(F.col(p), dt, xv, xt) for p, dt in vs])
-        return F.when(any_nn, eqs).otherwise(xv.isNull())
+    def _deq(dvars: dict[str, FieldAccess], name: str, xv: Column, xt: T.DataType) -> Column:
+        return equal(dvars.get(name), xv, xt)
 
     def _entity_checks(self, entity: str) -> None:
         ctx = self.ctx
@@ -384,10 +382,7 @@ class Verifier:
         """+1 per row, hit when the link value is an id of ``target`` (pre-aggregated by value)."""
         if not self.wants(check):
             return
-        if link in rows.columns:
-            vals = rows.select(norm_id(F.col(link), rows.schema[link].dataType).alias("value"))
-        else:
-            vals = rows.select(F.lit(None).cast("bigint").alias("value"))
+        vals = rows.select(id_value(field_map(rows.schema).get(link)).alias("value"))
         per = vals.groupBy("value").agg(F.count(F.lit(1)).alias("n"))
         ids = self.target_ids([target]).select(F.col("id").alias("__tid"))
         hit = per.join(ids, per["value"] == ids["__tid"], "left")
@@ -456,27 +451,27 @@ class Verifier:
         post = self._expected(s.from_, split_drop=False)
         post = post.select("id", *[m for m in moved if m in post.columns])
         n_moved = len(moved)
-        if s.detail not in self.dest or s.link_field not in self.dest[s.detail].columns:
+        if s.detail not in self.dest or s.link_field not in field_map(self.dest[s.detail].schema):
             self._row(post, "field_fidelity", "v_fid_split", s.detail, i, "ratio",
                       b=_f(F.count(F.lit(1)) * F.lit(n_moved)))
             return
         det = self.dest[s.detail]
-        det = det.withColumn(s.link_field, norm_id(F.col(s.link_field), det.schema[s.link_field].dataType))
-        keep = [c for c in det.columns if c in moved or c == SEQ]
-        det = self._dedup(det.select(s.link_field, *keep), [s.link_field])
+        fm = field_map(det.schema)
+        det = det.select(id_value(fm[s.link_field]).alias("__link"),
+                         *select_fields(fm, moved, ""), *([F.col(SEQ)] if SEQ in det.columns else []))
+        det = self._dedup(det, ["__link"])
         np_d = self._np_dest(s.detail)
         ps = post.select(F.col("id").alias("__pid"), *[F.col(m).alias(f"x__{m}") for m in moved if m in post.columns])
-        ds = det.select(F.col(s.link_field).alias("__link"), F.lit(True).alias("__d"),
-                        *[F.col(m).alias(f"d__{m}") for m in moved if m in det.columns])
+        ds = det.select(F.col("__link"), F.lit(True).alias("__d"),
+                        *[F.col(f"`{c}`").alias(f"d__{c}") for c in det.columns if c not in ("__link", SEQ)])
         j = ps.join(ds, ps["__pid"] == ds["__link"], "left")
         D = F.coalesce(F.col("__d"), F.lit(False))
         hits = [F.lit(0.0)]
         for m in moved:
-            if m in det.columns:
-                pd_ = self._present(det.columns, m, f"d__{m}", np_d, D)
+            if m in fm:
                 xv = F.col(f"x__{m}") if m in post.columns else F.lit(None)
                 xt = post.schema[m].dataType if m in post.columns else T.NullType()
-                hits.append(_cntx(pd_ & values_equal(F.col(f"d__{m}"), det.schema[m].dataType, xv, xt)))
+                hits.append(_cntx(D & present(fm[m], m in np_d, "d__") & equal(fm[m], xv, xt, "d__")))
         self._row(j, "field_fidelity", "v_fid_split", s.detail, i, "ratio",
                   a=reduce(lambda a, b: a + b, hits), b=_f(F.count(F.lit(1)) * F.lit(n_moved)))
 
@@ -514,16 +509,17 @@ class Verifier:
             items = None
             xtypes = {}
             sizes = src.select(F.col("id").alias("__pid"), F.lit(0).alias("__n"))
-        if new is not None and s.link_field in new.columns:
-            nn = new.withColumn("__link", norm_id(F.col(s.link_field), new.schema[s.link_field].dataType))
-            order = [SEQ] if SEQ in nn.columns else ["id"] if "id" in nn.columns else []
-            keep = [b for b in bfs if b in nn.columns]
-            numbered = position_in_group(nn.select("__link", *order, *keep), "__link", order or ["__link"], "__pos")
+        nfm = field_map(new.schema) if new is not None else {}
+        if new is not None and s.link_field in nfm:
+            order = [SEQ] if SEQ in new.columns else ["__mg_oid"]
+            nn = new.select(id_value(nfm[s.link_field]).alias("__link"),
+                            (F.col(SEQ) if SEQ in new.columns else id_value(nfm.get("id"))).alias(order[0]),
+                            *select_fields(nfm, bfs, "d__"))
+            numbered = position_in_group(nn, "__link", order, "__pos")
             dsel = numbered.select(F.col("__link"), F.col("__pos").alias("__dpos"), F.lit(True).alias("__d"),
-                                   *[F.col(b).alias(f"d__{b}") for b in keep])
-            dtypes = {b: nn.schema[b].dataType for b in keep}
+                                   *[F.col(f"`{c}`") for c in nn.columns if c.startswith("d__")])
         else:
-            dsel, dtypes, keep = None, {}, []
+            dsel = None
         if items is not None:
             if dsel is not None:
                 j = items.join(dsel, (items["__pid"] == dsel["__link"]) & (items["__pos"] == dsel["__dpos"]), "left")
@@ -532,14 +528,12 @@ class Verifier:
             D = F.coalesce(F.col("__d"), F.lit(False))
             hits = [F.lit(0.0)]
             for b in bfs:
-                dv = F.col(f"d__{b}") if b in keep else F.lit(None)
-                dt = dtypes.get(b, T.NullType())
-                hits.append(_cntx(D & values_equal(dv, dt, F.col(f"x__{b}"), xtypes[b])))
+                hits.append(_cntx(D & equal(nfm.get(b), F.col(f"x__{b}"), xtypes[b], "d__")))
             self._row(j, "field_fidelity", "v_fid_extract", s.new_entity, i, "ratio",
                       a=reduce(lambda a, b: a + b, hits), b=_f(F.count(F.lit(1)) * F.lit(len(bfs))))
         # surplus rows per known parent
-        if new is not None and s.link_field in new.columns:
-            per = new.select(norm_id(F.col(s.link_field), new.schema[s.link_field].dataType).alias("__link")) \
+        if new is not None and s.link_field in nfm:
+            per = new.select(id_value(nfm[s.link_field]).alias("__link")) \
                 .groupBy("__link").agg(F.count(F.lit(1)).alias("__cnt"))
             sj = sizes.join(per, sizes["__pid"] == per["__link"], "inner")
             self._row(sj, "field_fidelity", "v_fid_extract_extra", s.new_entity, i, "ratio",
@@ -565,13 +559,13 @@ class Verifier:
                         break
             parent = self.dest[ent]
             np_p = self._np_dest(ent)
-            absent = (lambda fr: ~self._present(fr.columns, s.field, s.field, np_p, F.lit(True)))
+            absent = (lambda fr: ~self._has(fr, s.field, np_p))
             self._share([parent], absent, "v_str_flatten", ent, i, "flatten", "c", "d")
             if host is None:
                 self._row(None, "structural", "v_str_flatten", ent, i, "flatten", e=F.lit(1.0))
             elif host in self.dest:
                 np_h = self._np_dest(host)
-                self._share([self.dest[host]], lambda fr: self._present(fr.columns, s.into, s.into, np_h, F.lit(True)),
+                self._share([self.dest[host]], lambda fr: self._has(fr, s.into, np_h),
                             "v_str_flatten", ent, i, "flatten", "a", "b")
             else:
                 self._row(None, "structural", "v_str_flatten", ent, i, "flatten")
@@ -587,7 +581,7 @@ class Verifier:
         ent = s.entity
         if ent in self.dest:
             np_ = self._np_dest(ent)
-            self._share([self.dest[ent]], lambda fr: ~self._present(fr.columns, s.field, s.field, np_, F.lit(True)),
+            self._share([self.dest[ent]], lambda fr: ~self._has(fr, s.field, np_),
                         "v_str_unmapped", ent, i, "share")
         else:
             frames = self._relocated_present(ent)
@@ -603,7 +597,7 @@ class Verifier:
         for k, (_, dfield) in enumerate(s.inlined):
             if dst is not None:
                 self._row(dst, "structural", "v_str_denorm", f"{ent}.{dfield}", i, "share",
-                          a=_cntx(self._present(dst.columns, dfield, dfield, np_, F.lit(True))),
+                          a=_cntx(self._has(dst, dfield, np_)),
                           b=_f(F.count(F.lit(1))))
             else:
                 self._row(None, "structural", "v_str_denorm", f"{ent}.{dfield}", i, "share")
@@ -613,8 +607,8 @@ class Verifier:
             return
         via = self.ctx.via_source_name(ent, s.via_field)
         d1 = self._dedup(self._dest_norm(ent), ["id"])
-        dcols = [dfield for _, dfield in s.inlined if dfield in d1.columns]
-        ds = d1.select(F.col("id").alias("__did"), *[F.col(c).alias(f"d__{c}") for c in dcols])
+        dfm = field_map(d1.schema)
+        ds = d1.select(F.col("id").alias("__did"), *select_fields(dfm, [d for _, d in s.inlined], "d__"))
         ss = src.select(F.col("id").alias("__sid"),
                         (F.col(via) if via in src.columns else F.lit(None)).cast("bigint").alias("__via"))
         j = ss.join(ds, ss["__sid"] == ds["__did"], "inner")
@@ -628,11 +622,9 @@ class Verifier:
             ftypes = {}
         hits = [F.lit(0.0)]
         for sf, dfield in s.inlined:
-            dv = F.col(f"d__{dfield}") if dfield in dcols else F.lit(None)
-            dt = d1.schema[dfield].dataType if dfield in dcols else T.NullType()
             fv = F.col(f"f__{sf}") if sf in ftypes else F.lit(None)
             ft = ftypes.get(sf, T.NullType())
-            hits.append(_cntx(values_equal(dv, dt, fv, ft)))
+            hits.append(_cntx(equal(dfm.get(dfield), fv, ft, "d__")))
         self._row(j, "field_fidelity", "v_fid_denorm", ent, i, "ratio",
                   a=reduce(lambda a, b: a + b, hits), b=_f(F.count(F.lit(1)) * F.lit(len(s.inlined))))
 
@@ -651,15 +643,14 @@ class Verifier:
         xs = x.select(F.col("id").alias("__sid"), xv.alias("__xv"))
         dn = self._dest_norm(ent)
         np_ = self._np_dest(ent)
-        has = s.dest_field in dn.columns
-        ds = dn.select(F.col("id").alias("__did"), (F.col(s.dest_field) if has else F.lit(None)).alias("__dv"),
-                       F.lit(True).alias("__d"))
+        dfm = field_map(dn.schema)
+        fa = dfm.get(s.dest_field)
+        ds = dn.select(F.col("id").alias("__did"), *select_fields(dfm, [s.dest_field], "d__"), F.lit(True).alias("__d"))
         j = ds.join(xs, ds["__did"] == xs["__sid"], "left")
         matched = F.col("__sid").isNotNull()
-        pd_ = self._present(dn.columns, s.dest_field, "__dv", np_, F.lit(True))
-        dt = dn.schema[s.dest_field].dataType if has else T.NullType()
+        pd_ = present(fa, s.dest_field in np_, "d__")
         self._row(j, "structural", "v_str_computed", ent, i, "computed",
-                  a=_cntx(matched & pd_ & values_equal(F.col("__dv"), dt, F.col("__xv"), xt)),
+                  a=_cntx(matched & pd_ & equal(fa, F.col("__xv"), xt, "d__")),
                   b=_cntx(matched), c=_f(F.count(F.lit(1))))
 
     def _type_checks(self) -> None:
@@ -670,13 +661,14 @@ class Verifier:
             if df is None:
                 continue
             np_ = self._np_dest(table)
+            fm = field_map(df.schema)
             tot, hit = [F.lit(0.0)], [F.lit(0.0)]
             for fcol, kind in kmap.items():
-                if kind == "nested" or fcol not in df.columns:
+                if kind == "nested" or fcol not in fm:
                     continue
-                p = self._present(df.columns, fcol, fcol, np_, F.lit(True))
+                p = present(fm[fcol], fcol in np_)
                 tot.append(_cntx(p))
-                hit.append(_cntx(p & kind_valid(F.col(f"`{fcol}`"), df.schema[fcol].dataType, kind)))
+                hit.append(_cntx(p & valid(fm[fcol], kind)))
             self._row(df, "type_correctness", "v_type", table, None, "ratio",
                       a=reduce(lambda a, b: a + b, hit), b=reduce(lambda a, b: a + b, tot))
 
