@@ -33,3 +33,20 @@ def test_empty_scores_low(source):
 def test_verbatim_below_perfect(source):
     r = grade(SCHEMA, LOG, source, dict(source))
     assert r["total"] < 100
+
+
+def test_scores_invariant_to_partitioning(spark, source):
+    dest = apply_log(source, LOG, blocks=BLOCKS)
+    dest["BugTicket"] = dest["BugTicket"].unionByName(dest["FeatureTicket"])
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        a = grade(SCHEMA, LOG, source, dest)
+        spark.conf.set("spark.sql.shuffle.partitions", "64")
+        shuffled_src = {k: v.repartition(7) for k, v in source.items()}
+        shuffled_dst = {k: v.repartition(5) for k, v in dest.items()}
+        b = grade(SCHEMA, LOG, shuffled_src, shuffled_dst)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert a == pytest.approx(b, abs=1e-12)
+    assert a["total"] < 100
