@@ -769,3 +769,65 @@ def grade(schema: Schema, log: Sequence[Step], source: Mapping[str, DataFrame],
     if out.get("structural") is None:
         out.pop("structural", None)
     return out
+
+
+def strict_report(v: Verifier) -> DataFrame:
+    """Blind spots of the score, listed instead of silently scored (one row per finding).
+
+    * ``merged_child_mismatch``  - merged child values differing from the first child's row
+    * ``array_left_after_extract`` - parent rows still carrying an extracted array
+    * ``duplicate_ids``          - surplus rows of an id in a destination table
+    * ``expected_column_missing``- rows of a table lacking a column the log expects
+    * ``enum_out_of_domain``     - present enum values outside the destination domain
+    """
+    from ..operators.keys import first_per_key
+    from ..spec import dest_schema, merged_column_name
+
+    spark, ctx, parts = v.spark, v.ctx, []
+
+    def row(df: DataFrame, issue: str, table: str, column: str, n: Column) -> None:
+        parts.append(df.agg(n.cast("bigint").alias("n_rows")).select(
+            F.lit(issue).alias("issue"), F.lit(table).alias("table_name"), F.lit(column).alias("column_name"),
+            "n_rows"))
+
+    for m in ctx.merges:
+        child, parent, merged = v._src(m.child), v._src(m.parent), v.dest.get(m.into)
+        if child is None or parent is None or merged is None or m.dropped_link_field not in child.columns:
+            continue
+        cx = expected_frame(child, m.child, v.log)
+        px = v._expected(m.parent)
+        fields = [c for c in cx.columns if c not in ("id", m.dropped_link_field)]
+        names, taken = {}, list(px.columns)
+        for c in fields:
+            names[c] = merged_column_name(c, taken, m.child)
+            taken.append(names[c])
+        first = first_per_key(cx.select(m.dropped_link_field, "id", *fields), m.dropped_link_field, ["id"])
+        dfm = field_map(merged.schema)
+        mm = merged.select(id_value(dfm.get("id")).alias("__mid"), *select_fields(dfm, names.values(), "d__"))
+        j = first.join(mm, first[m.dropped_link_field] == mm["__mid"], "inner")
+        for c, n in names.items():
+            row(j, "merged_child_mismatch", m.into, n,
+                F.count_if(~equal(dfm.get(n), F.col(f"`{c}`"), cx.schema[c].dataType, "d__")))
+    for t in ctx.extracts:
+        if t.entity in v.dest:
+            row(v.dest[t.entity], "array_left_after_extract", t.entity, t.field,
+                F.count_if(present(field_map(v.dest[t.entity].schema).get(t.field))))
+    ds = dest_schema(v.schema, v.log)
+    for table in sorted(v.dest):
+        df = v.dest[table]
+        fm = field_map(df.schema)
+        if "id" in fm:
+            ids = df.select(id_value(fm["id"]).alias("__id"))
+            row(ids, "duplicate_ids", table, "id", F.count(F.lit(1)) - F.count_distinct("__id"))
+        for col_, kind in v.kinds.get(table, {}).items():
+            if col_ not in fm:
+                row(df, "expected_column_missing", table, col_, F.count(F.lit(1)))
+        for col_, fd in ds.entities.get(table, {}).items():
+            if fd.kind == "enum" and fd.values and col_ in fm:
+                strs = [p for p, dt in fm[col_].vars if isinstance(dt, T.StringType)]
+                if strs:
+                    bad = reduce(lambda a, b: a | b, [F.col(f"`{p}`").isNotNull() & ~F.col(f"`{p}`").isin(
+                        list(fd.values)) for p in strs])
+                    row(df, "enum_out_of_domain", table, col_, F.count_if(bad))
+    out = union_all(spark, parts, "issue string, table_name string, column_name string, n_rows bigint")
+    return out.filter(F.col("n_rows") > 0)
