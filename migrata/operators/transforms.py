@@ -285,7 +285,6 @@ def denormalize_table(current: DataFrame, original: DataFrame | None, via_src: s
         for _, d in inlined:
             base = base.withColumn(d, F.lit(None).cast("string"))
         return base
-    src_fields = [s for s, _ in inlined]
     tgt_cols = {}
     for s, d in inlined:
         if s in target.columns:
@@ -300,7 +299,6 @@ def denormalize_table(current: DataFrame, original: DataFrame | None, via_src: s
         keyed = current.join(orig_via, current["id"] == orig_via["__mg_oid"], "left").drop("__mg_oid")
     base_cols = [c for c in current.columns if c not in out_cols]
     joined = keyed.join(tgt, keyed["__mg_via"] == tgt["__mg_tid"], "left")
-    _ = src_fields
     return joined.select(*[keyed[c] for c in base_cols], *[tgt[d] for d in out_cols])
 
 

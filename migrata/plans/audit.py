@@ -15,7 +15,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.keys import rank_within
@@ -228,5 +228,3 @@ def fingerprint(tables: Mapping[str, DataFrame]) -> DataFrame:
     spark = next(iter(tables.values())).sparkSession
     return union_all(spark, parts, "table_name string, n_rows bigint, row_hash_sum decimal(38,0)")
 
-
-_ = SparkSession

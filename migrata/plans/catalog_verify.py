@@ -7,8 +7,6 @@ only that check's joins run).  SQL side: the same hits / totals written directly
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -290,5 +288,3 @@ def oracles() -> dict:
              v_rel_target_ids=SQL_REL_TARGET_IDS)
     return o
 
-
-_ = lru_cache

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.fields import FieldAccess, equal, field_map, id_value, present, select_fields, valid
-from ..functions.values import is_integral, is_numeric, values_equal
+from ..functions.values import is_integral, is_numeric
 from ..operators.keys import position_in_group
 from ..operators.transforms import expected_frame
 from ..spec import ALPHA, WEIGHTS, LogContext, Schema, Step, dest_kinds

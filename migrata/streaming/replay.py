@@ -15,7 +15,7 @@ from typing import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.transforms import ROUTE_COL, apply_row_step, denormalize_table, routed_union
+from ..operators.transforms import apply_row_step, denormalize_table, routed_union
 from ..session import checkpoint_dir
 from ..spec import Computed, Denormalize, EnumRemap, FlattenNested, Partition, Rename, Retype, SpecError, Step, Unmapped
 
@@ -65,5 +65,3 @@ def run_to_table(spark: SparkSession, stream: DataFrame, path: str, partition_by
     q.awaitTermination()
     return spark.read.parquet(path)
 
-
-_ = ROUTE_COL
