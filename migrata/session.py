@@ -11,10 +11,13 @@ import tempfile
 
 from pyspark.sql import SparkSession
 
-DEFAULTS = {
+# static settings: only for sessions built here (a running session keeps its own)
+STATIC_DEFAULTS = {
     # call-site capture costs several JVM round trips per DataFrame / Column call while plans
     # are built; the verifier builds plans with thousands of expressions
     "spark.python.sql.dataFrameDebugging.enabled": "false",
+}
+DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -34,7 +37,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str =
         .config("spark.driver.memory", os.environ.get("MIGRATA_DRIVER_MEMORY", "16g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
-    for k, v in DEFAULTS.items():
+    for k, v in {**STATIC_DEFAULTS, **DEFAULTS}.items():
         b = b.config(k, v)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -46,7 +49,10 @@ def configure(spark: SparkSession) -> SparkSession:
     """Fill unset settings; set a checkpoint folder only when the cluster names none."""
     for k, v in DEFAULTS.items():
         if spark.conf.get(k, None) is None:
-            spark.conf.set(k, v)
+            try:
+                spark.conf.set(k, v)
+            except Exception:  # noqa: BLE001 - a setting the running session does not allow to change
+                pass
     checkpoint_dir(spark)
     return spark
 
