@@ -414,8 +414,35 @@ UNION ALL SELECT 'field_fidelity', 'v_fid_base', 'Event', NULL, CAST(4 * n - v -
 UNION ALL SELECT 'type_correctness', 'v_type', 'Event', NULL, CAST(4 * n - v - e AS DOUBLE), CAST(4 * n AS DOUBLE) FROM c"""
 
 
+WAVE_TABLES = {"Region": "region", "Nation": "nation", "Customer": "customer", "Orders": "orders",
+               "Event": "events", "Supplier": "supplier"}
+
+
+def c_waves(spark, d):
+    """Scenario tables in load order (ref targets first) with the rows each wave loads."""
+    from .scenario import VS_SCHEMA
+    parts = []
+    for w, names in enumerate(constraints.load_waves(VS_SCHEMA)):
+        for n in names:
+            parts.append(load(spark, d, WAVE_TABLES[n]).agg(F.count(F.lit(1)).alias("n_rows")).select(
+                F.lit(w).alias("wave"), F.lit(n).alias("table_name"), "n_rows"))
+    out = parts[0]
+    for p_ in parts[1:]:
+        out = out.union(p_)
+    return out
+
+
+SQL_WAVES = """SELECT 0 AS wave, 'Region' AS table_name, count(*) AS n_rows FROM region
+UNION ALL SELECT 1, 'Nation', count(*) FROM nation
+UNION ALL SELECT 0, 'Customer', count(*) FROM customer
+UNION ALL SELECT 1, 'Orders', count(*) FROM orders
+UNION ALL SELECT 1, 'Event', count(*) FROM events
+UNION ALL SELECT 0, 'Supplier', count(*) FROM supplier"""
+
+
 def queries() -> dict:
     return {
+        "c_waves": c_waves,
         "s_record_bag": s_record_bag,
         "st_event_stream": st_event_stream,
         "a_output_summary": a_output_summary, "a_shotgun": a_shotgun, "a_partition_ablation": a_partition_ablation,
@@ -466,4 +493,5 @@ def oracles() -> dict:
         "g_text": SQL_G_TEXT,
         "st_event_stream": SQL_STREAM,
         "s_record_bag": SQL_RECORD_BAG,
+        "c_waves": SQL_WAVES,
     }
