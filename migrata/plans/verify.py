@@ -286,7 +286,13 @@ class Verifier:
 
     def _entity_checks(self, entity: str) -> None:
         ctx = self.ctx
-        if self._src(entity) is None or not self.wants(*ENTITY_CHECKS):
+        if not self.wants(*ENTITY_CHECKS):
+            return
+        if self._src(entity) is None:
+            # no source rows: every distinct destination id of a kept entity is a false positive
+            if entity not in ctx.removed and entity in self.dest:
+                ids = self._dest_norm(entity).select("id").distinct()
+                self._row(ids, "coverage", "v_cov_false_pos", entity, None, "ratio", b=_f(F.count(F.lit(1))))
             return
         j, x, dvars, tables, part, raw = self._located(entity)
         X = F.coalesce(F.col("__x"), F.lit(False))
