@@ -14,6 +14,7 @@ sample (at most ``SAMPLE_PER_BUCKET * B`` keys) ever reaches the driver.
 
 from __future__ import annotations
 
+import math
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SAMPLE_PER_BUCKET = 40
+MIN_SAMPLE = 100_000
+MIN_ROWS_PER_BUCKET = 50_000
 MAX_BUCKETS = 4096
 _B = "__mg_bucket"
 _RN = "__mg_rn"
@@ -54,23 +57,25 @@ def range_buckets(df: DataFrame, key_cols: Sequence[str], n_buckets: int | None
                   seed: int = 17) -> tuple[DataFrame, int]:
     """Add a bucket column so that key order equals (bucket, key) order.
 
-    The bounds come from one bounded random sample (at most ``SAMPLE_PER_BUCKET`` keys per
-    bucket, taken as the rows with the smallest seeded random tag: a per-task top-k, so one
-    job and no count).  They are fixed into the plan as literals, so every later evaluation
-    and every task retry buckets each row the same way.
+    The bounds come from one bounded random sample (the rows with the smallest seeded
+    random tag, at most ``max(SAMPLE_PER_BUCKET * B, MIN_SAMPLE)`` keys: a per-task top-k,
+    so one job and no count).  A sample that comes back short holds every row, so small
+    inputs get fewer buckets (one per ``MIN_ROWS_PER_BUCKET`` rows).  The bounds are fixed
+    into the plan as literals, so every later evaluation and every task retry buckets each
+    row the same way.
     """
     if n_buckets is None:
         n_buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions") or 200)
     n_buckets = max(1, min(MAX_BUCKETS, n_buckets))
-    if n_buckets == 1:
-        return df.withColumn(_B, F.lit(0)), 1
-    k = SAMPLE_PER_BUCKET * n_buckets
+    k = max(SAMPLE_PER_BUCKET * n_buckets, MIN_SAMPLE)
     # a bounded sample for the range bounds: the limit is the sampling operator itself
     tagged = df.select(*key_cols, F.rand(seed).alias("__mg_r"))
     sample = [tuple(r)[:-1] for r in tagged.orderBy("__mg_r").limit(k).collect()]
-    sample.sort(key=_sort_key)
-    if not sample:
+    if len(sample) < k:  # the whole input is in the sample: size the buckets to it
+        n_buckets = max(1, min(n_buckets, math.ceil(len(sample) / MIN_ROWS_PER_BUCKET)))
+    if n_buckets == 1 or not sample:
         return df.withColumn(_B, F.lit(0)), 1
+    sample.sort(key=_sort_key)
     types = [df.schema[c].dataType for c in key_cols]
     raw = [sample[min(len(sample) - 1, (i * len(sample)) // n_buckets)] for i in range(1, n_buckets)]
     cuts: list[tuple] = []

@@ -2,10 +2,18 @@
 
 from pyspark.sql import functions as F
 
+import migrata.operators.keys as keys
 from migrata.operators.keys import dense_id, first_per_key, last_wins, position_in_group
 
 
-def test_dense_id_many_buckets(spark):
+def small_buckets(monkeypatch):
+    # force many buckets on small test data (the sample would otherwise size them to one)
+    monkeypatch.setattr(keys, "MIN_SAMPLE", 10)
+    monkeypatch.setattr(keys, "MIN_ROWS_PER_BUCKET", 1)
+
+
+def test_dense_id_many_buckets(spark, monkeypatch):
+    small_buckets(monkeypatch)
     df = spark.range(0, 5000).select(((F.col("id") * 7919) % 5000).alias("k"), (F.col("id") % 3).alias("g"))
     out = dense_id(df, ["g", "k"], "rid", n_partitions=13).collect()
     got = {(r.g, r.k): r.rid for r in out}
@@ -13,7 +21,8 @@ def test_dense_id_many_buckets(spark):
     assert got == want
 
 
-def test_position_in_group_hot_key(spark):
+def test_position_in_group_hot_key(spark, monkeypatch):
+    small_buckets(monkeypatch)
     # a third of all rows share one key; buckets split it and offsets stitch it back
     df = spark.range(0, 3000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"),
                                      F.col("id").alias("o"))
