@@ -6,7 +6,7 @@ Spark rows have no order, so every order-dependent operator takes explicit order
 plans ``Exchange SinglePartition`` (all rows in one task) and
 ``row_number().over(partitionBy(g).orderBy(o))`` puts a hot group (a third of all rows)
 into one task.  Instead rows are cut into ``B`` range buckets on the composite key
-``(group..., order...)`` (one bucket per shuffle partition) using bounds from a bounded
+``(group..., order...)`` (about ``ROWS_PER_BUCKET`` rows each) using bounds from a bounded
 sample, so a hot group spreads over many buckets.  Inside each (bucket, group) a windowed ``row_number`` runs; a tiny table of
 per-(bucket, group) counts gives each bucket its offset within the group.  Only the
 sample (at most ``SAMPLE_PER_BUCKET * B`` keys) ever reaches the driver.
@@ -22,9 +22,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SAMPLE_PER_BUCKET = 40
-MIN_SAMPLE = 100_000
-MIN_ROWS_PER_BUCKET = 50_000
-MAX_BUCKETS = 4096
+MIN_SAMPLE = 20_000
+ROWS_PER_BUCKET = 2_000_000
+MAX_BUCKETS = 16_384
 _B = "__mg_bucket"
 _RN = "__mg_rn"
 _OFF = "__mg_off"
@@ -57,25 +57,26 @@ def range_buckets(df: DataFrame, key_cols: Sequence[str], n_buckets: int | None
                   seed: int = 17) -> tuple[DataFrame, int]:
     """Add a bucket column so that key order equals (bucket, key) order.
 
-    The bounds come from one bounded random sample (the rows with the smallest seeded
-    random tag, at most ``max(SAMPLE_PER_BUCKET * B, MIN_SAMPLE)`` keys: a per-task top-k,
-    so one job and no count).  A sample that comes back short holds every row, so small
-    inputs get fewer buckets (one per ``MIN_ROWS_PER_BUCKET`` rows).  The bounds are fixed
-    into the plan as literals, so every later evaluation and every task retry buckets each
-    row the same way.
+    One job draws a bounded random sample: the ``k`` rows with the smallest seeded uniform
+    tag (a per-task top-k, no count).  The sample gives the bounds and the size: a short
+    sample holds every row; a full one estimates the row count as ``k / largest tag``.
+    Buckets hold about ``ROWS_PER_BUCKET`` rows each (``n_buckets`` overrides).  The bounds
+    are fixed into the plan as literals, so every later evaluation and every task retry
+    buckets each row the same way.
     """
-    if n_buckets is None:
-        n_buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions") or 200)
-    n_buckets = max(1, min(MAX_BUCKETS, n_buckets))
-    k = max(SAMPLE_PER_BUCKET * n_buckets, MIN_SAMPLE)
+    k = max(MIN_SAMPLE, SAMPLE_PER_BUCKET * (n_buckets or 1))
     # a bounded sample for the range bounds: the limit is the sampling operator itself
     tagged = df.select(*key_cols, F.rand(seed).alias("__mg_r"))
-    sample = [tuple(r)[:-1] for r in tagged.orderBy("__mg_r").limit(k).collect()]
-    if len(sample) < k:  # the whole input is in the sample: size the buckets to it
-        n_buckets = max(1, min(n_buckets, math.ceil(len(sample) / MIN_ROWS_PER_BUCKET)))
-    if n_buckets == 1 or not sample:
+    rows = [tuple(r) for r in tagged.orderBy("__mg_r").limit(k).collect()]
+    if not rows:
+        return df.withColumn(_B, F.lit(0)), 1
+    if n_buckets is None:
+        n_est = len(rows) if len(rows) < k else k / max(rows[-1][-1], 1e-12)
+        n_buckets = math.ceil(n_est / ROWS_PER_BUCKET)
+    n_buckets = max(1, min(MAX_BUCKETS, n_buckets, len(rows)))
+    if n_buckets == 1:
         return df.withColumn(_B, F.lit(0)), 1
-    sample.sort(key=_sort_key)
+    sample = sorted((r[:-1] for r in rows), key=_sort_key)
     types = [df.schema[c].dataType for c in key_cols]
     raw = [sample[min(len(sample) - 1, (i * len(sample)) // n_buckets)] for i in range(1, n_buckets)]
     cuts: list[tuple] = []

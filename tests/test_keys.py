@@ -9,7 +9,7 @@ from migrata.operators.keys import dense_id, first_per_key, last_wins, position_
 def small_buckets(monkeypatch):
     # force many buckets on small test data (the sample would otherwise size them to one)
     monkeypatch.setattr(keys, "MIN_SAMPLE", 10)
-    monkeypatch.setattr(keys, "MIN_ROWS_PER_BUCKET", 1)
+    monkeypatch.setattr(keys, "ROWS_PER_BUCKET", 1)
 
 
 def test_dense_id_many_buckets(spark, monkeypatch):
@@ -42,3 +42,13 @@ def test_last_wins_and_first_per_key(spark):
     df = spark.createDataFrame([(1, "a", 0), (1, "b", 1), (2, "c", 5)], "id bigint, v string, _seq bigint")
     assert sorted((r.id, r.v) for r in last_wins(df, "id", "_seq").collect()) == [(1, "b"), (2, "c")]
     assert sorted((r.id, r.v) for r in first_per_key(df, "id", ["_seq"]).collect()) == [(1, "a"), (2, "c")]
+
+
+def test_bucket_count_estimated_from_sample(spark, monkeypatch):
+    monkeypatch.setattr(keys, "MIN_SAMPLE", 200)
+    monkeypatch.setattr(keys, "ROWS_PER_BUCKET", 100)
+    df = spark.range(0, 5000).select(((F.col("id") * 31) % 5000).alias("k"))
+    bucketed, n = keys.range_buckets(df, ["k"])
+    assert 20 <= n <= 200  # about 5000 / 100 buckets, from the size estimated on the sample
+    out = dense_id(df, ["k"], "rid").collect()
+    assert sorted((r.k, r.rid) for r in out) == [(i, i + 1) for i in range(5000)]

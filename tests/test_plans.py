@@ -25,7 +25,7 @@ def test_partition_filter_reaches_parquet_and_prunes_columns(spark):
 def test_dense_id_shuffles_by_bucket_not_to_one_task(spark, monkeypatch):
     import migrata.operators.keys as keys
     monkeypatch.setattr(keys, "MIN_SAMPLE", 10)
-    monkeypatch.setattr(keys, "MIN_ROWS_PER_BUCKET", 1)
+    monkeypatch.setattr(keys, "ROWS_PER_BUCKET", 1)
     df = spark.range(0, 1000).selectExpr("id * 7 % 1000 AS k")
     p = plan(dense_id(df, ["k"], "rid", n_partitions=8), "simple")
     assert "hashpartitioning(__mg_bucket" in p
