@@ -39,6 +39,7 @@ from .keys import dense_id, first_per_key, rank_within
 
 Tables = dict[str, DataFrame]
 ROUTE_COL = "__mg_sub"
+PRE = "__mg_pre_"  # hidden pre-remap copy of a discriminator, dropped when the log is done
 
 
 def _dtype(df: DataFrame, c: str) -> T.DataType:
@@ -190,7 +191,7 @@ def merge_tables(parent: DataFrame, child: DataFrame, child_name: str, link: str
     if link not in child.columns:
         return parent
     order = [c for c in child_order if c in child.columns] or ["id"]
-    fields = [c for c in child.columns if c not in (link, "id")]
+    fields = [c for c in child.columns if c not in (link, "id") and not c.startswith(PRE)]
     cand = child.filter(F.col(link).isNotNull()).select(
         F.col(link).alias("__mg_link"), *[F.col(c).alias(f"__mg_ord{i}") for i, c in enumerate(order)],
         *[F.col(c) for c in fields],
@@ -245,11 +246,14 @@ def route_column(df: DataFrame, on_field: str, mapping: Mapping[str, str]) -> Co
     return remap(F.col(on_field), mapping, "null")
 
 
-def partition_table(df: DataFrame, on_field: str, mapping: Mapping[str, str]) -> dict[str, DataFrame]:
+def partition_table(df: DataFrame, on_field: str, mapping: Mapping[str, str],
+                    pre: tuple[str, Mapping[str, str]] | None = None) -> dict[str, DataFrame]:
     """Horizontal split by value; unmapped / null values are dropped; discriminator dropped.
 
     Each sub-table is a filter ``on_field IN (values of that sub)`` over the same frame, so the
     predicate reaches the Parquet scan when the column is a plain (possibly renamed) column.
+    ``pre`` = (column holding the value before an enum remap, that remap): the filter is then
+    written on the pre-remap value with the values mapped back, which the scan can evaluate.
     """
     subs: dict[str, list[str]] = {}
     for v, s in mapping.items():
@@ -257,9 +261,14 @@ def partition_table(df: DataFrame, on_field: str, mapping: Mapping[str, str]) ->
     out = {}
     for sub, vals in subs.items():
         if on_field in df.columns and isinstance(_dtype(df, on_field), T.StringType):
-            part = df.filter(F.col(on_field).isin(vals)).drop(on_field)
+            if pre is not None and pre[0] in df.columns:
+                remap_ = pre[1]
+                raw = sorted({k for k, v in remap_.items() if v in vals} | {u for u in vals if u not in remap_})
+                part = df.filter(F.col(pre[0]).isin(raw)).drop(on_field)
+            else:
+                part = df.filter(F.col(on_field).isin(vals)).drop(on_field)
         else:
-            part = df.limit(0)
+            part = df.filter(F.lit(False))
         out[sub] = part
     return out
 
@@ -327,9 +336,30 @@ def apply_log(tables: Mapping[str, DataFrame], log: Sequence[Step], blocks: Mapp
     order = dict(order or {})
     blocks = dict(blocks or {})
     null_present: dict[str, set[str]] = {}
+    # (entity, field) -> (hidden pre-remap column, remap): lets a later partition filter the raw value
+    pre_remap: dict[tuple[str, str], tuple[str, dict]] = {}
     for i, s in enumerate(log):
         if isinstance(s, (Rename, Retype, EnumRemap, Unmapped, FlattenNested, Computed)):
             if s.entity in data:
+                key = (s.entity, getattr(s, "field", None) or getattr(s, "from_", None)
+                       or getattr(s, "dest_field", None))
+                if isinstance(s, EnumRemap):
+                    cur = data[s.entity]
+                    if key in pre_remap or s.field not in cur.columns or not isinstance(_dtype(cur, s.field),
+                                                                                          T.StringType):
+                        pre_remap.pop(key, None)  # chained remaps: keep the plain filter
+                    else:
+                        hidden = f"{PRE}{len(pre_remap)}_{s.field}"
+                        data[s.entity] = cur.withColumn(hidden, F.col(s.field))
+                        pre_remap[key] = (hidden, s.as_dict)
+                elif isinstance(s, Rename) and key in pre_remap:
+                    pre_remap[(s.entity, s.to)] = pre_remap.pop(key)
+                elif isinstance(s, (Retype, Unmapped, FlattenNested)):
+                    pre_remap.pop(key, None)
+                    if isinstance(s, FlattenNested):
+                        pre_remap.pop((s.entity, s.into), None)
+                elif isinstance(s, Computed):
+                    pre_remap.pop((s.entity, s.dest_field), None)
                 data[s.entity] = apply_row_step(data[s.entity], s, s.entity,
                                                 null_present=null_present.get(s.entity, set()))
                 if isinstance(s, Computed) and s.operation in ("multiply", "sum_fields"):
@@ -361,7 +391,8 @@ def apply_log(tables: Mapping[str, DataFrame], log: Sequence[Step], blocks: Mapp
                 data[s.new_entity] = child
         elif isinstance(s, Partition):
             if s.entity in data:
-                data.update(partition_table(data.pop(s.entity), s.on_field, s.as_dict))
+                data.update(partition_table(data.pop(s.entity), s.on_field, s.as_dict,
+                                            pre_remap.get((s.entity, s.on_field))))
         elif isinstance(s, Denormalize):
             if s.entity in data:
                 via_src = _pre_rename(log, s.entity, s.via_field)
@@ -369,7 +400,7 @@ def apply_log(tables: Mapping[str, DataFrame], log: Sequence[Step], blocks: Mapp
                 data[s.entity] = denormalize_table(data[s.entity], originals.get(s.entity), via_src, via_now,
                                                    originals.get(s.from_entity), s.inlined)
                 null_present.setdefault(s.entity, set()).update(d for _, d in s.inlined)
-    return data
+    return {t: df.drop(*[c for c in df.columns if c.startswith(PRE)]) for t, df in data.items()}
 
 
 def _pre_rename(log: Sequence[Step], entity: str, current: str) -> str:

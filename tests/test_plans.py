@@ -40,3 +40,22 @@ def test_dense_id_shuffles_by_bucket_not_to_one_task(spark, monkeypatch):
 def test_merge_first_child_is_partially_aggregated(spark):
     p = plan(ct.t_merge_first_child(spark, SF), "simple")
     assert "partial_min_by" in p
+
+
+def test_partition_after_remap_filters_the_raw_column(spark):
+    from migrata.operators.transforms import apply_log
+    from migrata.spec import log_from_dicts
+    from migrata.plans.scenario import event_s
+    log = log_from_dicts([
+        {"type": "enum_remap", "entity": "Event", "field": "event_type",
+         "mapping": {"click": "Click", "view": "View"}},
+        {"type": "partition", "entity": "Event", "on_field": "event_type",
+         "mapping": {"Click": "ClickEvent", "View": "ViewEvent", "purchase": "PurchaseEvent"}}])
+    out = apply_log({"Event": event_s(spark, SF)}, log)
+    p = plan(out["ClickEvent"])
+    # raw "click" maps to "Click"; a raw "Click" would pass the remap unchanged, so both route here
+    assert "PushedFilters: [In(event_type, [Click,click])]" in p
+    assert out["ClickEvent"].columns == ["id", "user_id", "value"]
+    n = event_s(spark, SF).groupBy("event_type").count().collect()
+    want = {r.event_type: r["count"] for r in n}
+    assert out["ClickEvent"].count() == want["click"] and out["PurchaseEvent"].count() == want["purchase"]
