@@ -324,12 +324,16 @@ def _value_changed(log: Sequence[Step], upto: int, entity: str, name: str) -> bo
 
 
 def apply_log(tables: Mapping[str, DataFrame], log: Sequence[Step], blocks: Mapping[str, Sequence[str]] | None = None,
-              order: Mapping[str, Sequence[str]] | None = None) -> Tables:
+              order: Mapping[str, Sequence[str]] | None = None,
+              routed: dict[str, tuple[DataFrame, list[str]]] | None = None) -> Tables:
     """Fold the whole log over a table set, in log order; returns the destination set.
 
     ``blocks`` gives the field list of each nested block (extract keeps exactly those);
     ``order`` gives the row order of each entity (default ``id``) for split ids, first
-    child and extract ids.
+    child and extract ids.  When ``routed`` is a dict, each partitioned entity whose
+    sub-tables no later step touches is also returned there as one routed frame (rows with
+    their sub-table in ``__mg_sub``) plus its sub names, so a sink can write every
+    sub-table in one pass with ``partitionBy``.
     """
     originals = dict(tables)
     data: Tables = dict(tables)
@@ -391,8 +395,12 @@ def apply_log(tables: Mapping[str, DataFrame], log: Sequence[Step], blocks: Mapp
                 data[s.new_entity] = child
         elif isinstance(s, Partition):
             if s.entity in data:
-                data.update(partition_table(data.pop(s.entity), s.on_field, s.as_dict,
-                                            pre_remap.get((s.entity, s.on_field))))
+                frame = data.pop(s.entity)
+                data.update(partition_table(frame, s.on_field, s.as_dict, pre_remap.get((s.entity, s.on_field))))
+                later = {getattr(t, "entity", None) for t in log[i + 1:]}
+                if routed is not None and not later & set(s.subs):
+                    r = routed_union(frame, s.on_field, s.as_dict)
+                    routed[s.entity] = (r.drop(*[c for c in r.columns if c.startswith(PRE)]), s.subs)
         elif isinstance(s, Denormalize):
             if s.entity in data:
                 via_src = _pre_rename(log, s.entity, s.via_field)

@@ -12,7 +12,7 @@ import os
 
 from pyspark.sql import SparkSession
 
-from ..operators.transforms import apply_log
+from ..operators.transforms import ROUTE_COL, apply_log
 from ..sources.io import write_table_set
 from ..spec import Schema, log_from_dicts
 from .verify import Verifier
@@ -25,10 +25,17 @@ def load_spec(path: str):
     return schema, log_from_dicts(d["log"])
 
 
+ROUTED = "_routed"
+
+
 def _read(spark: SparkSession, base: str, names) -> dict:
+    """Tables by name: ``{base}/{name}``, ``{base}/{name}.parquet``, or a sub-table folder
+    ``{base}/_routed/{entity}/__mg_sub={name}`` written in one pass by ``migrate``."""
+    import glob
     out = {}
     for n in names:
-        for cand in (f"{base}/{n}", f"{base}/{n}.parquet"):
+        cands = [f"{base}/{n}", f"{base}/{n}.parquet"] + sorted(glob.glob(f"{base}/{ROUTED}/*/{ROUTE_COL}={n}"))
+        for cand in cands:
             if os.path.exists(cand) or "://" in base:
                 out[n] = spark.read.parquet(cand)
                 break
@@ -39,8 +46,18 @@ def migrate(spark: SparkSession, spec_path: str, source_base: str, dest_base: st
     """Replay the spec's log over the stored source tables and write every destination table."""
     schema, log = load_spec(spec_path)
     src = _read(spark, source_base, schema.entities)
-    dest = apply_log(src, log, blocks={b: list(f) for b, f in schema.blocks.items()})
-    write_table_set(dest, dest_base)
+    routed: dict = {}
+    dest = apply_log(src, log, blocks={b: list(f) for b, f in schema.blocks.items()}, routed=routed)
+    # sub-tables of a partition: one pass over the entity, one folder per sub-table
+    in_routed = {sub for _, subs in routed.values() for sub in subs}
+    for entity, (frame, _) in routed.items():
+        frame.write.mode("overwrite").partitionBy(ROUTE_COL).parquet(f"{dest_base}/{ROUTED}/{entity}")
+    write_table_set({t: df for t, df in dest.items() if t not in in_routed}, dest_base)
+    # a sub-table with no rows has no partition folder: write it empty so it exists downstream
+    for entity, (frame, subs) in routed.items():
+        for sub in subs:
+            if not os.path.exists(f"{dest_base}/{ROUTED}/{entity}/{ROUTE_COL}={sub}") and "://" not in dest_base:
+                dest[sub].write.mode("overwrite").parquet(f"{dest_base}/{sub}")
     return sorted(dest)
 
 
