@@ -62,13 +62,18 @@ def migrate(spark: SparkSession, spec_path: str, source_base: str, dest_base: st
 
 
 def verify(spark: SparkSession, spec_path: str, source_base: str, dest_base: str, out_base: str,
-           dest_tables=None) -> None:
-    """Score a written destination; writes ``{out}/checks`` and ``{out}/report``."""
+           dest_tables=None, records: bool = False) -> None:
+    """Score a written destination; writes ``{out}/checks`` and ``{out}/report``.
+
+    ``records=True`` reads each destination table as JSON lines into a record bag, so
+    per-row value classes and present ``None`` are scored exactly.
+    """
+    from ..sources.records import read_record_set
     from ..spec import dest_kinds
     schema, log = load_spec(spec_path)
     src = _read(spark, source_base, schema.entities)
     names = list(dest_tables) if dest_tables else list(dest_kinds(schema, log))
-    dest = _read(spark, dest_base, names)
+    dest = read_record_set(spark, dest_base, names) if records else _read(spark, dest_base, names)
     v = Verifier(schema, log, src, dest)
     checks = v.checks()
     checks.write.mode("overwrite").parquet(f"{out_base}/checks")
@@ -88,12 +93,13 @@ def main(argv=None) -> None:
     ap.add_argument("source")
     ap.add_argument("dest")
     ap.add_argument("--out", default=None, help="folder for checks and report (verify)")
+    ap.add_argument("--records", action="store_true", help="destination tables are JSON-lines records (verify)")
     a = ap.parse_args(argv)
     spark = get_spark()
     if a.command == "migrate":
         print(json.dumps(migrate(spark, a.spec, a.source, a.dest)))
     else:
-        verify(spark, a.spec, a.source, a.dest, a.out or f"{a.dest}/_verification")
+        verify(spark, a.spec, a.source, a.dest, a.out or f"{a.dest}/_verification", records=a.records)
 
 
 if __name__ == "__main__":
