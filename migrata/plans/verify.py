@@ -32,7 +32,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.fields import FieldAccess, equal, field_map, id_value, present, select_fields, valid
-from ..functions.values import is_integral, is_numeric
 from ..operators.keys import position_in_group
 from ..operators.transforms import expected_frame
 from ..spec import ALPHA, WEIGHTS, LogContext, Schema, Step, dest_kinds
@@ -52,18 +51,6 @@ def _cntx(cond: Column) -> Column:
     return _f(F.count_if(cond))
 
 
-def norm_id(c: Column, dt: T.DataType) -> Column:
-    """Id value as BIGINT for matching (1 == 1.0 == True); other kinds never match."""
-    if is_integral(dt):
-        return c.cast("bigint")
-    if isinstance(dt, T.BooleanType):
-        return c.cast("bigint")
-    if is_numeric(dt):
-        d = c.cast("double")
-        return F.when(d == F.floor(d), d.cast("bigint"))
-    return F.lit(None).cast("bigint")
-
-
 class Verifier:
     """Scores ``dest`` against ``source`` under ``schema`` + ``log``.
 
