@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators.transforms import apply_row_step, denormalize_table, routed_union
 from ..session import checkpoint_dir
-from ..spec import Computed, Denormalize, EnumRemap, FlattenNested, Partition, Rename, Retype, SpecError, Step, Unmapped
+from ..spec import (Computed, Denormalize, EnumRemap, FlattenNested, Merge, Partition, Rename, Retype, SpecError, Split,
+                    Step, Unmapped)
 
 ROW_LOCAL = (Rename, Retype, EnumRemap, Unmapped, FlattenNested, Computed)
 
@@ -40,11 +41,19 @@ def replay_stream(stream: DataFrame, entity: str, log: Sequence[Step],
             stream = denormalize_table(stream, stream, s.via_field, s.via_field, static.get(s.from_entity),
                                        s.inlined)
             null_present.update(d for _, d in s.inlined)
-        elif getattr(s, "entity", None) == entity and not isinstance(s, Partition):
+        elif entity in _entities_of(s) and not isinstance(s, Partition):
             raise SpecError(f"{s.type} needs the whole table and cannot run on a stream")
     return stream
 
 
+def _entities_of(s: Step) -> set[str]:
+    if isinstance(s, Split):
+        return {s.from_}
+    if isinstance(s, Merge):
+        return {s.parent, s.child}
+    return {getattr(s, "entity", None)} - {None}
+
+
 def route_stream(stream: DataFrame, step: Partition) -> DataFrame:
     """Routable rows with their sub-table in ``__mg_sub`` (the discriminator dropped)."""
     return routed_union(stream, step.on_field, step.as_dict)

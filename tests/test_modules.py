@@ -115,3 +115,15 @@ def test_jobs_verify_json_records(spark, tmp_path):
         df.write.mode("overwrite").json(str(tmp_path / "dst" / name))
     jobs.verify(spark, str(spec), str(tmp_path / "src"), str(tmp_path / "dst"), str(tmp_path / "out"), records=True)
     assert spark.read.parquet(str(tmp_path / "out" / "report")).first().total == pytest.approx(100.0, abs=1e-6)
+
+
+def test_stream_rejects_whole_table_steps(spark):
+    from migrata.spec import SpecError, log_from_dicts
+    from migrata.streaming import replay_stream
+    stream = spark.readStream.format("rate").option("rowsPerSecond", 1).load().selectExpr("value AS id")
+    log = log_from_dicts([{"type": "split", "from": "E", "into": ["E", "EDetail"], "moved_fields": ["x"],
+                           "link_field": "e_id"}])
+    with pytest.raises(SpecError):
+        replay_stream(stream, "E", log)
+    ok = replay_stream(stream, "E", log_from_dicts([{"type": "rename", "entity": "E", "from": "id", "to": "key"}]))
+    assert ok.isStreaming and ok.columns == ["key"]
