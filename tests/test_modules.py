@@ -127,3 +127,20 @@ def test_stream_rejects_whole_table_steps(spark):
         replay_stream(stream, "E", log)
     ok = replay_stream(stream, "E", log_from_dicts([{"type": "rename", "entity": "E", "from": "id", "to": "key"}]))
     assert ok.isStreaming and ok.columns == ["key"]
+
+
+def test_preconditions_reject_unsafe_steps():
+    from migrata.spec import Schema, check_preconditions, log_from_dicts
+    sch = Schema.from_dict({"entities": {
+        "A": {"fields": {"id": {"kind": "id"}, "x": {"kind": "text"}}},
+        "B": {"fields": {"id": {"kind": "id"}, "a_id": {"kind": "ref", "target": "A"},
+                         "k": {"kind": "enum", "values": ["p", "q"]}}},
+        "C": {"fields": {"id": {"kind": "id"}, "a_id": {"kind": "ref", "target": "A"}}}}})
+    split = log_from_dicts([{"type": "split", "from": "A", "into": ["A", "ADetail"], "moved_fields": ["x"],
+                             "link_field": "a_id"}])
+    assert any("needs >= 4 fields" in p for p in check_preconditions(sch, split))
+    merge = log_from_dicts([{"type": "merge", "from": ["A", "B"], "into": "AB", "dropped_link_field": "a_id"}])
+    assert any("C.a_id refers to the parent" in p for p in check_preconditions(sch, merge))
+    part = log_from_dicts([{"type": "partition", "entity": "A", "on_field": "x", "mapping": {"p": "P"}}])
+    probs = check_preconditions(sch, part)
+    assert any("referenced by" in p for p in probs) and any("must be an enum" in p for p in probs)
