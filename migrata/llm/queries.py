@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from migrata.llm import bpe, decontaminate, html, licenses, quality, reshard, search, warc
+from migrata.llm import bpe, decontaminate, html, licenses, quality, reshard, search, simhash, warc
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op2_min_cost_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshard.report(_table(spark, sf_dir, "documents"))
 
