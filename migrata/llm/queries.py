@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from migrata.llm import bpe, decontaminate, html, licenses, quality, reshard, search, simhash, warc
+from migrata.llm import bpe, decontaminate, html, licenses, lines, quality, reshard, search, simhash, warc
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -24,6 +24,10 @@ def op2_min_cost_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshard.report(_table(spark, sf_dir, "documents"))
 
 
+def op3_fuzzy_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(_table(spark, sf_dir, "documents"))
+
+
 def op4_dictionary_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages"))
 
