@@ -94,17 +94,16 @@ def decode(encoded: DataFrame, rank_file: str, pattern: str, ids_col: str = "ids
     return map_texts(encoded, [col(k) for k in keep], [col(ids_col)], [T.StructField("decoded", T.BinaryType())], make)
 
 
-def digests(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Round trip of every text: token count and digests of the ids and of the decoded bytes."""
-    ids = encode(docs, rank_file, pattern, text_col, keep=(id_col,))
-    both = decode(ids, rank_file, pattern, keep=(id_col, "ids")) if id_col != "ids" else None
-    if both is None:
-        raise ValueError("the id column may not be called ids")
+def digests(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
+    """Round trip of every text: token count and digests of the ids and of the decoded bytes; ``ids`` adds the packed ids."""
+    coded = encode(docs.select(col(id_col).alias("id"), col(text_col).alias("text")), rank_file, pattern, keep=("id",))
+    both = decode(coded, rank_file, pattern, keep=("id", "ids"))
     return both.select(
-        col(id_col),
+        F.col("id").alias(id_col),
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        *([F.col("ids")] if ids else []),
     )
 
 
