@@ -93,12 +93,14 @@ def map_texts(
     ``None``.
     """
     small_batches(df.sparkSession)
-    narrow = df.select(*keep, *[c.alias(f"__in{i}") for i, c in enumerate(inputs)])
+    narrow = df.select(*keep, *inputs)
     n_keep = len(keep)
     kept = narrow.schema.fields[:n_keep]
-    schema = T.StructType([*kept, *fields])
+    final = [f.name for f in (*kept, *fields)]
+    # plain names on the way: a column may be called anything, and names may clash
+    names = [f"c{i}" for i in range(len(final))]
+    schema = T.StructType([T.StructField(c, f.dataType, f.nullable) for c, f in zip(names, (*kept, *fields))])
     types = [to_arrow_schema(T.StructType([f])).field(0).type for f in fields]
-    names = schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = None
@@ -112,4 +114,4 @@ def map_texts(
                 arrays = [x if isinstance(x, pa.Array) else pa.array(x, type=t) for x, t in zip(out, types)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:n_keep], *arrays], names=names)
 
-    return narrow.mapInArrow(run, schema)
+    return narrow.toDF(*[f"c{i}" for i in range(len(narrow.columns))]).mapInArrow(run, schema).toDF(*final)

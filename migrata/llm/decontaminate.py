@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from migrata.llm.common import col, map_texts, stored
+from migrata.llm.common import col, fresh, map_texts, stored
 
 WINDOW = 10
 CHUNK_WORDS = 100_000
@@ -298,9 +298,10 @@ def remove(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: s
             return work
 
         others = [c for c in now.columns if c != text_col]
-        fields = [T.StructField("__text", T.StringType()), T.StructField("__keep", T.BooleanType())]
-        done = map_texts(now, [col(c) for c in others], [col(text_col)], fields, make).where("__keep")
-        now = done.select(*[F.col("__text").alias(c) if c == text_col else col(c) for c in docs.columns])
+        text, keep = fresh(docs, "__text"), fresh(docs, "__keep")
+        fields = [T.StructField(text, T.StringType()), T.StructField(keep, T.BooleanType())]
+        done = map_texts(now, [col(c) for c in others], [col(text_col)], fields, make).where(col(keep))
+        now = done.select(*[col(text).alias(c) if c == text_col else col(c) for c in docs.columns])
     return now
 
 

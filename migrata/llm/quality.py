@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from migrata.llm.common import col, map_texts, stored
+from migrata.llm.common import col, fresh, map_texts, stored
 
 FEATURES = (
     "log_chars", "log_words", "word_length", "upper_share", "digit_share", "space_share", "symbol_share", "odd_symbol_share",
@@ -249,7 +249,7 @@ def train(featured: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_
     if n > max_rows:
         rows = rows.where(F.pmod(F.xxhash64("__id"), F.lit(1 << 30)) < int(max_rows / n * (1 << 30)))
     got = rows.select("features", "__y").toPandas()
-    x = np.array(got["features"].tolist(), dtype=np.float64).reshape(len(got), -1)
+    x = np.array(got["features"].tolist(), dtype=np.float64).reshape(len(got), len(FEATURES))
     return fit(x, got["__y"].to_numpy(dtype=np.float64))
 
 
@@ -285,6 +285,6 @@ def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             return ((model.score(x) >= 0.5).tolist(),)
         return work
 
-    flag = "__keep"
+    flag = fresh(docs, "__keep")
     out = map_texts(docs, [col(c) for c in docs.columns], [col(text_col)], [T.StructField(flag, T.BooleanType())], make)
-    return out.where(flag).drop(flag)
+    return out.where(col(flag)).drop(flag)

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from migrata.llm.common import col, scratch, stored
+from migrata.llm.common import col, scratch
 
 BLOCKS = 4096
 SHARDS = 16
@@ -62,6 +62,9 @@ def size_of(text: Column) -> Column:
 def lay_out(docs: DataFrame, shard: Column, size: Column, shards: int = SHARDS) -> Layout:
     """``docs`` written as a sharded table; ``shard`` gives each row's old shard."""
     spark = docs.sparkSession
+    taken = {c.lower() for c in docs.columns} & {_SHARD, _ROW, _BLOCK, _SIZE, "__from"}
+    if taken:
+        raise ValueError(f"a layout has columns of its own called {sorted(taken)}")
     path = scratch(spark, "layout")
     # the row number is fixed by the write, so it may depend on the input's partitions
     (docs.withColumn(_ROW, F.monotonically_increasing_id())

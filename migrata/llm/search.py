@@ -176,7 +176,7 @@ def search(vectors: DataFrame, queries: DataFrame | None = None, id_col: str = "
     n = rows.count()
     some = rows if n <= sample else rows.where(F.pmod(F.xxhash64("id", "vec"), F.lit(1 << 30)) < int(sample / n * (1 << 30)))
     x = np.array([r["vec"] for r in some.select("vec").distinct().orderBy("vec").collect()], dtype=np.float64)
-    router = learn(x.reshape(len(x), -1), parts)
+    router = learn(x.reshape(len(x), -1) if len(x) else np.empty((0, 1)), parts)
     shipped = spark.sparkContext.broadcast(router)
     parts = len(router.b2)
     probes = min(probes, parts)

@@ -151,15 +151,17 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     smallest row hash; of rows alike in every column, one).  Texts are shuffled once, by that key."""
     h, k = fresh(docs, "__row"), fresh(docs, "__id")
     rows = docs.withColumn(h, F.xxhash64(*[col(c) for c in docs.columns])).withColumn(k, col(id_col))
-    prints = stored(fingerprints(rows, [F.col(k).alias("id"), F.col(h).alias("row")], text_col, shingle), "fingerprints")
+    prints = stored(fingerprints(rows, [col(k).alias("id"), col(h).alias("row")], text_col, shingle), "fingerprints")
     labelled = prints.join(classes(prints, "id", max_bits), "fp").groupBy("component_id", "fp", "id", "row").agg(F.count(F.lit(1)).alias("n"))
     best = labelled.groupBy(F.col("component_id").alias("c")).agg(F.min(F.struct("id", "row")).alias("best"))
     chosen = labelled.join(best, F.col("component_id").eqNullSafe(F.col("c"))).select(
-        F.col("id").alias("lid"), F.col("row").alias("lrow"), "n", F.col("best").eqNullSafe(F.struct("id", "row")).alias("stays"))
-    marked = stored(chosen.where("not stays or n > 1"), "marked")
-    out = rows.join(marked, F.col(k).eqNullSafe(F.col("lid")) & (F.col(h) == F.col("lrow")), "left")
-    kept = out.where("stays is null").select(*[col(c) for c in docs.columns])
-    if marked.where("stays").isEmpty():
+        "id", "row", "n", F.col("best").eqNullSafe(F.struct("id", "row")).alias("stays"))
+    names = [fresh(rows, f"__{x}") for x in ("lid", "lrow", "n", "stays")]
+    marked = stored(chosen.where("not stays or n > 1").toDF(*names), "marked")
+    lid, lrow, _, stays = map(col, names)
+    out = rows.join(marked, col(k).eqNullSafe(lid) & (col(h) == lrow), "left")
+    kept = out.where(stays.isNull()).select(*[col(c) for c in docs.columns])
+    if marked.where(stays).isEmpty():
         return kept
-    repeated = out.where("stays").dropDuplicates([k, h]).select(*[col(c) for c in docs.columns])
+    repeated = out.where(stays).dropDuplicates([k, h]).select(*[col(c) for c in docs.columns])
     return kept.unionByName(repeated)
