@@ -323,6 +323,20 @@ def _value_changed(log: Sequence[Step], upto: int, entity: str, name: str) -> bo
     return False
 
 
+def _touched(s: Step) -> set[str]:
+    """Every table that a step reads rows of or writes."""
+    return {name for a in ("entity", "from_", "detail", "parent", "child", "into", "new_entity")
+            if isinstance(name := getattr(s, a, None), str)}
+
+
+def _source_name(log: Sequence[Step], entity: str, now: str) -> str:
+    """The source name of a field, walking its renames backwards from the present one."""
+    for s in reversed(log):
+        if isinstance(s, Rename) and (s.entity, s.to) == (entity, now):
+            now = s.from_
+    return now
+
+
 def apply_log(tables: Mapping[str, DataFrame], log: Sequence[Step], blocks: Mapping[str, Sequence[str]] | None = None,
               order: Mapping[str, Sequence[str]] | None = None,
               routed: dict[str, tuple[DataFrame, list[str]]] | None = None) -> Tables:
@@ -397,13 +411,13 @@ def apply_log(tables: Mapping[str, DataFrame], log: Sequence[Step], blocks: Mapp
             if s.entity in data:
                 frame = data.pop(s.entity)
                 data.update(partition_table(frame, s.on_field, s.as_dict, pre_remap.get((s.entity, s.on_field))))
-                later = {getattr(t, "entity", None) for t in log[i + 1:]}
+                later = {name for t in log[i + 1:] for name in _touched(t)}
                 if routed is not None and not later & set(s.subs):
                     r = routed_union(frame, s.on_field, s.as_dict)
                     routed[s.entity] = (r.drop(*[c for c in r.columns if c.startswith(PRE)]), s.subs)
         elif isinstance(s, Denormalize):
             if s.entity in data:
-                via_src = _pre_rename(log, s.entity, s.via_field)
+                via_src = _source_name(log[:i], s.entity, s.via_field)
                 via_now = None if _value_changed(log, i, s.entity, s.via_field) else s.via_field
                 data[s.entity] = denormalize_table(data[s.entity], originals.get(s.entity), via_src, via_now,
                                                    originals.get(s.from_entity), s.inlined)
@@ -411,13 +425,6 @@ def apply_log(tables: Mapping[str, DataFrame], log: Sequence[Step], blocks: Mapp
     return {t: df.drop(*[c for c in df.columns if c.startswith(PRE)]) for t, df in data.items()}
 
 
-def _pre_rename(log: Sequence[Step], entity: str, current: str) -> str:
-    for s in log:
-        if isinstance(s, Rename) and s.entity == entity and s.to == current:
-            return s.from_
-    return current
-
-
 def expected_frame(df: DataFrame, entity: str, log: Sequence[Step], split_drop: bool = True) -> DataFrame:
     """Record replay of the row-local steps of ``entity`` (the verifier's expected row).
 

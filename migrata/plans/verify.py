@@ -142,8 +142,8 @@ class Verifier:
             *[F.coalesce(F.col(x).cast("double"), F.lit(0.0)).alias(x) for x in "abcde"]))
 
     def _row(self, base: DataFrame | None, axis: str, check: str, entity: str, step: int | None, kind: str,
-             **vals: Column) -> None:
-        """Queue one check row: aggregates ``vals`` over ``base`` (constants when base is None).
+             **vals: Column | float) -> None:
+        """Queue one check row: aggregates ``vals`` over ``base`` (plain numbers when base is None).
 
         Rows queued on the same frame are computed by one aggregate (one scan) in ``_flush``.
         """
@@ -151,7 +151,7 @@ class Verifier:
             return
         meta = (axis, check, entity, step, kind)
         if base is None:
-            self._const.append(meta)
+            self._const.append((*meta, *(float(vals.get(x, 0.0)) for x in "abcde")))
             return
         key = id(base)
         if key not in self._pending:
@@ -177,8 +177,7 @@ class Verifier:
             self._parts.append(agg.select(F.expr("inline(array(" + ", ".join(structs) + "))")))
         self._pending = {}
         if self._const:
-            rows = [(a, c, e, st, k, 0.0, 0.0, 0.0, 0.0, 0.0) for a, c, e, st, k in self._const]
-            self._parts.append(self.spark.createDataFrame(rows, LONG_SCHEMA))
+            self._parts.append(self.spark.createDataFrame(self._const, LONG_SCHEMA))
             self._const = []
 
     def _count_row(self, df: DataFrame | None, axis: str, check: str, entity: str, step: int | None, kind: str,
@@ -364,7 +363,7 @@ class Verifier:
         """Distinct (target, id) where a target's ids live in the destination."""
         frames = []
         for t in sorted(set(targets)):
-            for table in self.ctx.target_tables(t):
+            for table in self.ctx.id_tables(t):
                 if table in self.dest:
                     frames.append(self._dest_norm(table).select(F.lit(t).alias("target"), F.col("id")))
         if not frames:
@@ -415,7 +414,7 @@ class Verifier:
                     self._row(None, "structural", "v_str_presence", s.into, i, "presence")
             elif tp == "split":
                 src = self._src(s.from_)
-                loc = ctx.records_location(s.detail, self.dest.keys())
+                loc = ctx.tables_of(s.detail, self.dest.keys())
                 self._count_row(src, "coverage", "v_cov_split", s.detail, i, "least", "a")
                 self._count_rows(self._rows_of(loc), "v_cov_split", "coverage", s.detail, i, "least", "b")
                 self._count_row(src, "structural", "v_str_presence", s.detail, i, "presence", "a")
@@ -541,21 +540,14 @@ class Verifier:
         ctx = self.ctx
         ent = s.entity
         if ent in self.dest:
-            host = None
-            if s.into in self.kinds.get(ent, {}):
-                host = ent
-            else:
-                for sp in ctx.splits:
-                    if sp.from_ == ent and s.into in sp.moved_fields:
-                        if s.into in self.kinds.get(sp.detail, {}):
-                            host = sp.detail
-                        break
+            host = next(iter(ctx.hosts(ent, s.into)), None)
             parent = self.dest[ent]
             np_p = self._np_dest(ent)
             absent = (lambda fr: ~self._has(fr, s.field, np_p))
             self._share([parent], absent, "v_str_flatten", ent, i, "flatten", "c", "d")
             if host is None:
-                self._row(None, "structural", "v_str_flatten", ent, i, "flatten", e=F.lit(1.0))
+                # the log itself takes the count away again: nothing to find, so it counts as found
+                self._row(None, "structural", "v_str_flatten", ent, i, "flatten", e=1.0)
             elif host in self.dest:
                 np_h = self._np_dest(host)
                 self._share([self.dest[host]], lambda fr: self._has(fr, s.into, np_h),
@@ -598,7 +590,7 @@ class Verifier:
         src, frm = self._src(ent), self._src(s.from_entity)
         if src is None or dst is None or not self.wants("v_fid_denorm"):
             return
-        via = self.ctx.via_source_name(ent, s.via_field)
+        via = self.ctx.source_field_name(ent, s.via_field)
         d1 = self._dedup(self._dest_norm(ent), ["id"])
         dfm = field_map(d1.schema)
         ds = d1.select(F.col("id").alias("__did"), *select_fields(dfm, [d for _, d in s.inlined], "d__"))

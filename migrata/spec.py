@@ -1,4 +1,4 @@
-"""Migration spec: schema, field kinds, ordered transform log, and the schema fold.
+"""Migration spec: schema, field kinds, ordered transform log, and the one fold over it.
 
 Everything here is driver-side metadata.  No rows ever pass through this module;
 it only decides which column expressions and joins the Spark plans are built from.
@@ -10,10 +10,9 @@ so existing JSON logs can be used unchanged.
 
 from __future__ import annotations
 
-import copy
 import json
-from dataclasses import dataclass, field
-from typing import Any, Iterable, Mapping
+from dataclasses import dataclass, field, replace
+from typing import Any, ClassVar, Iterable, Mapping
 
 # ---------------------------------------------------------------------------
 # Kind names, structural step types, coercions, score weights.
@@ -95,9 +94,6 @@ class Schema:
             }
         return out
 
-    def copy(self) -> "Schema":
-        return Schema(copy.deepcopy(self.entities), copy.deepcopy(self.blocks))
-
     def kinds(self, entity: str) -> dict[str, str | None]:
         return {f: fd.kind for f, fd in self.entities.get(entity, {}).items()}
 
@@ -124,113 +120,354 @@ def validate_schema(schema: Schema) -> list[str]:
 
 
 # ---------------------------------------------------------------------------
-# Steps
+# Shape: what the tables look like at one point of a log
+# ---------------------------------------------------------------------------
+Fields = Mapping[str, FieldDef]
+
+
+@dataclass(frozen=True)
+class Shape:
+    """Tables between two steps, and where the names of the source went.
+
+    Every step maps one shape to the next (``Step.on``); nothing is changed in place.  All that the
+    verifier asks about a log is read off the last shape:
+
+    * ``tables``  - field definitions per table
+    * ``blocks``  - fields of nested blocks
+    * ``names``   - (entity, name before its renames) -> name it was last seen under
+    * ``homes``   - table that a step took away -> tables that hold its rows instead
+    * ``absorbed``- tables whose rows went into another one's rows (merge children)
+    * ``filled``  - table -> columns that the log writes in every row
+    """
+
+    tables: Mapping[str, Fields]
+    blocks: Mapping[str, Fields]
+    names: Mapping[tuple[str, str], str]
+    homes: Mapping[str, tuple[str, ...]]
+    absorbed: frozenset[str]
+    filled: Mapping[str, frozenset[str]]
+
+    @staticmethod
+    def start(schema: "Schema") -> "Shape":
+        return Shape(schema.entities, schema.blocks, {}, {}, frozenset(), {})
+
+    def fields(self, table: str) -> Fields:
+        return self.tables.get(table, {})
+
+    def with_tables(self, changed: Mapping[str, Fields], without: Iterable[str] = ()) -> "Shape":
+        gone = set(without) - set(changed)
+        return replace(self, tables={t: f for t, f in {**self.tables, **changed}.items() if t not in gone})
+
+    def with_fields(self, table: str, changed: Fields, without: Iterable[str] = ()) -> "Shape":
+        """``table`` with fields added or replaced and others left out (an unknown table stays unknown)."""
+        if table not in self.tables:
+            return self
+        gone = set(without) - set(changed)
+        return self.with_tables({table: {f: d for f, d in {**self.tables[table], **changed}.items() if f not in gone}})
+
+    def moved(self, table: str, to: Iterable[str]) -> "Shape":
+        return self if table in self.homes else replace(self, homes={**self.homes, table: tuple(to)})
+
+    def writes(self, table: str, columns: Iterable[str]) -> "Shape":
+        return replace(self, filled={**self.filled, table: self.filled.get(table, frozenset()) | set(columns)})
+
+    def refs_to(self, table: str) -> list[tuple[str, str]]:
+        return [(t, f) for t, fs in self.tables.items() for f, d in fs.items() if d.kind == "ref" and d.target == table]
+
+    def source_name(self, entity: str, now: str) -> str:
+        """The name a field of ``entity`` had in the source, given its present one."""
+        return next((before for (e, before), after in self.names.items() if e == entity and after == now), now)
+
+
+# ---------------------------------------------------------------------------
+# Steps: dict form, preconditions and effect on a shape, one class each
 # ---------------------------------------------------------------------------
 @dataclass(frozen=True)
-class Rename:
+class Step:
+    """One log step.  ``type`` is its name in the dict form."""
+
+    type: ClassVar[str] = ""
+
+    @classmethod
+    def read(cls, d: Mapping[str, Any]) -> "Step":
+        raise NotImplementedError
+
+    def write(self) -> dict:
+        raise NotImplementedError
+
+    def faults(self, shape: Shape) -> Iterable[str]:
+        """What is wrong with applying the step to ``shape``."""
+        return ()
+
+    def on(self, shape: Shape) -> Shape:
+        return shape
+
+
+@dataclass(frozen=True)
+class Rename(Step):
     entity: str
     from_: str
     to: str
-    type: str = "rename"
+    type: ClassVar[str] = "rename"
+
+    @classmethod
+    def read(cls, d):
+        return cls(d["entity"], d["from"], d["to"])
+
+    def write(self):
+        return {"type": self.type, "entity": self.entity, "from": self.from_, "to": self.to}
+
+    def on(self, shape):
+        before = shape.source_name(self.entity, self.from_)
+        shape = replace(shape, names={**shape.names, (self.entity, before): self.to})
+        held = shape.fields(self.entity)
+        if self.from_ not in held:
+            return shape
+        return shape.with_tables({self.entity: {self.to if f == self.from_ else f: d for f, d in held.items()}})
 
 
 @dataclass(frozen=True)
-class Retype:
+class Retype(Step):
     entity: str
     field: str
     from_: str
     to: str
-    type: str = "retype"
+    type: ClassVar[str] = "retype"
+
+    @classmethod
+    def read(cls, d):
+        return cls(d["entity"], d["field"], d["from"], d["to"])
+
+    def write(self):
+        return {"type": self.type, "entity": self.entity, "field": self.field, "from": self.from_, "to": self.to}
+
+    def on(self, shape):
+        known = self.field in shape.fields(self.entity)
+        return shape.with_fields(self.entity, {self.field: FieldDef(self.to)}) if known else shape
+
+
+class _Mapped(Step):
+    """Steps with an ordered value mapping."""
+
+    @property
+    def as_dict(self) -> dict[str, str]:
+        return dict(self.mapping)
 
 
 @dataclass(frozen=True)
-class EnumRemap:
+class EnumRemap(_Mapped):
     entity: str
     field: str
     mapping: tuple[tuple[str, str], ...]
-    type: str = "enum_remap"
+    type: ClassVar[str] = "enum_remap"
 
-    @property
-    def as_dict(self) -> dict[str, str]:
-        return dict(self.mapping)
+    @classmethod
+    def read(cls, d):
+        return cls(d["entity"], d["field"], tuple(d["mapping"].items()))
+
+    def write(self):
+        return {"type": self.type, "entity": self.entity, "field": self.field, "mapping": self.as_dict}
+
+    def on(self, shape):
+        held = shape.fields(self.entity).get(self.field)
+        if held is None:
+            return shape
+        return shape.with_fields(self.entity, {self.field: replace(held, values=tuple(self.as_dict.values()))})
 
 
 @dataclass(frozen=True)
-class Unmapped:
+class Unmapped(Step):
     entity: str
     field: str
-    type: str = "unmapped"
+    type: ClassVar[str] = "unmapped"
+
+    @classmethod
+    def read(cls, d):
+        return cls(d["entity"], d["field"])
+
+    def write(self):
+        return {"type": self.type, "entity": self.entity, "field": self.field}
+
+    def on(self, shape):
+        return shape.with_fields(self.entity, {}, without=[self.field])
 
 
 @dataclass(frozen=True)
-class FlattenNested:
+class FlattenNested(Step):
     entity: str
     field: str
     block: str
     into: str
     strategy: str = "count"
-    type: str = "flatten_nested"
+    type: ClassVar[str] = "flatten_nested"
+
+    @classmethod
+    def read(cls, d):
+        return cls(d["entity"], d["field"], d.get("block", ""), d["into"], d.get("strategy", "count"))
+
+    def write(self):
+        return {"type": self.type, "entity": self.entity, "field": self.field, "block": self.block, "into": self.into,
+                "strategy": self.strategy}
+
+    def on(self, shape):
+        return shape.with_fields(self.entity, {self.into: FieldDef("number")}, without=[self.field])
 
 
 @dataclass(frozen=True)
-class Split:
+class Split(Step):
     from_: str
     detail: str
     moved_fields: tuple[str, ...]
     link_field: str
-    type: str = "split"
+    type: ClassVar[str] = "split"
+
+    @classmethod
+    def read(cls, d):
+        return cls(d["from"], d["into"][1], tuple(d["moved_fields"]), d["link_field"])
+
+    def write(self):
+        return {"type": self.type, "from": self.from_, "into": [self.from_, self.detail],
+                "moved_fields": list(self.moved_fields), "link_field": self.link_field}
+
+    def faults(self, shape):
+        if self.from_ not in shape.tables:
+            yield f"split {self.from_}: no such table"
+            return
+        held = shape.fields(self.from_)
+        plain = [f for f, d in held.items() if d.kind not in ("id", "ref", "nested")]
+        if len(held) < 4 or len(plain) < 2:
+            yield f"split {self.from_}: needs >= 4 fields and >= 2 scalars"
+        if self.detail in shape.tables:
+            yield f"split {self.from_}: {self.detail} already exists"
+
+    def on(self, shape):
+        held = shape.fields(self.from_)
+        detail = {"id": FieldDef("id"), self.link_field: FieldDef("ref", target=self.from_)}
+        detail |= {f: held[f] for f in self.moved_fields if f in held}
+        return shape.with_fields(self.from_, {}, without=self.moved_fields).with_tables({self.detail: detail})
 
 
 @dataclass(frozen=True)
-class Merge:
+class Merge(Step):
     parent: str
     child: str
     into: str
     dropped_link_field: str
-    type: str = "merge"
+    type: ClassVar[str] = "merge"
+
+    @classmethod
+    def read(cls, d):
+        return cls(d["from"][0], d["from"][1], d["into"], d["dropped_link_field"])
+
+    def write(self):
+        return {"type": self.type, "from": [self.parent, self.child], "into": self.into,
+                "dropped_link_field": self.dropped_link_field}
+
+    def faults(self, shape):
+        for t in (self.parent, self.child):
+            if t not in shape.tables:
+                yield f"merge {self.parent}+{self.child}: no table {t}"
+        if sum(d.kind == "ref" for d in shape.fields(self.child).values()) != 1:
+            yield f"merge {self.parent}+{self.child}: child must have exactly one ref"
+        for t, f in shape.refs_to(self.child):
+            yield f"merge: {t}.{f} refers to the child {self.child}"
+        for t, f in shape.refs_to(self.parent):
+            if t != self.child:
+                yield f"merge: {t}.{f} refers to the parent {self.parent}"
+
+    def on(self, shape):
+        joined = dict(shape.fields(self.parent))
+        for f, d in shape.fields(self.child).items():
+            if d.kind != "id" and f != self.dropped_link_field:
+                joined[merged_column_name(f, joined, self.child)] = d
+        kept = {t: {f: replace(d, target=self.into) if d.kind == "ref" and d.target == self.parent else d for f, d in fs.items()}
+                for t, fs in {**shape.tables, self.into: joined}.items() if t == self.into or t not in (self.parent, self.child)}
+        after = replace(shape, absorbed=shape.absorbed | {self.child}).with_tables(kept, without=[self.parent, self.child])
+        return after.moved(self.parent, [self.into]).moved(self.child, [self.into])
 
 
 @dataclass(frozen=True)
-class ExtractNested:
+class ExtractNested(Step):
     entity: str
     field: str
     block: str
     new_entity: str
     link_field: str
-    type: str = "extract_nested"
+    type: ClassVar[str] = "extract_nested"
+
+    @classmethod
+    def read(cls, d):
+        return cls(d["entity"], d["field"], d.get("block", ""), d["new_entity"], d["link_field"])
+
+    def write(self):
+        return {"type": self.type, "entity": self.entity, "field": self.field, "block": self.block,
+                "new_entity": self.new_entity, "link_field": self.link_field}
+
+    def on(self, shape):
+        rows = {"id": FieldDef("id"), self.link_field: FieldDef("ref", target=self.entity), **shape.blocks.get(self.block, {})}
+        return shape.with_fields(self.entity, {}, without=[self.field]).with_tables({self.new_entity: rows})
 
 
 @dataclass(frozen=True)
-class Partition:
+class Partition(_Mapped):
     entity: str
     on_field: str
     mapping: tuple[tuple[str, str], ...]  # (value, sub entity), in declared order
-    type: str = "partition"
+    type: ClassVar[str] = "partition"
 
-    @property
-    def as_dict(self) -> dict[str, str]:
-        return dict(self.mapping)
+    @classmethod
+    def read(cls, d):
+        return cls(d["entity"], d["on_field"], tuple(d["mapping"].items()))
+
+    def write(self):
+        return {"type": self.type, "entity": self.entity, "on_field": self.on_field, "mapping": self.as_dict}
 
     @property
     def subs(self) -> list[str]:
-        seen: list[str] = []
-        for _, s in self.mapping:
-            if s not in seen:
-                seen.append(s)
-        return seen
+        return list(dict.fromkeys(sub for _, sub in self.mapping))
+
+    def faults(self, shape):
+        for t, f in shape.refs_to(self.entity):
+            yield f"partition {self.entity}: referenced by {t}.{f}"
+        held = shape.fields(self.entity).get(self.on_field)
+        if held is None or held.kind != "enum" or len(held.values or ()) < 2:
+            yield f"partition {self.entity}: {self.on_field} must be an enum with >= 2 values"
+
+    def on(self, shape):
+        kept = {f: d for f, d in shape.fields(self.entity).items() if f != self.on_field}
+        return shape.with_tables({sub: kept for sub in self.subs}, without=[self.entity]).moved(self.entity, self.subs)
 
 
 @dataclass(frozen=True)
-class Denormalize:
+class Denormalize(Step):
     entity: str
     via_field: str
     from_entity: str
     inlined: tuple[tuple[str, str], ...]  # (source_field, dest_field)
-    type: str = "denormalize"
+    type: ClassVar[str] = "denormalize"
+
+    @classmethod
+    def read(cls, d):
+        return cls(d["entity"], d["via_field"], d["from_entity"], tuple((i["source_field"], i["dest_field"]) for i in d["inlined"]))
+
+    def write(self):
+        return {"type": self.type, "entity": self.entity, "via_field": self.via_field, "from_entity": self.from_entity,
+                "inlined": [{"source_field": a, "dest_field": b} for a, b in self.inlined]}
+
+    def faults(self, shape):
+        if self.from_entity not in shape.tables:
+            gone = self.from_entity in shape.homes
+            yield f"denormalize {self.entity}: {self.from_entity} {'did not survive' if gone else 'is an unknown source'}"
+
+    def on(self, shape):
+        # values are looked up in the source, so its definitions count, not those of the moment
+        looked_up = shape.blocks.get(SOURCE + self.from_entity, shape.fields(self.from_entity))
+        added = {now: looked_up.get(before, FieldDef("text")) for before, now in self.inlined}
+        return shape.with_fields(self.entity, added).writes(self.entity, added)
 
 
 @dataclass(frozen=True)
-class Computed:
+class Computed(Step):
     entity: str
     operation: str
     dest_field: str
@@ -238,81 +475,43 @@ class Computed:
     separator: str = " "
     source_field: str | None = None
     value: Any = None
-    type: str = "computed"
+    type: ClassVar[str] = "computed"
+
+    @classmethod
+    def read(cls, d):
+        return cls(d["entity"], d["operation"], d["dest_field"], tuple(d.get("source_fields") or ()),
+                   d.get("separator", " "), d.get("source_field"), d.get("value"))
+
+    def write(self):
+        out = {"type": self.type, "entity": self.entity, "operation": self.operation, "dest_field": self.dest_field}
+        if self.operation == "bool_from_enum":
+            return out | {"source_field": self.source_field, "value": self.value}
+        out["source_fields"] = list(self.source_fields)
+        return out | {"separator": self.separator} if self.operation == "concat" else out
+
+    def faults(self, shape):
+        if self.operation not in COMPUTED_OPS:
+            yield f"computed {self.entity}.{self.dest_field}: unknown operation {self.operation!r}"
 
+    def on(self, shape):
+        return shape.with_fields(self.entity, {self.dest_field: FieldDef(computed_kind(self.operation))}).writes(
+            self.entity, [self.dest_field])
 
-Step = Rename | Retype | EnumRemap | Unmapped | FlattenNested | Split | Merge | ExtractNested | Partition | Denormalize | Computed
+
+_STEPS = {c.type: c for c in (Rename, Retype, EnumRemap, Unmapped, FlattenNested, Split, Merge, ExtractNested, Partition,
+                              Denormalize, Computed)}
+#: prefix under which ``fold`` keeps the source's own tables among the blocks, for look-ups
+SOURCE = "source:"
 
 
 def step_from_dict(d: Mapping[str, Any]) -> Step:
-    tp = d["type"]
-    if tp == "rename":
-        return Rename(d["entity"], d["from"], d["to"])
-    if tp == "retype":
-        return Retype(d["entity"], d["field"], d["from"], d["to"])
-    if tp == "enum_remap":
-        return EnumRemap(d["entity"], d["field"], tuple(d["mapping"].items()))
-    if tp == "unmapped":
-        return Unmapped(d["entity"], d["field"])
-    if tp == "flatten_nested":
-        return FlattenNested(d["entity"], d["field"], d.get("block", ""), d["into"], d.get("strategy", "count"))
-    if tp == "split":
-        return Split(d["from"], d["into"][1], tuple(d["moved_fields"]), d["link_field"])
-    if tp == "merge":
-        return Merge(d["from"][0], d["from"][1], d["into"], d["dropped_link_field"])
-    if tp == "extract_nested":
-        return ExtractNested(d["entity"], d["field"], d.get("block", ""), d["new_entity"], d["link_field"])
-    if tp == "partition":
-        return Partition(d["entity"], d["on_field"], tuple(d["mapping"].items()))
-    if tp == "denormalize":
-        return Denormalize(
-            d["entity"], d["via_field"], d["from_entity"],
-            tuple((i["source_field"], i["dest_field"]) for i in d["inlined"]),
-        )
-    if tp == "computed":
-        return Computed(
-            d["entity"], d["operation"], d["dest_field"], tuple(d.get("source_fields") or ()),
-            d.get("separator", " "), d.get("source_field"), d.get("value"),
-        )
-    raise SpecError(f"unknown step type {tp!r}")
+    if d["type"] not in _STEPS:
+        raise SpecError(f"unknown step type {d['type']!r}")
+    return _STEPS[d["type"]].read(d)
 
 
 def step_to_dict(s: Step) -> dict:
-    if isinstance(s, Rename):
-        return {"type": "rename", "entity": s.entity, "from": s.from_, "to": s.to}
-    if isinstance(s, Retype):
-        return {"type": "retype", "entity": s.entity, "field": s.field, "from": s.from_, "to": s.to}
-    if isinstance(s, EnumRemap):
-        return {"type": "enum_remap", "entity": s.entity, "field": s.field, "mapping": dict(s.mapping)}
-    if isinstance(s, Unmapped):
-        return {"type": "unmapped", "entity": s.entity, "field": s.field}
-    if isinstance(s, FlattenNested):
-        return {"type": "flatten_nested", "entity": s.entity, "field": s.field, "block": s.block,
-                "into": s.into, "strategy": s.strategy}
-    if isinstance(s, Split):
-        return {"type": "split", "from": s.from_, "into": [s.from_, s.detail],
-                "moved_fields": list(s.moved_fields), "link_field": s.link_field}
-    if isinstance(s, Merge):
-        return {"type": "merge", "from": [s.parent, s.child], "into": s.into,
-                "dropped_link_field": s.dropped_link_field}
-    if isinstance(s, ExtractNested):
-        return {"type": "extract_nested", "entity": s.entity, "field": s.field, "block": s.block,
-                "new_entity": s.new_entity, "link_field": s.link_field}
-    if isinstance(s, Partition):
-        return {"type": "partition", "entity": s.entity, "on_field": s.on_field, "mapping": dict(s.mapping)}
-    if isinstance(s, Denormalize):
-        return {"type": "denormalize", "entity": s.entity, "via_field": s.via_field, "from_entity": s.from_entity,
-                "inlined": [{"source_field": a, "dest_field": b} for a, b in s.inlined]}
-    if isinstance(s, Computed):
-        out = {"type": "computed", "entity": s.entity, "operation": s.operation, "dest_field": s.dest_field}
-        if s.operation == "bool_from_enum":
-            out.update(source_field=s.source_field, value=s.value)
-        else:
-            out["source_fields"] = list(s.source_fields)
-            if s.operation == "concat":
-                out["separator"] = s.separator
-        return out
-    raise SpecError(f"not a step: {s!r}")
+    return s.write()
 
 
 def log_from_dicts(items: Iterable[Mapping[str, Any]]) -> tuple[Step, ...]:
@@ -327,238 +526,104 @@ def log_from_json(text: str) -> tuple[Step, ...]:
     return log_from_dicts(json.loads(text))
 
 
+def computed_kind(op: str) -> str:
+    return {"concat": "text", "bool_from_enum": "bool"}.get(op, "number")
+
+
+def merged_column_name(field_name: str, existing: Iterable[str], child: str) -> str:
+    """Child column name inside a merged table: prefixed with the child name on collision."""
+    return f"{child.lower()}_{field_name}" if field_name in set(existing) else field_name
+
+
 # ---------------------------------------------------------------------------
-# Log context: who went where (driver metadata shared by every check)
+# The one fold, and what is read off it
 # ---------------------------------------------------------------------------
-class LogContext:
-    """Fate of every source entity under a log."""
+def fold(schema: Schema, log: Iterable[Step]) -> tuple[Shape, list[str]]:
+    """The shape after the log, and the preconditions that its steps break."""
+    shape = Shape.start(schema)
+    shape = replace(shape, blocks={**shape.blocks, **{SOURCE + e: f for e, f in schema.entities.items()}})
+    problems: list[str] = []
+    inlined: set[tuple[str, str]] = set()
+    for s in log:
+        problems += s.faults(shape)
+        if isinstance(s, Computed):
+            problems += [f"computed {s.entity}.{s.dest_field}: reads the inlined column {f}"
+                         for f in (*s.source_fields, s.source_field) if (s.entity, f) in inlined]
+        elif isinstance(s, Denormalize):
+            inlined |= {(s.entity, now) for _, now in s.inlined}
+        shape = s.on(shape)
+    return shape, problems
 
-    def __init__(self, schema: Schema, log: Iterable[Step]):
-        self.schema = schema
-        self.log = tuple(log)
-        self.merges = [s for s in self.log if isinstance(s, Merge)]
-        self.splits = [s for s in self.log if isinstance(s, Split)]
-        self.partitions = [s for s in self.log if isinstance(s, Partition)]
-        self.extracts = [s for s in self.log if isinstance(s, ExtractNested)]
-        self.denorms = [s for s in self.log if isinstance(s, Denormalize)]
-        self.computeds = [s for s in self.log if isinstance(s, Computed)]
-        self.merge_parents = {m.parent: m.into for m in self.merges}
-        self.merge_children = {m.child for m in self.merges}
-        self.partition_of = {p.entity: p for p in self.partitions}
-        self.removed = set(self.merge_parents) | self.merge_children | set(self.partition_of)
-        self.rename_map: dict[tuple[str, str], str] = {}
-        for s in self.log:
-            if isinstance(s, Rename):
-                self.rename_map[(s.entity, s.from_)] = s.to
-        self.has_structural = any(s.type in STRUCTURAL_TYPES for s in self.log)
 
-    def dest_field_name(self, entity: str, source_field: str) -> str:
-        return self.rename_map.get((entity, source_field), source_field)
+def dest_schema(schema: Schema, log: Iterable[Step]) -> Schema:
+    """Destination schema (field definitions, ref targets, blocks) after the log."""
+    shape, _ = fold(schema, log)
+    return Schema({t: dict(f) for t, f in shape.tables.items()}, {b: dict(f) for b, f in schema.blocks.items()})
 
-    def pre_rename(self, entity: str, current: str) -> str:
-        """Source name of a (possibly renamed) field: first rename producing it."""
-        for s in self.log:
-            if isinstance(s, Rename) and s.entity == entity and s.to == current:
-                return s.from_
-        return current
 
-    def via_source_name(self, entity: str, via_field: str) -> str:
-        for (ent, src), dst in self.rename_map.items():
-            if ent == entity and dst == via_field:
-                return src
-        return via_field
+def dest_kinds(schema: Schema, log: Iterable[Step]) -> dict[str, dict[str, str | None]]:
+    """Expected {dest table: {column: kind}} after the log."""
+    return {t: {f: d.kind for f, d in fs.items()} for t, fs in fold(schema, log)[0].tables.items()}
 
-    def unmapped_fields(self, entity: str) -> list[str]:
-        return [s.field for s in self.log if isinstance(s, Unmapped) and s.entity == entity]
 
-    def null_present(self, entity: str) -> set[str]:
-        """Columns the log always writes, so a null there is a present None."""
-        cols = {s.dest_field for s in self.computeds if s.entity == entity}
-        for d in self.denorms:
-            if d.entity == entity:
-                cols |= {b for _, b in d.inlined}
-        return cols
-
-    def records_location(self, entity: str, dest_names: Iterable[str]) -> list[str] | None:
-        """Dest tables holding an entity's rows, following a later merge / partition."""
-        names = set(dest_names)
-        if entity in names:
-            return [entity]
-        for s in self.log:
-            if isinstance(s, Merge) and entity in (s.parent, s.child):
-                return [s.into]
-            if isinstance(s, Partition) and s.entity == entity:
-                return s.subs
-        return None
-
-    def target_tables(self, target: str) -> list[str]:
-        """Dest tables whose ids are valid values for a ref to ``target``."""
-        if target in self.merge_parents:
-            return [self.merge_parents[target]]
-        if target in self.partition_of:
-            return self.partition_of[target].subs
-        return [target]
+def check_preconditions(schema: Schema, log: Iterable[Step]) -> list[str]:
+    """Preconditions that keep refs and values valid after structural steps (empty list = fine)."""
+    return fold(schema, log)[1]
 
 
-def dest_kinds(schema: Schema, log: Iterable[Step]) -> dict[str, dict[str, str | None]]:
-    """Expected {dest table: {column: kind}} after folding the log over the schema."""
-    kinds = {e: {f: fd.kind for f, fd in fs.items()} for e, fs in schema.entities.items()}
-    for s in log:
-        if isinstance(s, Rename):
-            km = kinds.get(s.entity, {})
-            if s.from_ in km:
-                km[s.to] = km.pop(s.from_)
-        elif isinstance(s, Retype):
-            km = kinds.get(s.entity, {})
-            if s.field in km:
-                km[s.field] = s.to
-        elif isinstance(s, Unmapped):
-            kinds.get(s.entity, {}).pop(s.field, None)
-        elif isinstance(s, FlattenNested):
-            km = kinds.get(s.entity, {})
-            km.pop(s.field, None)
-            km[s.into] = "number"
-        elif isinstance(s, Split):
-            km = kinds.get(s.from_, {})
-            detail = {"id": "id", s.link_field: "ref"}
-            for mf in s.moved_fields:
-                if mf in km:
-                    detail[mf] = km.pop(mf)
-            kinds[s.detail] = detail
-        elif isinstance(s, Merge):
-            merged = dict(kinds.get(s.parent, {}))
-            for f, k in kinds.get(s.child, {}).items():
-                if f == s.dropped_link_field or k == "id":
-                    continue
-                merged[merged_column_name(f, merged, s.child)] = k
-            kinds.pop(s.parent, None)
-            kinds.pop(s.child, None)
-            kinds[s.into] = merged
-        elif isinstance(s, ExtractNested):
-            kinds.get(s.entity, {}).pop(s.field, None)
-            new = {"id": "id", s.link_field: "ref"}
-            for bf, bd in schema.blocks.get(s.block, {}).items():
-                new[bf] = bd.kind
-            kinds[s.new_entity] = new
-        elif isinstance(s, Denormalize):
-            km = kinds.get(s.entity, {})
-            src = schema.entities.get(s.from_entity, {})
-            for sf, df_ in s.inlined:
-                km[df_] = src[sf].kind if sf in src else "text"
-        elif isinstance(s, Computed):
-            km = kinds.get(s.entity, {})
-            km[s.dest_field] = computed_kind(s.operation)
-        elif isinstance(s, Partition):
-            km = kinds.get(s.entity, {})
-            base = {f: k for f, k in km.items() if f != s.on_field}
-            for sub in s.subs:
-                kinds[sub] = dict(base)
-            kinds.pop(s.entity, None)
-    return kinds
+def require(schema: Schema, log: Iterable[Step]) -> None:
+    """Raise ``SpecError`` for a schema or log that cannot be replayed faithfully."""
+    problems = [*validate_schema(schema), *check_preconditions(schema, log)]
+    if problems:
+        raise SpecError("; ".join(problems))
 
 
-def computed_kind(op: str) -> str:
-    return "text" if op == "concat" else "bool" if op == "bool_from_enum" else "number"
+class LogContext:
+    """Questions of the verifier about a log, answered from its last shape."""
 
+    def __init__(self, schema: Schema, log: Iterable[Step]):
+        self.schema = schema
+        self.log = tuple(log)
+        self.shape, _ = fold(schema, self.log)
+        self.has_structural = any(s.type in STRUCTURAL_TYPES for s in self.log)
+        self.merges, self.splits, self.extracts = (self._all(c) for c in (Merge, Split, ExtractNested))
+        self.merge_parents = {m.parent: m.into for m in self.merges}
+        self.merge_children = set(self.shape.absorbed)
+        self.partition_of = {p.entity: p for p in self._all(Partition)}
+        self.removed = set(self.shape.homes)
 
-def merged_column_name(field_name: str, existing: Iterable[str], child: str) -> str:
-    """Child column name inside a merged table: prefixed with the child name on collision."""
-    return field_name if field_name not in set(existing) else f"{child.lower()}_{field_name}"
+    def _all(self, kind: type) -> list:
+        return [s for s in self.log if isinstance(s, kind)]
 
+    @property
+    def computeds(self) -> list[Computed]:
+        return self._all(Computed)
 
-def check_preconditions(schema: Schema, log: Iterable[Step]) -> list[str]:
-    """Preconditions that keep refs valid after structural steps (empty list = fine)."""
-    problems: list[str] = []
-    cur = schema.copy()
-    kinds_now = {e: dict(fs) for e, fs in cur.entities.items()}
-    for s in log:
-        if isinstance(s, Split):
-            fs = kinds_now.get(s.from_, {})
-            scalars = [f for f, fd in fs.items() if fd.kind not in ("id", "ref", "nested")]
-            if len(fs) < 4 or len(scalars) < 2:
-                problems.append(f"split {s.from_}: needs >= 4 fields and >= 2 scalars")
-            if s.detail in kinds_now:
-                problems.append(f"split {s.from_}: {s.detail} already exists")
-        elif isinstance(s, Merge):
-            child = kinds_now.get(s.child, {})
-            child_refs = [f for f, fd in child.items() if fd.kind == "ref"]
-            if len(child_refs) != 1:
-                problems.append(f"merge {s.parent}+{s.child}: child must have exactly one ref")
-            for e, fs in kinds_now.items():
-                for f, fd in fs.items():
-                    if fd.kind == "ref" and fd.target == s.child:
-                        problems.append(f"merge: {e}.{f} refers to the child {s.child}")
-                    if fd.kind == "ref" and fd.target == s.parent and e != s.child:
-                        problems.append(f"merge: {e}.{f} refers to the parent {s.parent}")
-        elif isinstance(s, Partition):
-            for e, fs in kinds_now.items():
-                for f, fd in fs.items():
-                    if fd.kind == "ref" and fd.target == s.entity:
-                        problems.append(f"partition {s.entity}: referenced by {e}.{f}")
-            fd = kinds_now.get(s.entity, {}).get(s.on_field)
-            if fd is None or fd.kind != "enum" or len(fd.values or ()) < 2:
-                problems.append(f"partition {s.entity}: {s.on_field} must be an enum with >= 2 values")
-        elif isinstance(s, Denormalize):
-            if s.from_entity not in schema.entities:
-                problems.append(f"denormalize {s.entity}: unknown source {s.from_entity}")
-        # keep a light schema fold so later steps see earlier ones
-        _fold_fielddefs(kinds_now, s, schema)
-    return problems
+    def dest_field_name(self, entity: str, source_field: str) -> str:
+        return self.shape.names.get((entity, source_field), source_field)
+
+    def source_field_name(self, entity: str, now: str) -> str:
+        return self.shape.source_name(entity, now)
+
+    def unmapped_fields(self, entity: str) -> list[str]:
+        return [s.field for s in self._all(Unmapped) if s.entity == entity]
 
+    def null_present(self, entity: str) -> set[str]:
+        """Columns the log always writes, so a null there is a present None."""
+        return set(self.shape.filled.get(entity, ()))
 
-def _fold_fielddefs(cur: dict[str, dict[str, FieldDef]], s: Step, schema: Schema) -> None:
-    if isinstance(s, Rename) and s.from_ in cur.get(s.entity, {}):
-        cur[s.entity][s.to] = cur[s.entity].pop(s.from_)
-    elif isinstance(s, Retype) and s.field in cur.get(s.entity, {}):
-        cur[s.entity][s.field] = FieldDef(s.to)
-    elif isinstance(s, EnumRemap) and s.field in cur.get(s.entity, {}):
-        cur[s.entity][s.field] = FieldDef("enum", tuple(dict(s.mapping).values()))
-    elif isinstance(s, Unmapped):
-        cur.get(s.entity, {}).pop(s.field, None)
-    elif isinstance(s, FlattenNested):
-        cur.get(s.entity, {}).pop(s.field, None)
-        cur.setdefault(s.entity, {})[s.into] = FieldDef("number")
-    elif isinstance(s, Split):
-        src = cur.get(s.from_, {})
-        det = {"id": FieldDef("id"), s.link_field: FieldDef("ref", target=s.from_)}
-        for mf in s.moved_fields:
-            if mf in src:
-                det[mf] = src.pop(mf)
-        cur[s.detail] = det
-    elif isinstance(s, Merge):
-        merged = dict(cur.get(s.parent, {}))
-        for f, fd in cur.get(s.child, {}).items():
-            if f == s.dropped_link_field or fd.kind == "id":
-                continue
-            merged[merged_column_name(f, merged, s.child)] = fd
-        cur.pop(s.parent, None)
-        cur.pop(s.child, None)
-        cur[s.into] = merged
-        for fs in cur.values():
-            for f, fd in list(fs.items()):
-                if fd.kind == "ref" and fd.target == s.parent:
-                    fs[f] = FieldDef("ref", target=s.into)
-    elif isinstance(s, ExtractNested):
-        cur.get(s.entity, {}).pop(s.field, None)
-        new = {"id": FieldDef("id"), s.link_field: FieldDef("ref", target=s.entity)}
-        new.update(schema.blocks.get(s.block, {}))
-        cur[s.new_entity] = new
-    elif isinstance(s, Partition):
-        base = {f: fd for f, fd in cur.get(s.entity, {}).items() if f != s.on_field}
-        for sub in s.subs:
-            cur[sub] = dict(base)
-        cur.pop(s.entity, None)
-    elif isinstance(s, Denormalize):
-        src = schema.entities.get(s.from_entity, {})
-        for sf, dfield in s.inlined:
-            cur.setdefault(s.entity, {})[dfield] = src.get(sf, FieldDef("text"))
-    elif isinstance(s, Computed):
-        cur.setdefault(s.entity, {})[s.dest_field] = FieldDef(computed_kind(s.operation))
+    def tables_of(self, entity: str, written: Iterable[str]) -> list[str] | None:
+        """Tables that hold an entity's rows: its own if written, else those it was moved to."""
+        if entity in set(written):
+            return [entity]
+        home = self.shape.homes.get(entity)
+        return None if home is None else list(home)
 
+    def id_tables(self, target: str) -> list[str]:
+        """Tables whose ids are valid values of a ref to ``target``."""
+        return [target] if target in self.shape.absorbed else list(self.shape.homes.get(target, (target,)))
 
-def dest_schema(schema: Schema, log: Iterable[Step]) -> Schema:
-    """Destination schema (field definitions, ref targets, blocks) after the log."""
-    cur = {e: dict(fs) for e, fs in schema.entities.items()}
-    for s in log:
-        _fold_fielddefs(cur, s, schema)
-    return Schema(cur, copy.deepcopy(schema.blocks))
+    def hosts(self, entity: str, column: str) -> list[str]:
+        """Tables that should hold ``column`` after the log: the entity's own first, then its details."""
+        near = [entity, *(s.detail for s in self.splits if s.from_ == entity and column in s.moved_fields)]
+        return [t for t in near if column in self.shape.fields(t)]
