@@ -2,92 +2,52 @@
 
 Spark rows have no order, so every order-dependent operator takes explicit order columns.
 
-``rank_within`` is the shared building block.  A plain ``row_number().over(orderBy)``
-plans ``Exchange SinglePartition`` (all rows in one task) and
-``row_number().over(partitionBy(g).orderBy(o))`` puts a hot group (a third of all rows)
-into one task.  Instead rows are cut into ``B`` range buckets on the composite key
-``(group..., order...)`` (about ``ROWS_PER_BUCKET`` rows each) using bounds from a bounded
-sample, so a hot group spreads over many buckets.  Inside each (bucket, group) a windowed ``row_number`` runs; a tiny table of
-per-(bucket, group) counts gives each bucket its offset within the group.  Only the
-sample (at most ``SAMPLE_PER_BUCKET * B`` keys) ever reaches the driver.
+``rank_within`` is the shared building block.  A plain ``row_number().over(orderBy)`` puts all rows into
+one task, and ``row_number().over(partitionBy(g).orderBy(o))`` a hot group.  Instead the rows are range
+partitioned and sorted by ``(group..., order...)``, so a hot group spreads over as many partitions as its
+rows need, and written once to shared storage together with their place (partition and row in it).  That
+write is the operator's one materialisation: it happens when the operator is called, fixes the places
+for good (a retried task cannot move them), and leaves two cheap reads: the rows per partition (one number
+per partition, added up on the driver) and the rows themselves.  A position inside a group is the place
+less the smallest place of the group, a map-side combined minimum joined back on the group.  There is
+one way for every size.
 """
 
 from __future__ import annotations
 
-import math
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-
-SAMPLE_PER_BUCKET = 40
-MIN_SAMPLE = 20_000
-ROWS_PER_BUCKET = 2_000_000
-MAX_BUCKETS = 16_384
-_B = "__mg_bucket"
-_RN = "__mg_rn"
-_OFF = "__mg_off"
-
-
-def _key_struct(cols: Sequence[str]) -> Column:
-    return F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(cols)])
-
-
-def _literal_struct(values: Sequence, types: Sequence[T.DataType]) -> Column:
-    return F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(values, types))])
-
 
-def _bucket_tree(key: Column, bounds: list[Column], lo: int, hi: int) -> Column:
-    """Balanced CASE tree: index of the first bound >= key, in log2(B) comparisons."""
-    if lo >= hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(key <= bounds[mid], _bucket_tree(key, bounds, lo, mid)).otherwise(
-        _bucket_tree(key, bounds, mid + 1, hi)
-    )
+from ..session import scratch_path
 
-
-def _sort_key(row: tuple) -> tuple:
-    # nulls first, like Spark's ascending order
-    return tuple((v is not None, v) for v in row)
-
-
-def range_buckets(df: DataFrame, key_cols: Sequence[str], n_buckets: int | None = None,
-                  seed: int = 17) -> tuple[DataFrame, int]:
-    """Add a bucket column so that key order equals (bucket, key) order.
-
-    One job draws a bounded random sample: the ``k`` rows with the smallest seeded uniform
-    tag (a per-task top-k, no count).  The sample gives the bounds and the size: a short
-    sample holds every row; a full one estimates the row count as ``k / largest tag``.
-    Buckets hold about ``ROWS_PER_BUCKET`` rows each (``n_buckets`` overrides).  The bounds
-    are fixed into the plan as literals, so every later evaluation and every task retry
-    buckets each row the same way.
-    """
-    k = max(MIN_SAMPLE, SAMPLE_PER_BUCKET * (n_buckets or 1))
-    # a bounded sample for the range bounds: the limit is the sampling operator itself
-    tagged = df.select(*key_cols, F.rand(seed).alias("__mg_r"))
-    rows = [tuple(r) for r in tagged.orderBy("__mg_r").limit(k).collect()]
-    if not rows:
-        return df.withColumn(_B, F.lit(0)), 1
-    if n_buckets is None:
-        n_est = len(rows) if len(rows) < k else k / max(rows[-1][-1], 1e-12)
-        n_buckets = math.ceil(n_est / ROWS_PER_BUCKET)
-    n_buckets = max(1, min(MAX_BUCKETS, n_buckets, len(rows)))
-    if n_buckets == 1:
-        return df.withColumn(_B, F.lit(0)), 1
-    sample = sorted((r[:-1] for r in rows), key=_sort_key)
-    types = [df.schema[c].dataType for c in key_cols]
-    raw = [sample[min(len(sample) - 1, (i * len(sample)) // n_buckets)] for i in range(1, n_buckets)]
-    cuts: list[tuple] = []
-    for r in raw:
-        if not cuts or _sort_key(r) > _sort_key(cuts[-1]):
-            cuts.append(r)
-    if not cuts:
-        return df.withColumn(_B, F.lit(0)), 1
-    bounds = [_literal_struct(c, types) for c in cuts]
-    bucket = _bucket_tree(_key_struct(key_cols), bounds, 0, len(bounds))
-    return df.withColumn(_B, bucket), len(bounds) + 1
+_AT = "__mg_at"
+_PART = "__mg_part"
+_OFF = "__mg_off"
+_FIRST = "__mg_first"
+# monotonically_increasing_id(): partition number above bit 33, row number below
+_BITS = 33
+
+
+def placed(df: DataFrame, key_cols: Sequence[str], n_partitions: int | None = None) -> DataFrame:
+    """``df`` stored in the order of ``key_cols`` (nulls first), with every row's place 0.. in ``__mg_at``."""
+    spark = df.sparkSession
+    n = n_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    keys = [F.col(f"`{c}`").asc_nulls_first() for c in key_cols]
+    path = scratch_path(spark, "ranked")
+    ordered = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn(_AT, F.monotonically_increasing_id())
+    ordered.write.parquet(path)
+    rows = spark.read.schema(ordered.schema).parquet(path).withColumn(_PART, F.shiftright(_AT, _BITS).cast("int"))
+    # one number per partition
+    held = sorted((r[0], r[1]) for r in rows.groupBy(_PART).count().collect())
+    offsets, total = [], 0
+    for part, count in held:
+        offsets.append((part, total))
+        total += count
+    table = spark.createDataFrame(offsets, f"{_PART} int, {_OFF} bigint")
+    row = F.col(_AT).bitwiseAND(F.lit((1 << _BITS) - 1))
+    return rows.join(F.broadcast(table), _PART).withColumn(_AT, F.col(_OFF) + row).drop(_PART, _OFF)
 
 
 def rank_within(
@@ -100,30 +60,19 @@ def rank_within(
 ) -> DataFrame:
     """Dense 1-based (or ``start``-based) row number of each row within its group, by order.
 
-    Ties in ``order_cols`` are broken arbitrarily, so pass a total order (all columns if
-    needed) to make the result repeatable after a task retry.
+    Ties in ``order_cols`` are broken arbitrarily, but once: the stored order decides.
     """
     group_cols, order_cols = list(group_cols), list(order_cols)
-    bucketed, n_buckets = range_buckets(df, group_cols + order_cols, n_partitions)
-    order = [F.col(c).asc_nulls_first() for c in order_cols]
-    w = Window.partitionBy(_B, *group_cols).orderBy(*order)
-    ranked = bucketed.withColumn(_RN, F.row_number().over(w))
-    if n_buckets == 1:
-        return ranked.withColumn(name, (F.col(_RN) + F.lit(start - 1)).cast("bigint")).drop(_B, _RN)
-    counts = bucketed.groupBy(_B, *group_cols).agg(F.count(F.lit(1)).alias("__mg_n"))
-    wp = Window.partitionBy(*group_cols).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn(_OFF, F.coalesce(F.sum("__mg_n").over(wp), F.lit(0))).drop("__mg_n")
-    if group_cols:
-        o = offsets.select(*[F.col(c).alias(f"__mg_g{i}") for i, c in enumerate(group_cols)],
-                           F.col(_B).alias("__mg_ob"), _OFF)
-        cond = ranked[_B] == o["__mg_ob"]
-        for i, c in enumerate(group_cols):
-            cond = cond & ranked[c].eqNullSafe(o[f"__mg_g{i}"])
-        out = ranked.join(o, cond, "left").drop("__mg_ob", *[f"__mg_g{i}" for i in range(len(group_cols))])
-    else:
-        # one row per bucket: its size is bounded by the bucket count
-        out = ranked.join(F.broadcast(offsets), on=[_B], how="left")
-    return out.withColumn(name, (F.col(_OFF) + F.col(_RN) + F.lit(start - 1)).cast("bigint")).drop(_B, _RN, _OFF)
+    rows = placed(df, group_cols + order_cols, n_partitions)
+    if not group_cols:
+        return rows.select(*[F.col(f"`{c}`") for c in df.columns], (F.col(_AT) + F.lit(start)).cast("bigint").alias(name))
+    keys = [f"__mg_g{i}" for i in range(len(group_cols))]
+    first = rows.groupBy(*[F.col(f"`{c}`").alias(k) for c, k in zip(group_cols, keys)]).agg(F.min(_AT).alias(_FIRST))
+    cond = F.lit(True)
+    for c, k in zip(group_cols, keys):
+        cond = cond & F.col(f"`{c}`").eqNullSafe(F.col(k))
+    return rows.join(first, cond, "left").select(
+        *[F.col(f"`{c}`") for c in df.columns], (F.col(_AT) - F.col(_FIRST) + F.lit(start)).cast("bigint").alias(name))
 
 
 def dense_id(df: DataFrame, order_cols: Sequence[str], name: str = "id", **kw) -> DataFrame:

@@ -12,7 +12,7 @@ always writes (computed and inlined columns), where null is a present ``None``.
 
 from __future__ import annotations
 
-from typing import Mapping, Sequence
+from collections.abc import Callable, Mapping, MutableMapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -323,6 +323,55 @@ def _value_changed(log: Sequence[Step], upto: int, entity: str, name: str) -> bo
     return False
 
 
+class LazyTables(MutableMapping):
+    """Tables by name, some of them built when first asked for (dense ids store their input, see ``keys``)."""
+
+    def __init__(self, tables: Mapping[str, DataFrame] | None = None):
+        self._made: dict[str, DataFrame] = dict(tables or {})
+        self._due: dict[str, Callable[[], DataFrame]] = {}
+
+    def defer(self, name: str, build: Callable[[], DataFrame]) -> None:
+        self._made.pop(name, None)
+        self._due[name] = build
+
+    def later(self, name: str, then: Callable[[DataFrame], DataFrame]) -> Callable[[], DataFrame]:
+        """``then`` of the table as it is now, to be built on demand."""
+        if name in self._due:
+            build, made = self._due[name], []
+
+            def once() -> DataFrame:
+                if not made:
+                    made.append(build())
+                return then(made[0])
+            return once
+        df = self._made[name]
+        return lambda: then(df)
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name in self._due:
+            self._made[name] = self._due.pop(name)()
+        return self._made[name]
+
+    def __setitem__(self, name: str, df: DataFrame) -> None:
+        self._due.pop(name, None)
+        self._made[name] = df
+
+    def __delitem__(self, name: str) -> None:
+        if name not in self._made and name not in self._due:
+            raise KeyError(name)
+        self._made.pop(name, None)
+        self._due.pop(name, None)
+
+    def __contains__(self, name: object) -> bool:
+        return name in self._made or name in self._due
+
+    def __iter__(self):
+        return iter([*self._made, *self._due])
+
+    def __len__(self) -> int:
+        return len(self._made) + len(self._due)
+
+
 def _touched(s: Step) -> set[str]:
     """Every table that a step reads rows of or writes."""
     return {name for a in ("entity", "from_", "detail", "parent", "child", "into", "new_entity")
@@ -339,9 +388,12 @@ def _source_name(log: Sequence[Step], entity: str, now: str) -> str:
 
 def apply_log(tables: Mapping[str, DataFrame], log: Sequence[Step], blocks: Mapping[str, Sequence[str]] | None = None,
               order: Mapping[str, Sequence[str]] | None = None,
-              routed: dict[str, tuple[DataFrame, list[str]]] | None = None) -> Tables:
+              routed: dict[str, tuple[DataFrame, list[str]]] | None = None) -> LazyTables:
     """Fold the whole log over a table set, in log order; returns the destination set.
 
+    Tables are built when first read from the result, so a caller pays for the dense ids of a split
+    or extract only if it reads that table.
+
     ``blocks`` gives the field list of each nested block (extract keeps exactly those);
     ``order`` gives the row order of each entity (default ``id``) for split ids, first
     child and extract ids.  When ``routed`` is a dict, each partitioned entity whose
@@ -350,7 +402,7 @@ def apply_log(tables: Mapping[str, DataFrame], log: Sequence[Step], blocks: Mapp
     sub-table in one pass with ``partitionBy``.
     """
     originals = dict(tables)
-    data: Tables = dict(tables)
+    data = LazyTables(tables)
     order = dict(order or {})
     blocks = dict(blocks or {})
     null_present: dict[str, set[str]] = {}
@@ -389,10 +441,9 @@ def apply_log(tables: Mapping[str, DataFrame], log: Sequence[Step], blocks: Mapp
                         np_.add(s.to)
         elif isinstance(s, Split):
             if s.from_ in data:
-                parent, detail = split_table(data[s.from_], s.moved_fields, s.link_field,
-                                             order.get(s.from_, ("id",)))
-                data[s.from_] = parent
-                data[s.detail] = detail
+                whole, by = data[s.from_], order.get(s.from_, ("id",))
+                data[s.from_] = whole.drop(*[m for m in s.moved_fields if m in whole.columns])
+                data.defer(s.detail, lambda whole=whole, s=s, by=by: split_table(whole, s.moved_fields, s.link_field, by)[1])
         elif isinstance(s, Merge):
             if s.parent in data:
                 child = data.get(s.child)
@@ -403,10 +454,10 @@ def apply_log(tables: Mapping[str, DataFrame], log: Sequence[Step], blocks: Mapp
             data.pop(s.child, None)
         elif isinstance(s, ExtractNested):
             if s.entity in data:
-                parent, child = extract_items(data[s.entity], s.field, s.link_field, blocks.get(s.block),
-                                              order.get(s.entity, ("id",)))
-                data[s.entity] = parent
-                data[s.new_entity] = child
+                whole, by = data[s.entity], order.get(s.entity, ("id",))
+                data[s.entity] = whole.drop(s.field)
+                data.defer(s.new_entity, lambda whole=whole, s=s, by=by: extract_items(
+                    whole, s.field, s.link_field, blocks.get(s.block), by)[1])
         elif isinstance(s, Partition):
             if s.entity in data:
                 frame = data.pop(s.entity)
@@ -422,7 +473,10 @@ def apply_log(tables: Mapping[str, DataFrame], log: Sequence[Step], blocks: Mapp
                 data[s.entity] = denormalize_table(data[s.entity], originals.get(s.entity), via_src, via_now,
                                                    originals.get(s.from_entity), s.inlined)
                 null_present.setdefault(s.entity, set()).update(d for _, d in s.inlined)
-    return {t: df.drop(*[c for c in df.columns if c.startswith(PRE)]) for t, df in data.items()}
+    out = LazyTables()
+    for t in data:
+        out.defer(t, data.later(t, lambda df: df.drop(*[c for c in df.columns if c.startswith(PRE)])))
+    return out
 
 
 def expected_frame(df: DataFrame, entity: str, log: Sequence[Step], split_drop: bool = True) -> DataFrame:

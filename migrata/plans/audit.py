@@ -7,7 +7,7 @@
   is regraded.
 * Score tables over a ``runs`` frame (A4-A9) are grouped aggregates; ranking uses the
   skew-safe ``rank_within`` so a tier holding most runs is still split across tasks.
-* ``fingerprint`` (A10) is an order-insensitive sum of 64-bit row hashes plus a count.
+* ``fingerprint`` (A10) is an order-insensitive sum of SHA-256 row hashes plus a count.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.keys import rank_within
@@ -118,6 +118,10 @@ def partition_ablation(v: Verifier, entity: str) -> DataFrame:
     types = checks.filter((F.col("check") == "v_type") & F.col("entity").isin(*subs)).select(
         F.col("entity").alias("tsub"), F.col("hits").alias("type_h"), F.col("total").alias("type_t"))
     m = m.join(types, m["sub"] == types["tsub"], "left").drop("tsub")
+    ids = v._id_sets(j).groupBy(F.col("sub").alias("isub")).agg(*[
+        F.sum(F.when(c, 1.0).otherwise(0.0)).alias(k) for k, c in
+        (("j_a", F.col("x") & F.col("d")), ("j_b", F.col("x") | F.col("d")), ("j_c", F.col("x")), ("j_d", F.col("d")))])
+    m = m.join(ids, m["sub"].eqNullSafe(ids["isub"]), "left").drop("isub")
     n_refs = float(len(refs))
     m = m.select(
         "sub",
@@ -129,9 +133,8 @@ def partition_ablation(v: Verifier, entity: str) -> DataFrame:
         F.lit(0.0).alias("rel_h_r"), (F.col("n_x") * F.lit(n_refs)).alias("rel_t_r"),
         F.coalesce("type_h", F.lit(0.0)).alias("typ_h_k"), F.coalesce("type_t", F.lit(0.0)).alias("typ_t_k"),
         F.lit(0.0).alias("typ_h_r"), F.lit(0.0).alias("typ_t_r"),
-        F.when(F.col("sub").isNull(), 0.0).when(F.col("n_x") == 0, F.when(F.col("rec_h") + F.col("fp") == 0, 1.0)
-                                                 .otherwise(0.0))
-        .otherwise(F.col("rec_h") / (F.col("n_x") + F.col("fp"))).alias("str_h_k"),
+        F.when(F.col("sub").isNull(), 0.0).when(F.col("j_c") == 0, F.when(F.col("j_d") == 0, 1.0).otherwise(0.0))
+        .otherwise(F.col("j_a") / F.col("j_b")).alias("str_h_k"),
         F.when(F.col("sub").isNull(), 0.0).otherwise(F.lit(1.0)).alias("str_t_k"),
         F.when(F.col("sub").isNull(), 0.0).when(F.col("n_x") == 0, 1.0).otherwise(0.0).alias("str_h_r"),
         F.when(F.col("sub").isNull(), 0.0).otherwise(F.lit(1.0)).alias("str_t_r"),
@@ -146,14 +149,15 @@ def partition_ablation(v: Verifier, entity: str) -> DataFrame:
     base_row = base.select(F.lit("__base").alias("sub"), *[
         F.col(f"{ax}_{hc}_k").alias(f"{ax}_{hc}_{kr}") for ax in ("cov", "fid", "rel", "typ", "str")
         for kr in ("k", "r") for hc in ("h", "t")])
-    m = m.unionByName(base_row)
+    # rows of no sub-table count in every scenario, like the base
+    m = m.unionByName(base_row).withColumn("sub", F.coalesce("sub", F.lit("__base")))
     scen = [("all", s, True) for s in subs] + [("none", s, False) for s in subs]
     for s0 in subs:
         scen += [(f"without_{s0}", s, s != s0) for s in subs] + [(f"only_{s0}", s, s == s0) for s in subs]
     names = sorted({n for n, _, _ in scen})
     scen += [(n, "__base", True) for n in names]
     sc = spark.createDataFrame(scen, "scenario string, sub string, kept boolean")
-    jm = sc.join(m, sc["sub"].eqNullSafe(m["sub"]) | (m["sub"].isNull() & (sc["sub"] == "__base")), "inner")
+    jm = sc.join(m.withColumnRenamed("sub", "msub"), F.col("sub") == F.col("msub"), "inner")
     pick = {f"{ax}_{hc}": F.when(F.col("kept"), F.col(f"{ax}_{hc}_k")).otherwise(F.col(f"{ax}_{hc}_r"))
             for ax in ("cov", "fid", "rel", "typ", "str") for hc in ("h", "t")}
     sums = jm.groupBy("scenario").agg(*[F.sum(c).alias(k) for k, c in pick.items()])
@@ -178,16 +182,16 @@ def group_stats(runs: DataFrame, keys: Sequence[str] = ("model", "tier"), score:
 
 
 def ranking(runs: DataFrame, score: str = "total", group: str = "tier", seq: str = "seq") -> DataFrame:
-    """Failed runs removed, rank 1.. by score descending (ties keep input order by ``seq``),
-    plus the gap of the first over the second within each group."""
+    """Failed runs removed, rank 1.. by score descending (ties keep input order by ``seq``), plus the gap
+    of the first over the second within each group that has two runs or more.
+
+    The ranks are stored once (``rank_within``), so the runner-up is one row per group of a second read."""
     ok = runs.filter(F.col(score).isNotNull()).withColumn("__neg", -F.col(score))
     ranked = rank_within(ok, [group], ["__neg", seq], "rank").drop("__neg")
-    top = ranked.filter(F.col("rank") <= 2).groupBy(group).agg(
-        (F.max_by(score, -F.col("rank")) - F.min_by(score, -F.col("rank"))).alias("__gap"),
-        F.count(F.lit(1)).alias("__n"))
-    top = top.select(F.col(group).alias("__g"), F.when(F.col("__n") == 2, F.col("__gap")).alias("gap_to_next"))
-    out = ranked.join(top, ranked[group] == top["__g"], "left")
-    return out.select(*ranked.columns, F.when(F.col("rank") == 1, F.col("gap_to_next")).alias("gap_to_next"))
+    second = ranked.where("rank = 2").select(F.col(group).alias("__g"), F.col(score).alias("__second"))
+    out = ranked.join(second, ranked[group].eqNullSafe(second["__g"]), "left")
+    return out.select(*[ranked[c] for c in ranked.columns],
+                      F.when(ranked["rank"] == 1, ranked[score] - F.col("__second")).alias("gap_to_next"))
 
 
 def score_pivot(runs: DataFrame, tiers: Sequence, score: str = "total", error: str = "error") -> DataFrame:
@@ -201,8 +205,8 @@ def score_pivot(runs: DataFrame, tiers: Sequence, score: str = "total", error: s
 
 
 def metric_pivot(runs: DataFrame, metrics: Sequence[str], models: Sequence[str]) -> DataFrame:
-    """Metrics as rows, models as columns (mean per model)."""
-    long = runs.unpivot(["model"], list(metrics), "metric", "value")
+    """Metrics as rows, models as columns (mean per model); a metric that no run has is left out."""
+    long = runs.unpivot(["model"], list(metrics), "metric", "value").where("value is not null")
     return long.groupBy("metric").pivot("model", list(models)).agg(F.avg("value"))
 
 
@@ -212,19 +216,30 @@ def reward_variance(runs: DataFrame, task: str = "task_id", score: str = "total"
                                   F.count(score).alias("n")).withColumn("varies", F.col("n_distinct") > 1)
 
 
+def any_variance(runs: DataFrame, task: str = "task_id", score: str = "total") -> DataFrame:
+    """A9 over all tasks: how many tasks vary, and whether any does (one row)."""
+    return reward_variance(runs, task, score).agg(
+        F.count(F.lit(1)).alias("n_tasks"), F.count_if("varies").alias("n_varying"),
+        F.coalesce(F.bool_or("varies"), F.lit(False)).alias("any_varies"))
+
+
+def canonical_text(columns: Sequence[str]) -> Column:
+    """All values of a row as one text, in the order given: a null is told apart from any value."""
+    return F.concat_ws("|", *[F.coalesce(F.concat(F.lit("v"), F.col(f"`{c}`").cast("string")), F.lit("n")) for c in columns])
+
+
 def fingerprint(tables: Mapping[str, DataFrame]) -> DataFrame:
-    """A10: per table, row count and an order-insensitive sum of 64-bit row hashes.
+    """A10: per table, row count and an order-insensitive sum of SHA-256 row hashes.
 
-    Columns are hashed in sorted-name order; the sum is DECIMAL(38,0), so duplicate rows
-    add up instead of cancelling.
+    Columns enter in sorted-name order with marks for nulls; the first 60 bits of each digest are summed as
+    DECIMAL(38,0), so duplicate rows add up instead of cancelling.
     """
     parts = []
     for name in sorted(tables):
         df = tables[name]
-        cols = sorted(df.columns)
-        h = F.xxhash64(*[F.col(f"`{c}`") for c in cols]).cast("decimal(38,0)")
+        digest = F.sha2(canonical_text(sorted(df.columns)), 256)
+        h = F.conv(F.substring(digest, 1, 15), 16, 10).cast("decimal(38,0)")
         parts.append(df.agg(F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(h), F.lit(0)).cast("decimal(38,0)")
                             .alias("row_hash_sum")).select(F.lit(name).alias("table_name"), "n_rows", "row_hash_sum"))
     spark = next(iter(tables.values())).sparkSession
     return union_all(spark, parts, "table_name string, n_rows bigint, row_hash_sum decimal(38,0)")
-

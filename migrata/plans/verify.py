@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from ..functions.fields import FieldAccess, equal, field_map, id_value, present, select_fields, valid
 from ..operators.keys import position_in_group
-from ..operators.transforms import expected_frame
+from ..operators.transforms import LazyTables, expected_frame
 from ..spec import ALPHA, WEIGHTS, LogContext, Schema, Step, dest_kinds
 
 SEQ = "_seq"
@@ -68,11 +68,12 @@ class Verifier:
         self.log = tuple(log)
         self.ctx = LogContext(schema, self.log)
         self.source = dict(source)
-        self.dest = dict(dest)
+        # destination tables may be built on demand: only those that a check reads are
+        self.dest = dest if isinstance(dest, LazyTables) else dict(dest)
         self.user_np = {k: set(v) for k, v in (null_present or {}).items()}
         self.dedupe = dedupe
         self.kinds = dest_kinds(schema, self.log)
-        any_df = next(iter(self.source.values()), None) or next(iter(self.dest.values()), None)
+        any_df = next(iter(self.source.values()), None) or next((self.dest[t] for t in self.dest), None)
         self.spark: SparkSession = any_df.sparkSession if any_df is not None else SparkSession.active()
         self._parts: list[DataFrame] = []
         self._pending: dict[int, tuple[DataFrame, list]] = {}
@@ -325,13 +326,7 @@ class Verifier:
                     cands.append(F.when(ok, F.struct(F.lit(target).alias("target"),
                                                      rawc.cast("bigint").alias("value"))))
         if part is not None:
-            sub = F.coalesce(F.col("x____mg_sub"), F.col("d____mg_sub"))
-            for s_ in part.subs:
-                at = sub == s_
-                per[f"j_a_{s_}"] = i1(X & D & at)
-                per[f"j_b_{s_}"] = i1((X & at) | (D & ~X & at))
-                per[f"j_c_{s_}"] = i1(X & at)
-                per[f"j_d_{s_}"] = i1(D & at)
+            by_id = self._id_sets(j)
         if per:
             jr = j.select(*[v.alias(k) for k, v in per.items()])
             S = lambda k: F.coalesce(F.sum(k), F.lit(0))
@@ -350,14 +345,24 @@ class Verifier:
             if part is not None:
                 step = self.log.index(part)
                 for s_ in part.subs:
-                    self._row(jr, "structural", "v_str_jaccard", s_, step, "jaccard", a=S(f"j_a_{s_}"),
-                              b=S(f"j_b_{s_}"), c=S(f"j_c_{s_}"), d=S(f"j_d_{s_}"))
+                    at = F.col("sub") == s_
+                    cnt = lambda c: F.coalesce(F.sum(F.when(at & c, 1).otherwise(0)), F.lit(0))
+                    self._row(by_id, "structural", "v_str_jaccard", s_, step, "jaccard", a=cnt(F.col("x") & F.col("d")),
+                              b=cnt(F.col("x") | F.col("d")), c=cnt(F.col("x")), d=cnt(F.col("d")))
         if cands:
             c = j.select(F.explode(F.array(*cands)).alias("c")).filter(F.col("c").isNotNull())
             c = c.groupBy(F.col("c.target").alias("target"), F.col("c.value").alias("value")).agg(
                 F.count(F.lit(1)).alias("n"))
             self._ref_cands.append(c.withColumn("entity", F.lit(entity)))
 
+    @staticmethod
+    def _id_sets(j: DataFrame) -> DataFrame:
+        """(sub, id, x, d): the distinct ids per sub-table of a located join, expected (x) and written (d)."""
+        return j.select(F.coalesce(F.col("x____mg_sub"), F.col("d____mg_sub")).alias("sub"),
+                        F.coalesce(F.col("x__id"), F.col("d__id")).alias("id"),
+                        F.coalesce(F.col("__x"), F.lit(False)).alias("x"), F.coalesce(F.col("__d"), F.lit(False)).alias("d")) \
+            .groupBy("sub", "id").agg(F.max("x").alias("x"), F.max("d").alias("d"))
+
     # -- target ids ----------------------------------------------------------
     def target_ids(self, targets: Iterable[str]) -> DataFrame:
         """Distinct (target, id) where a target's ids live in the destination."""
@@ -706,23 +711,14 @@ class Verifier:
         return score_report(self.checks(), self.ctx.has_structural)
 
 
-_VIEW_SEQ = [0]
-
-
 def union_all(spark: SparkSession, parts: Sequence[DataFrame], empty_schema: str) -> DataFrame:
-    """UNION ALL of many same-shaped frames, analysed once (a chain of binary unions is
-    re-analysed at every step)."""
+    """UNION ALL of many same-shaped frames, as a balanced tree (a chain is analysed anew at every step)."""
     if not parts:
         return spark.createDataFrame([], empty_schema)
-    if len(parts) == 1:
-        return parts[0]
-    names = []
-    for p in parts:
-        _VIEW_SEQ[0] += 1
-        name = f"__mg_part_{_VIEW_SEQ[0]}"
-        p.createOrReplaceTempView(name)
-        names.append(name)
-    return spark.sql(" UNION ALL ".join(f"SELECT * FROM {n}" for n in names))
+    parts = list(parts)
+    while len(parts) > 1:
+        parts = [parts[i].unionAll(parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+    return parts[0]
 
 
 def score_report(checks: DataFrame, has_structural: bool) -> DataFrame:

@@ -7,7 +7,9 @@ cluster left unset (checkpoint folder, AQE) and never overrides what is there.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -46,26 +48,33 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8, app: str =
 
 
 def configure(spark: SparkSession) -> SparkSession:
-    """Fill unset settings; set a checkpoint folder only when the cluster names none."""
+    """Fill unset settings (the checkpoint folder is looked up only where something is written)."""
     for k, v in DEFAULTS.items():
         if spark.conf.get(k, None) is None:
             try:
                 spark.conf.set(k, v)
             except Exception:  # noqa: BLE001 - a setting the running session does not allow to change
                 pass
-    checkpoint_dir(spark)
     return spark
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder from ``spark.checkpoint.dir``.
 
-    Only when the session names none (local tests) a scratch folder is created and set.
+    Only a local session that names none (tests) gets a scratch folder of its own; on a cluster a missing
+    setting is an error, since executors do not see each other's local folders.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need storage that all executors share")
         d = tempfile.mkdtemp(prefix="migrata-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
     return d
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

@@ -1,28 +1,24 @@
 """Sources and sinks (S1-S4): table sets, appended batches, JSON-lines, run results.
 
 Writes go under a folder the caller names, by default below the session's shared
-checkpoint folder (``spark.checkpoint.dir``), never a machine-local temp folder.
+checkpoint folder (``spark.checkpoint.dir``).
 """
 
 from __future__ import annotations
 
-import uuid
-from typing import Iterable, Mapping
+from typing import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..operators.keys import rank_within
+from ..session import scratch_path
+from .storage import folders
 
 SEQ = "_seq"
 BATCH = "_batch"
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared checkpoint folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 def read_table_set(spark: SparkSession, base: str, names: Iterable[str], fmt: str = "parquet",
                    **options) -> dict[str, DataFrame]:
     """One DataFrame per table from ``{base}/{name}.{fmt}`` (or a folder of that name)."""
@@ -42,29 +38,33 @@ def write_table_set(tables: Mapping[str, DataFrame], base: str, fmt: str = "parq
 class BatchWriter:
     """``write(entity, df)`` appends a batch; repeated calls extend the table.
 
-    Each row gets ``_batch`` (call number) and ``_seq`` (batch in the high bits, a row hash
-    in the low bits) so last-write-wins resolution is deterministic after any retry.
+    Each row gets ``_batch`` (0, 1, ... per table, continued from what is stored) and ``_seq`` (batch above
+    bit 40, place of the row in the batch by ``order`` below), so last-write-wins resolution follows the
+    order of writing, also inside a batch and after a retry.  Batches are folders of their own.
     """
 
     def __init__(self, spark: SparkSession, base: str):
         self.spark = spark
         self.base = base
-        self.batches: dict[str, int] = {}
 
-    def write(self, entity: str, df: DataFrame) -> int:
-        b = self.batches.get(entity, 0)
-        self.batches[entity] = b + 1
-        h = F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]) if df.columns else F.lit(0)
-        out = df.withColumn(BATCH, F.lit(b)).withColumn(
-            SEQ, F.lit(b).cast("bigint") * F.lit(1 << 32) + F.pmod(h, F.lit(1 << 32)))
-        out.write.mode("append").parquet(f"{self.base}/{entity}")
-        return self.spark.read.parquet(f"{self.base}/{entity}").filter(F.col(BATCH) == b).count()
+    def _next(self, entity: str) -> int:
+        found = [f.split("=", 1)[1] for f in folders(self.spark, f"{self.base}/{entity}") if f.startswith(f"{BATCH}=")]
+        return 1 + max(map(int, found), default=-1)
+
+    def write(self, entity: str, df: DataFrame, order: Sequence[str] = ("id",)) -> int:
+        """Append ``df`` in the order of ``order``; the number of rows written."""
+        batch = self._next(entity)
+        rows = rank_within(df, [], list(order), SEQ, start=0).withColumn(SEQ, F.col(SEQ) + F.lit(batch << 40))
+        seen = Observation()
+        (rows.observe(seen, F.count(F.lit(1)).alias("n")).withColumn(BATCH, F.lit(batch))
+         .write.mode("append").partitionBy(BATCH).parquet(f"{self.base}/{entity}"))
+        return seen.get["n"]
 
     def read(self, entity: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.base}/{entity}")
 
     def tables(self) -> dict[str, DataFrame]:
-        return {e: self.read(e) for e in self.batches}
+        return {e: self.read(e) for e in folders(self.spark, self.base)}
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -85,5 +85,10 @@ def write_runs(runs: DataFrame, path: str) -> None:
 
 
 def read_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Read run results back (``multiLine`` for pretty-printed single documents)."""
-    return spark.read.schema(schema).option("multiLine", "false").json(path)
+    """Read run results: JSON lines, or one document (or list of documents) per file, indented or not."""
+    lines = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt")
+    whole = spark.read.text(path, wholetext=True).select(F.col("value"), F.substring(F.ltrim("value"), 1, 1).alias("head"))
+    # a file is one document if its first line is no complete one; files are of either shape as a whole
+    first = F.split(F.trim("value"), "\n")[0]
+    single = whole.where((F.col("head") == "[") | (F.try_parse_json(first).isNull())).limit(1)
+    return (lines.option("multiLine", "true") if not single.isEmpty() else lines).json(path)

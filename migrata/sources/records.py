@@ -20,12 +20,13 @@ and are the only things collected.
 
 from __future__ import annotations
 
-from typing import Iterable
+from typing import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fields import NONE_TAG, VAR_TAG
+from .storage import exists
 
 SEQ = "_seq"
 CLASS_TYPES = {"long": "bigint", "double": "double", "bool": "boolean", "string": "string",
@@ -51,9 +52,18 @@ def value_class(v: Column) -> Column:
 
 
 def parse_records(lines: DataFrame, column: str = "value") -> DataFrame:
-    """One VARIANT ``rec`` per non-blank line, with ``_seq`` = position in read order."""
-    nonblank = lines.filter(F.trim(F.col(column)) != "")
-    return nonblank.select(F.parse_json(F.col(column)).alias("rec"), F.monotonically_increasing_id().alias(SEQ))
+    """One VARIANT ``rec`` per non-blank line, with ``_seq`` = place in the table.
+
+    Spark reads files by size, so the place is (file, block of the file, line), by the file's name: writers
+    number their files.  Lines that come from no file keep their order in the frame.
+    """
+    at = F.monotonically_increasing_id()
+    if "file" in lines.columns and "block" in lines.columns:
+        seq = F.struct(F.col("file"), F.col("block"), at.alias("line"))
+    else:
+        seq = F.struct(F.lit("").alias("file"), F.lit(0).cast("bigint").alias("block"), at.alias("line"))
+    return lines.select(column, seq.alias(SEQ)).filter(F.trim(F.col(column)) != "").select(
+        F.parse_json(F.col(column)).alias("rec"), SEQ)
 
 
 def records_to_table(recs: DataFrame, fields: Iterable[str] | None = None, keep_seq: bool = True) -> DataFrame:
@@ -93,15 +103,10 @@ def records_to_table(recs: DataFrame, fields: Iterable[str] | None = None, keep_
 
 def read_records(spark: SparkSession, path: str, fields: Iterable[str] | None = None) -> DataFrame:
     """A JSON-lines table as a record bag (blank lines skipped)."""
-    return records_to_table(parse_records(spark.read.text(path)), fields)
-
-
-def read_record_set(spark: SparkSession, base: str, names: Iterable[str]) -> dict[str, DataFrame]:
-    """Record bags ``{base}/{name}`` for each table name (absent folders stay absent)."""
-    import os
-    out = {}
-    for n in names:
-        p = f"{base}/{n}"
-        if "://" in base or os.path.exists(p):
-            out[n] = read_records(spark, p)
-    return out
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    return records_to_table(parse_records(lines), fields)
+
+
+def read_record_set(spark: SparkSession, base: str, fields: Mapping[str, Iterable[str]]) -> dict[str, DataFrame]:
+    """Record bags ``{base}/{name}`` with the given fields per table (absent folders stay absent)."""
+    return {n: read_records(spark, f"{base}/{n}", f) for n, f in fields.items() if exists(spark, f"{base}/{n}")}
