@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.transforms import apply_log
+from ..operators.transforms import LazyTables, apply_log
 from ..spec import Schema, Unmapped, FlattenNested, log_from_dicts
 
 
@@ -126,13 +126,13 @@ VS_SCHEMA = Schema.from_dict({
         "Event": {"fields": {"id": {"kind": "id"}, "user_id": {"kind": "ref", "target": "Customer"},
                              "event_type": {"kind": "enum", "values": EVENT_TYPES}, "value": {"kind": "number"}}},
         "Supplier": {"fields": {"id": {"kind": "id"}, "name": {"kind": "text"}, "nation_key": {"kind": "number"},
-                                "acctbal": {"kind": "number"}, "lines": {"kind": "nested", "of": "ContactBlock"}}},
+                                "acctbal": {"kind": "number"}, "lines": {"kind": "nested", "of": "DeliveryBlock"}}},
     },
     "nested_blocks": {
         "LineBlock": {"fields": {"linenumber": {"kind": "number"}, "partkey": {"kind": "number"},
                                  "quantity": {"kind": "number"}, "price": {"kind": "number"},
                                  "returnflag": {"kind": "text"}}},
-        "ContactBlock": {"fields": {"kind": {"kind": "text"}, "value": {"kind": "number"}}},
+        "DeliveryBlock": {"fields": {"kind": {"kind": "text"}, "value": {"kind": "number"}}},
     },
 })
 
@@ -142,7 +142,7 @@ VS_LOG = log_from_dicts([
     {"type": "enum_remap", "entity": "Orders", "field": "status",
      "mapping": {"F": "FULFILLED", "O": "OPEN", "P": "PENDING"}},
     {"type": "unmapped", "entity": "Orders", "field": "priority"},
-    {"type": "flatten_nested", "entity": "Supplier", "field": "lines", "block": "ContactBlock", "into": "lines_count",
+    {"type": "flatten_nested", "entity": "Supplier", "field": "lines", "block": "DeliveryBlock", "into": "lines_count",
      "strategy": "count"},
     {"type": "extract_nested", "entity": "Orders", "field": "lines", "block": "LineBlock", "new_entity": "OrderLine",
      "link_field": "order_id"},
@@ -167,11 +167,11 @@ def vs_source(spark: SparkSession, d: str) -> dict[str, DataFrame]:
             "Orders": orders_nested(spark, d), "Event": event_s(spark, d), "Supplier": supplier_nested(spark, d)}
 
 
-def vs_perfect(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+def vs_perfect(spark: SparkSession, d: str) -> LazyTables:
     return apply_log(vs_source(spark, d), VS_LOG, blocks=VS_BLOCKS)
 
 
-def vs_dest(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+def vs_dest(spark: SparkSession, d: str) -> LazyTables:
     """The damaged destination: the log applied, then data-value damage rules."""
     log = [s for s in VS_LOG if not isinstance(s, (Unmapped, FlattenNested))]
     t = apply_log(vs_source(spark, d), log, blocks=VS_BLOCKS)
@@ -189,17 +189,18 @@ def vs_dest(spark: SparkSession, d: str) -> dict[str, DataFrame]:
                         F.coalesce(F.size("lines"), F.lit(0)).cast("bigint").alias("lines_count"),
                         F.when(F.col("acctbal") < 0, F.col("lines")).alias("lines"))
     click = t["ClickEvent"].unionByName(t["PurchaseEvent"].filter(F.col("value") > 400))
-    return {
+    out = LazyTables({
         "Customer": kept.unionByName(fake),
-        "CustomerDetail": t["CustomerDetail"],
         "Orders": orders,
-        "OrderLine": t["OrderLine"].filter(F.col("returnflag") != "R"),
         "RegionNation": t["RegionNation"],
         "ClickEvent": click,
         "PurchaseEvent": t["PurchaseEvent"],
         "ViewEvent": t["ViewEvent"].withColumn("value", F.col("value").cast("string")),
         "Supplier": supplier,
-    }
+    })
+    out.defer("CustomerDetail", lambda: t["CustomerDetail"])
+    out.defer("OrderLine", lambda: t["OrderLine"].filter(F.col("returnflag") != "R"))
+    return out
 
 
 SQL_VS = SQL_SOURCES + """,

@@ -407,8 +407,12 @@ class Verifier:
 
     def _step_checks(self) -> None:
         ctx = self.ctx
+        reads = {"split": ("v_cov_split", "v_str_presence", "v_fid_split", "v_rel_split_link"),
+                 "extract_nested": ("v_cov_extract", "v_str_presence", "v_fid_extract", "v_fid_extract_extra", "v_rel_extract_link")}
         for i, s in enumerate(self.log):
             tp = s.type
+            if tp in reads and not self.wants(*reads[tp]):
+                continue  # its tables may not even be built yet
             if tp == "merge":
                 src = self._src(s.parent)
                 self._count_row(src, "coverage", "v_cov_merge", s.into, i, "least", "a")

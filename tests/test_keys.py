@@ -1,19 +1,11 @@
-"""Dense ids and positions: many range buckets, a hot group, against brute force."""
+"""Dense ids and positions: many range partitions, a hot group, against brute force."""
 
 from pyspark.sql import functions as F
 
-import migrata.operators.keys as keys
-from migrata.operators.keys import dense_id, first_per_key, last_wins, position_in_group
+from migrata.operators.keys import dense_id, first_per_key, last_wins, placed, position_in_group
 
 
-def small_buckets(monkeypatch):
-    # force many buckets on small test data (the sample would otherwise size them to one)
-    monkeypatch.setattr(keys, "MIN_SAMPLE", 10)
-    monkeypatch.setattr(keys, "ROWS_PER_BUCKET", 1)
-
-
-def test_dense_id_many_buckets(spark, monkeypatch):
-    small_buckets(monkeypatch)
+def test_dense_id_many_partitions(spark):
     df = spark.range(0, 5000).select(((F.col("id") * 7919) % 5000).alias("k"), (F.col("id") % 3).alias("g"))
     out = dense_id(df, ["g", "k"], "rid", n_partitions=13).collect()
     got = {(r.g, r.k): r.rid for r in out}
@@ -21,9 +13,8 @@ def test_dense_id_many_buckets(spark, monkeypatch):
     assert got == want
 
 
-def test_position_in_group_hot_key(spark, monkeypatch):
-    small_buckets(monkeypatch)
-    # a third of all rows share one key; buckets split it and offsets stitch it back
+def test_position_in_group_hot_key(spark):
+    # a third of all rows share one key; range partitions split it
     df = spark.range(0, 3000).select(F.when(F.col("id") % 3 == 0, F.lit(7)).otherwise(F.col("id")).alias("k"),
                                      F.col("id").alias("o"))
     out = position_in_group(df, "k", ["o"], "pos", n_partitions=11).collect()
@@ -44,11 +35,17 @@ def test_last_wins_and_first_per_key(spark):
     assert sorted((r.id, r.v) for r in first_per_key(df, "id", ["_seq"]).collect()) == [(1, "a"), (2, "c")]
 
 
-def test_bucket_count_estimated_from_sample(spark, monkeypatch):
-    monkeypatch.setattr(keys, "MIN_SAMPLE", 200)
-    monkeypatch.setattr(keys, "ROWS_PER_BUCKET", 100)
-    df = spark.range(0, 5000).select(((F.col("id") * 31) % 5000).alias("k"))
-    bucketed, n = keys.range_buckets(df, ["k"])
-    assert 20 <= n <= 200  # about 5000 / 100 buckets, from the size estimated on the sample
-    out = dense_id(df, ["k"], "rid").collect()
-    assert sorted((r.k, r.rid) for r in out) == [(i, i + 1) for i in range(5000)]
+def test_hot_group_is_spread_over_partitions(spark):
+    df = spark.range(0, 4000).select(F.lit(1).alias("k"), F.col("id").alias("o"))
+    rows = placed(df, ["k", "o"], 8)
+    assert [r[0] for r in rows.orderBy("o").select("__mg_at").collect()] == list(range(4000))
+    per_file = [r[0] for r in rows.groupBy(F.input_file_name().alias("f")).count().select("count").collect()]
+    assert len(per_file) == 8 and max(per_file) < 1000
+
+
+def test_ranks_are_fixed_once(spark):
+    # ties are broken arbitrarily, but the same way in every evaluation
+    df = spark.range(0, 500).select((F.col("id") % 5).alias("k"), F.rand().alias("v"))
+    out = dense_id(df, ["k"], "rid")
+    assert out.orderBy("rid").collect() == out.orderBy("rid").collect()
+    assert dense_id(df.where("false"), ["k"], "rid").count() == 0

@@ -97,6 +97,14 @@ def test_jobs_migrate_then_verify(spark, tmp_path):
     jobs.verify(spark, str(spec), str(tmp_path / "src"), str(tmp_path / "dst"), str(tmp_path / "out"))
     rep = spark.read.parquet(str(tmp_path / "out" / "report")).first()
     assert rep.total == pytest.approx(100.0, abs=1e-6)
+    # the same by URI, as on remote storage: sub-tables written by partition are found again
+    u = tmp_path.as_uri()
+    jobs.migrate(spark, f"{u}/spec.json", f"{u}/src", f"{u}/dst2")
+    assert (tmp_path / "dst2" / "_routed").is_dir()
+    jobs.verify(spark, f"{u}/spec.json", f"{u}/src", f"{u}/dst2", f"{u}/out2")
+    assert spark.read.parquet(f"{u}/out2/report").first().total == pytest.approx(100.0, abs=1e-6)
+    with pytest.raises(FileNotFoundError):
+        jobs.migrate(spark, f"{u}/spec.json", f"{u}/nowhere", f"{u}/dst3")
 
 
 def test_jobs_verify_json_records(spark, tmp_path):
@@ -144,3 +152,73 @@ def test_preconditions_reject_unsafe_steps():
     part = log_from_dicts([{"type": "partition", "entity": "A", "on_field": "x", "mapping": {"p": "P"}}])
     probs = check_preconditions(sch, part)
     assert any("referenced by" in p for p in probs) and any("must be an enum" in p for p in probs)
+
+
+def test_preconditions_of_new_rules():
+    from migrata.spec import Schema, SpecError, check_preconditions, log_from_dicts, require
+    text = {"kind": "text"}
+    sch = Schema.from_dict({"entities": {
+        "Dock": {"fields": {"id": {"kind": "id"}, "name": text}},
+        "Crane": {"fields": {"id": {"kind": "id"}, "dock_id": {"kind": "ref", "target": "Dock"}, "a": text, "b": text}}}})
+    gone = log_from_dicts([
+        {"type": "merge", "from": ["Dock", "Crane"], "into": "Yard", "dropped_link_field": "dock_id"},
+        {"type": "denormalize", "entity": "Yard", "via_field": "dock_id", "from_entity": "Dock",
+         "inlined": [{"source_field": "name", "dest_field": "dock_name"}]},
+        {"type": "computed", "entity": "Yard", "operation": "concat", "source_fields": ["a", "dock_name"], "dest_field": "c"},
+        {"type": "split", "from": "Shed", "into": ["Shed", "ShedDetail"], "moved_fields": ["x"], "link_field": "shed_id"}])
+    problems = check_preconditions(sch, gone)
+    assert any("did not survive" in p for p in problems) and any("inlined column dock_name" in p for p in problems)
+    assert any("no such table" in p for p in problems)
+    with pytest.raises(SpecError):
+        require(sch, gone)
+
+
+def test_write_order_decides_inside_a_batch(spark):
+    w = BatchWriter(spark, scratch_path(spark, "t"))
+    rows = [(1, f"v{i}", i) for i in range(6)]
+    assert w.write("User", spark.createDataFrame(rows[::-1], "id bigint, name string, at int").repartition(3), ["at"]) == 6
+    # a second writer goes on where the first stopped
+    again = BatchWriter(spark, w.base)
+    assert again.write("User", spark.createDataFrame([(2, "x", 0)], "id bigint, name string, at int"), ["at"]) == 1
+    back = again.read("User")
+    assert sorted(r[0] for r in back.select("_batch").distinct().collect()) == [0, 1]
+    from migrata.operators.keys import last_wins
+    assert {r.id: r.name for r in last_wins(back.drop("_batch"), "id", "_seq").collect()} == {1: "v5", 2: "x"}
+
+
+def test_fingerprint_tells_null_places_apart(spark):
+    a = spark.createDataFrame([(None, 5)], "a int, b int")
+    b = spark.createDataFrame([(5, None)], "a int, b int")
+    got = {r.table_name: r.row_hash_sum for r in audit.fingerprint({"a": a, "b": b}).collect()}
+    assert got["a"] != got["b"]
+
+
+def test_run_files_of_either_shape(spark, tmp_path):
+    import json
+    from migrata.sources.io import read_runs
+    runs = [{"run_id": "r1", "tier": 2}, {"run_id": "r2", "tier": 3}]
+    for name, text in (("lines", "\n".join(map(json.dumps, runs))), ("document", json.dumps(runs[0], indent=2)), ("list", json.dumps(runs, indent=2))):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "runs.json").write_text(text)
+        got = sorted(tuple(r) for r in read_runs(spark, str(tmp_path / name), "run_id string, tier int").collect())
+        assert got == [("r1", 2), ("r2", 3)][:1 if name == "document" else 2], name
+
+
+def test_jaccard_over_distinct_ids(spark):
+    sch = {"entities": {"Job": {"fields": {"id": {"kind": "id"}, "state": {"kind": "enum", "values": ["up", "down"]}}}}}
+    from migrata.spec import Schema, log_from_dicts
+    part = log_from_dicts([{"type": "partition", "entity": "Job", "on_field": "state", "mapping": {"up": "UpJob", "down": "DownJob"}}])
+    src = tables(spark, {"Job": ("id bigint, state string", [(1, "up"), (1, "up"), (1, "up"), (2, "up")])})
+    dest = tables(spark, {"UpJob": ("id bigint", [(1,)])})
+    checks = Verifier(Schema.from_dict(sch), part, src, dest, only=["v_str_jaccard"]).checks()
+    assert checks.where("entity = 'UpJob'").first().hits == pytest.approx(0.5)
+
+
+def test_flattened_count_dropped_again(spark):
+    sch = {"entities": {"Box": {"fields": {"id": {"kind": "id"}, "label": {"kind": "text"}, "parts": {"kind": "nested", "of": "Part"}}}},
+           "nested_blocks": {"Part": {"fields": {"n": {"kind": "number"}}}}}
+    from migrata.spec import Schema, log_from_dicts
+    steps = log_from_dicts([{"type": "flatten_nested", "entity": "Box", "field": "parts", "block": "Part", "into": "n_parts"},
+                            {"type": "unmapped", "entity": "Box", "field": "n_parts"}])
+    src = {"Box": spark.createDataFrame([(1, "a", [(1,)]), (2, "b", [])], "id bigint, label string, parts array<struct<n:bigint>>")}
+    assert grade(Schema.from_dict(sch), steps, src, apply_log(src, steps))["total"] == pytest.approx(100.0)

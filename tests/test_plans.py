@@ -3,7 +3,7 @@
 import io
 from contextlib import redirect_stdout
 
-from migrata.operators.keys import dense_id
+from migrata.operators.keys import dense_id, position_in_group
 from migrata.plans import catalog_transforms as ct
 
 SF = "/root/testdata/sf0.001"
@@ -22,19 +22,28 @@ def test_partition_filter_reaches_parquet_and_prunes_columns(spark):
     assert "ReadSchema: struct<event_id:bigint,user_id:bigint,event_type:string,value:double>" in p
 
 
-def test_dense_id_shuffles_by_bucket_not_to_one_task(spark, monkeypatch):
-    import migrata.operators.keys as keys
-    monkeypatch.setattr(keys, "MIN_SAMPLE", 10)
-    monkeypatch.setattr(keys, "ROWS_PER_BUCKET", 1)
-    df = spark.range(0, 1000).selectExpr("id * 7 % 1000 AS k")
-    p = plan(dense_id(df, ["k"], "rid", n_partitions=8), "simple")
-    assert "hashpartitioning(__mg_bucket" in p
-    # the only single-partition exchange carries the per-bucket counts (one row per bucket)
-    for line in p.splitlines():
-        if "SinglePartition" in line:
-            idx = p.splitlines().index(line)
-            below = "\n".join(p.splitlines()[idx:idx + 4])
-            assert "HashAggregate" in below or "count" in below
+def test_ranks_have_no_single_task_step_at_any_size(spark):
+    for n in (10, 5000):
+        df = spark.range(0, n).selectExpr("id * 7 % 1000 AS k", "id % 2 AS g")
+        for out in (dense_id(df, ["k"], "rid"), position_in_group(df, "g", ["k"])):
+            p = plan(out, "simple")
+            assert "SinglePartition" not in p and "Window" not in p and "CASE" not in p
+
+
+def test_checks_build_only_the_tables_they_read(spark, monkeypatch):
+    from migrata.operators import transforms
+    from migrata.plans import catalog_verify as cv
+    calls = []
+    monkeypatch.setattr(transforms, "dense_id", lambda *a, **k: calls.append(a) or dense_id(*a, **k))
+    q = cv.queries()
+    q["v_str_unmapped"](spark, SF)
+    q["v_str_computed"](spark, SF)
+    assert calls == []
+
+
+def test_ablation_joins_by_equality(spark):
+    from migrata.plans import catalog_misc
+    assert "CartesianProduct" not in plan(catalog_misc.a_partition_ablation(spark, SF), "simple")
 
 
 def test_merge_first_child_is_partially_aggregated(spark):
