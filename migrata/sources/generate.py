@@ -15,29 +15,6 @@ from pyspark.sql import functions as F
 
 from ..spec import FieldDef, Schema
 
-# Rename suffixes stripped before the text rule is chosen.
-RENAME_SUFFIXES = ("_v2", "_new", "_updated", "_renamed")
-
-# Text rules by whole word of the column name (first match wins).
-# Each rule is (word, prefix, suffix); the value is prefix + a hashed number + suffix.
-TEXT_RULES = (
-    ("email", "user", "@example.com"),
-    ("name", "Name ", ""),
-    ("title", "Title ", ""),
-    ("phone", "+1-555-", ""),
-    ("city", "City ", ""),
-    ("country", "Country ", ""),
-    ("url", "https://example.com/p/", ""),
-    ("sku", "SKU-", ""),
-    ("code", "CODE-", ""),
-    ("slug", "slug-", ""),
-    ("version", "v", ".0"),
-    ("tag", "tag", ""),
-    ("label", "Label ", ""),
-    ("company", "Company ", ""),
-)
-
-
 def _h(seed: int, table: str, col: str, *extra: Column) -> Column:
     return F.xxhash64(F.lit(seed), F.lit(table), F.lit(col), *extra)
 
@@ -46,18 +23,6 @@ def _pick(h: Column, k: int) -> Column:
     return F.pmod(h, F.lit(k)).cast("int")
 
 
-def text_rule(name: str) -> tuple[str, str] | None:
-    clean = name.lower()
-    for suf in RENAME_SUFFIXES:
-        if clean.endswith(suf):
-            clean = clean[: -len(suf)]
-    words = set(clean.split("_"))
-    for word, pre, post in TEXT_RULES:
-        if word in words:
-            return pre, post
-    return None
-
-
 def scalar_value(fname: str, fd: FieldDef, h: Column, stub_key: Column, ref_sizes: Mapping[str, int]) -> Column:
     """One generated value of kind ``fd.kind``."""
     k = fd.kind
@@ -82,10 +47,8 @@ def scalar_value(fname: str, fd: FieldDef, h: Column, stub_key: Column, ref_size
         n = max(1, int(ref_sizes.get(fd.target or "", 1)))
         return (_pick(h, n) + 1).cast("bigint")
     if k in ("text", "richtext"):
-        rule = text_rule(fname) if k == "text" else None
-        if rule is not None:
-            return F.concat(F.lit(rule[0]), (_pick(h, 100000)).cast("string"), F.lit(rule[1]))
-        return F.concat(F.lit(f"{fname}_"), stub_key.cast("string"))
+        # a short text repeats in a large table, a rich one is one of a kind
+        return F.concat(F.lit(f"{fname} "), _pick(h, 100000).cast("string") if k == "text" else stub_key.cast("string"))
     return F.lit(None).cast("string")
 
 

@@ -37,18 +37,17 @@ def test_constraints(spark):
     e = constraints.enum_domain(spark.createDataFrame([("x",), ("y",), (None,)], "s string"), "s", ["x"]).collect()
     assert [(r.value, r.n_rows) for r in e] == [("y", 1)]
     waves = constraints.load_waves(SCHEMA)
-    assert waves[0][0] == "Org" and "Project" in waves[2]
+    assert waves[0][0] == "Port" and "Voyage" in waves[2]
 
 
 def test_generator_contract(spark):
     g = generate(spark, SCHEMA, n=40, seed=1)
-    u = g["User"]
-    assert u.count() == 40 and u.agg(F.min("id"), F.max("id")).first() == (1, 40)
-    assert u.filter(~F.col("org_id").between(1, 40)).count() == 0
-    assert u.filter(~F.col("role").isin("admin", "member", "viewer", "guest")).count() == 0
-    p = g["Project"].select(F.size("metrics").alias("n"))
-    assert p.agg(F.min("n"), F.max("n")).first()[0] >= 1
-    assert g["User"].collect() == generate(spark, SCHEMA, n=40, seed=1)["User"].repartition(7).sort("id").collect()
+    c = g["Carrier"]
+    assert c.agg(F.count("id"), F.min("id"), F.max("id")).first() == (40, 1, 40)
+    assert c.where(~F.col("port_id").between(1, 40) | ~F.col("rank").isin("gold", "silver", "plain")).count() == 0
+    assert c.where((F.size("licences") < 1) | (F.size("licences") > 4)).count() == 0
+    assert g["Voyage"].where(~F.size("legs").between(1, 3)).count() == 0
+    assert c.collect() == generate(spark, SCHEMA, n=40, seed=1)["Carrier"].repartition(7).sort("id").collect()
 
 
 def test_batch_writer_last_wins(spark):
@@ -65,21 +64,21 @@ def test_batch_writer_last_wins(spark):
 def test_partition_ablation_matches_regrading(spark):
     src = {k: v.cache() for k, v in generate(spark, SCHEMA, n=10, seed=3).items()}
     dest = apply_log(src, LOG, blocks=BLOCKS)
-    dest["BugTicket"] = dest["BugTicket"].unionByName(dest["FeatureTicket"])  # misroute some rows
+    dest["DryParcel"] = dest["DryParcel"].unionByName(dest["WetParcel"])  # misroute some rows
     v = Verifier(SCHEMA, LOG, src, dest)
-    got = {r.scenario: r.total for r in audit.partition_ablation(v, "Ticket").collect()}
-    subs = ["BugTicket", "FeatureTicket", "ChoreTicket"]
-    for name, kept in [("all", subs), ("none", []), ("without_BugTicket", subs[1:]), ("only_ChoreTicket", subs[2:])]:
+    got = {r.scenario: r.total for r in audit.partition_ablation(v, "Parcel").collect()}
+    subs = ["DryParcel", "WetParcel", "GasParcel"]
+    for name, kept in [("all", subs), ("none", []), ("without_DryParcel", subs[1:]), ("only_GasParcel", subs[2:])]:
         d = {k: df for k, df in dest.items() if k not in subs or k in kept}
         assert got[name] == pytest.approx(grade(SCHEMA, LOG, src, d)["total"], abs=1e-9), name
 
 
 def test_dest_kinds_fold():
     k = dest_kinds(SCHEMA, LOG)
-    assert k["ProjectDetail"] == {"id": "id", "project_id": "ref", "status": "enum", "budget": "number"}
-    assert "Ticket" not in k and k["BugTicket"]["reporter_id"] == "ref"
-    assert k["ProfileRecord"]["profilenote_score"] == "number"
-    assert k["User"]["org_name"] == "text" and k["Org"]["events_count"] == "number"
+    assert k["VoyageDetail"] == {"id": "id", "voyage_id": "ref", "cost": "number", "state": "enum"}
+    assert "Parcel" not in k and k["GasParcel"] == {"id": "id", "shipper_id": "ref", "weight": "number", "marks": "text"}
+    assert k["PilotRecord"] == {"id": "id", "motto": "text", "grade": "number", "pilotlog_grade": "number", "entry": "text"}
+    assert (k["Carrier"]["port_zone"], k["Carrier"]["is_gold"], k["Port"]["alerts_count"]) == ("enum", "bool", "number")
 
 
 def test_jobs_migrate_then_verify(spark, tmp_path):

@@ -37,7 +37,7 @@ def test_verbatim_below_perfect(source):
 
 def test_scores_invariant_to_partitioning(spark, source):
     dest = apply_log(source, LOG, blocks=BLOCKS)
-    dest["BugTicket"] = dest["BugTicket"].unionByName(dest["FeatureTicket"])
+    dest["DryParcel"] = dest["DryParcel"].unionByName(dest["WetParcel"])
     old = spark.conf.get("spark.sql.shuffle.partitions")
     try:
         spark.conf.set("spark.sql.shuffle.partitions", "1")
