@@ -8,7 +8,7 @@ from tests.conftest import SF001
 from tools.compare import TABLES, digest
 
 NAMES = ["t_replay_full", "t_merge_collision", "k_dense_id_nested", "o_relabel", "p_nested_project",
-         "v_fid_extract", "v_str_jaccard", "a_ranking", "c_fk_orphans", "s_record_bag", "g_refs", "c_waves"]
+         "v_fid_extract", "v_str_jaccard", "a_ranking", "c_fk_orphans", "s_record_bag", "a_fingerprint", "t_replay_customer_detail", "c_waves"]
 
 
 @pytest.fixture(scope="module")
