@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 import re
 import zlib
 from collections import defaultdict
@@ -147,6 +148,57 @@ def test_lines_of_the_documents(spark):
     assert len(got ^ want) <= 0.01 * len(want)
 
 
+def _plain_truth(rows, similarity=0.8, size=5):
+    """The lines taken out, by all pairs over the plain character shingles of every line."""
+    where = defaultdict(list)
+    for i, t in rows:
+        for p, x in enumerate((t or "").split("\n")):
+            if x := x.strip(" \t\r\v\f"):
+                where[x].append((i is not None, i or 0, p))
+    keys = sorted(where)
+    sets = [{x[k:k + size] for k in range(max(len(x) - size, 0) + 1)} for x in keys]
+    links = [(a, b) for a, b in itertools.combinations(range(len(keys)), 2)
+             if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])]
+    best = {}
+    roots = _roots(len(keys), links)
+    for x, r in zip(keys, roots):
+        best[r] = min([best[r], *where[x]] if r in best else where[x])
+    return {(i if known else None, p) for x, r in zip(keys, roots) for known, i, p in where[x] if (known, i, p) != best[r]}
+
+
+def test_lines_have_a_shingle_at_every_character(spark):
+    texts = ["a🎉bcdéfg", "abc", "aaaaaaaaa", "x" * 700 + "y" * 700]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for r in df.select("t", F.size(lines.shingles(F.col("t"))).alias("n")).collect():
+        assert r["n"] == len({r["t"][k:k + 5] for k in range(max(len(r["t"]) - 5, 0) + 1)})
+    # the signatures see the same places as the verification
+    counted = lines._signatures(df.select(F.col("t").alias("node"), F.col("t").alias("line")), 1, 1, 5).collect()
+    assert {r["node"]: r["n"] for r in counted} == {t: len(t) - 4 for t in texts if len(t) >= 5}
+
+
+def test_lines_near_copies_of_plain_shingles(spark):
+    rng = random.Random(8)
+    dna = "".join(rng.choice("acgt") for _ in range(400))
+    rows = [(1, "Please contact support before returning damaged products to the store"),
+            (2, "Please contact suport before returning damaged products to the store"),
+            (3, dna), (4, dna[:200] + ("a" if dna[200] != "a" else "c") + dna[201:]),
+            (5, "alpha bravo charlie delta echo foxtrot golf hotel"), (6, "hotel golf foxtrot echo delta charlie bravo alpha"),
+            (7, "文字列の比較は一文字ずつずらして行うので、語の境目に左右されない長い行"), (8, "文字列の比較は一文字ずつずらして行うので、語の境目に左右されない長い行🎉")]
+    got = {(r["doc_id"], p) for r in lines.report(spark.createDataFrame(rows, "doc_id long, text string")).collect() for p in r["gone"]}
+    assert got == _plain_truth(rows) == {(2, 0), (4, 0), (8, 0)}
+    rows = _near_lines()
+    got = {(r["doc_id"], p) for r in lines.report(spark.createDataFrame(rows, "doc_id long, text string")).collect() for p in r["gone"]}
+    assert got == _plain_truth(rows)
+
+
+def test_lines_of_the_documents_by_plain_shingles(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 90")
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    got = {(r["doc_id"], p) for r in lines.report(docs).collect() for p in r["gone"]}
+    want = _plain_truth(rows)
+    assert len(got ^ want) <= 0.01 * len(want)
+
+
 def test_lines_odd_rows(odd, empty):
     kept = lines.dedupe(odd)
     assert kept.columns == odd.columns and kept.count() == odd.count()
