@@ -199,6 +199,30 @@ def test_lines_of_the_documents_by_plain_shingles(spark):
     assert len(got ^ want) <= 0.01 * len(want)
 
 
+def test_lines_bound_puts_no_alike_pair_aside(spark):
+    rng = random.Random(4)
+    texts = []
+    for n in (5, 20, 60, 300, 1200):
+        for _ in range(12):
+            base = [rng.choice("abcdefgh ") for _ in range(n)]
+            for edits in (0, 1, 2, n // 40, n // 15):
+                t = list(base)
+                for _ in range(edits):
+                    t[rng.randrange(n)] = rng.choice("xyz")
+                texts.append("".join(t).strip() or "x")
+    texts = sorted(set(texts))
+    df = spark.createDataFrame(list(enumerate(texts)), "node long, line string")
+    p = lines._parities(df, 5)
+    pairs = p.join(p.select(*[F.col(c).alias(f"{c}_b") for c in p.columns]), F.col("node") < F.col("node_b"))
+    near = {(r["node"], r["node_b"]) for r in pairs.where(lines.possible(0.8)).select("node", "node_b").collect()}
+    sets = [{t[k:k + 5] for k in range(max(len(t) - 5, 0) + 1)} for t in texts]
+    alike = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert alike and alike <= near
+    # lines of some hundred characters are told apart; far longer ones fill the bits and go to the texts
+    short = {(a, b) for a, b in near if max(len(texts[a]), len(texts[b])) < 400}
+    assert len(short) < 2 * len(alike)
+
+
 def test_lines_odd_rows(odd, empty):
     kept = lines.dedupe(odd)
     assert kept.columns == odd.columns and kept.count() == odd.count()
