@@ -270,39 +270,75 @@ def cut(text: str, spans: Sequence[tuple[int, int]]) -> str:
 def remove(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
            window: int = WINDOW, max_coverage: float = MAX_COVERAGE, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """``docs`` with every hit span cut out of the text, and without the documents of which more than
-    ``max_coverage`` of the words is hit.  Cutting goes on until no window is left, also where it joins words."""
-    now = docs
-    chunks = _passes(items, item_id, item_text, window, chunk_words)
-    # a cut for one chunk may join words into a window of another: with several, a second round makes sure
-    for key, chunk in chunks * (2 if len(chunks) > 1 else 1):
-        def make(key=key, chunk=chunk):
+    ``max_coverage`` of the words is hit.  Cutting goes on until no window is left, also where it joins words.
+
+    Every round finds the hits of all automata before anything is cut, so the result is the same however many
+    there are; the coverage is that of the words as given (first round)."""
+    passes = _passes(items, item_id, item_text, window, chunk_words)
+    if not passes:
+        return docs
+    plain = [col(c) for c in docs.columns]
+    text, mark = fresh(docs, "__text"), fresh(docs, "__mark")
+
+    def over(spans, words) -> bool:
+        return sum(b - a for a, b in spans) > max_coverage * len(words)
+
+    def replaced(done: DataFrame) -> DataFrame:
+        return done.select(*[col(text).alias(c) if c == text_col else col(c) for c in docs.columns])
+
+    others = [c for c in docs.columns if c != text_col]
+    fields = [T.StructField(text, T.StringType()), T.StructField(mark, T.BooleanType())]
+    if len(passes) == 1:
+        def make_all(key=passes[0][0], chunk=passes[0][1]):
             a = _automaton(key, chunk, window)
 
-            def clean(text):
-                if not text:
-                    return text, True
-                keep = True
-                while True:
-                    words = words_of(text)
-                    spans, _ = a.scan(words)
-                    if not spans:
-                        return text, keep
-                    keep = keep and sum(e - s for s, e in spans) <= max_coverage * len(words)
-                    if not keep:
-                        return text, False
-                    text = cut(text, spans)
+            def clean(t):
+                words = words_of(t)
+                spans, _ = a.scan(words)
+                if over(spans, words):
+                    return t, False
+                while spans:
+                    t = cut(t, spans)
+                    spans, _ = a.scan(words_of(t))
+                return t, True
 
             def work(texts):
                 got = [clean(t) for t in texts]
                 return [t for t, _ in got], [k for _, k in got]
             return work
 
-        others = [c for c in now.columns if c != text_col]
-        text, keep = fresh(docs, "__text"), fresh(docs, "__keep")
-        fields = [T.StructField(text, T.StringType()), T.StructField(keep, T.BooleanType())]
-        done = map_texts(now, [col(c) for c in others], [col(text_col)], fields, make).where(col(keep))
-        now = done.select(*[col(text).alias(c) if c == text_col else col(c) for c in docs.columns])
-    return now
+        return replaced(map_texts(docs, [col(c) for c in others], [col(text_col)], fields, make_all).where(col(mark)))
+
+    now, clean_rows, first = docs, [], True
+    while True:
+        found = now.select(*plain, F.lit(None).cast(SPANS).alias(mark))
+        for key, chunk in passes:
+            def make_found(key=key, chunk=chunk):
+                a = _automaton(key, chunk, window)
+
+                def work(texts, spans):
+                    return ([_as_rows(_merged([(x["start"], x["end"]) for x in old or []] + a.scan(words_of(t))[0]))
+                             for t, old in zip(texts, spans)],)
+                return work
+
+            found = stored(map_texts(found, plain, [col(text_col), col(mark)], [T.StructField(mark, SPANS)], make_found), "hits")
+        clean_rows.append(found.where(F.size(col(mark)) == 0).select(*plain))
+        hit = found.where(F.size(col(mark)) > 0)
+        if hit.isEmpty():
+            break
+
+        def make_cut(first=first):
+            def work(texts, spans):
+                at = [[(x["start"], x["end"]) for x in s] for s in spans]
+                return [cut(t, s) for t, s in zip(texts, at)], [not (first and over(s, words_of(t))) for t, s in zip(texts, at)]
+            return work
+
+        now = replaced(stored(map_texts(hit, [col(c) for c in others], [col(text_col), col(mark)], fields, make_cut).where(col(mark)), "cut"))
+        first = False
+    out = clean_rows[0]
+    for rows in clean_rows[1:]:
+        out = out.union(rows)
+    return out
 
 
 def report(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", **kw) -> DataFrame:

@@ -182,6 +182,20 @@ def test_decontamination_removal(spark, odd, empty):
     assert decontaminate.remove(odd, none).count() == odd.count() and not any(r["n_hit"] for r in decontaminate.report(odd, none).collect())
 
 
+def test_decontamination_removal_by_any_number_of_automata(spark):
+    w = [f"w{i}" for i in range(400)]
+    items = spark.createDataFrame([(f"i{k}", " ".join(w[20 * k:20 * k + 30])) for k in range(12)], "item_id string, text string")
+    rest = lambda n, tag: [f"{tag}{i}" for i in range(n)]
+    docs = spark.createDataFrame([
+        (1, " ".join(w[0:30] + rest(45, "x") + w[100:125])),             # 55 of 100 words, by two items
+        (2, " ".join(rest(60, "y") + w[10:45] + rest(60, "z"))),         # windows of two items overlap
+        (3, " ".join(rest(30, "a") + w[200:205] + w[300:312] + w[205:210] + rest(30, "b"))),
+        (4, "clean"), (5, None), (6, "")], "doc_id int, text string")
+    got = [{r["doc_id"]: r["text"] for r in decontaminate.remove(docs, items, chunk_words=n).collect()} for n in (100_000, 40)]
+    assert got[0] == got[1] and 1 not in got[0] and set(got[0]) == {2, 3, 4, 5, 6}
+    assert not any(f" w{i} " in f" {t} " for t in (got[0][2],) for i in range(400))
+
+
 # license scan
 
 def test_license_bands_are_enough():
