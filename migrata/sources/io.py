@@ -86,9 +86,25 @@ def write_runs(runs: DataFrame, path: str) -> None:
 
 def read_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Read run results: JSON lines, or one document (or list of documents) per file, indented or not."""
-    lines = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt")
-    whole = spark.read.text(path, wholetext=True).select(F.col("value"), F.substring(F.ltrim("value"), 1, 1).alias("head"))
-    # a file is one document if its first line is no complete one; files are of either shape as a whole
-    first = F.split(F.trim("value"), "\n")[0]
-    single = whole.where((F.col("head") == "[") | (F.try_parse_json(first).isNull())).limit(1)
-    return (lines.option("multiLine", "true") if not single.isEmpty() else lines).json(path)
+    reader = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt")
+    lines = F.filter(F.split("value", "\r?\n"), lambda x: F.btrim(x, F.lit(" \t\r\ufeff")) != "")
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value"), lines.alias("lines"))
+    # each file for itself: one document if its first line is no complete one, unless that line alone is damaged
+    broken = F.expr("try_parse_json(lines[0]) IS NULL")
+    whole = F.try_parse_json("value").isNotNull()
+    others = F.exists("lines", lambda x: x.startswith("{") & F.try_parse_json(x).isNotNull())
+    shapes = files.where(F.size("lines") > 0).select("file", (broken & (whole | ~others)).alias("single"))
+    some = shapes.agg(F.bool_or("single"), F.bool_and("single")).first()
+    if not some[0]:
+        return reader.json(path)
+    multi = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt").option("multiLine", "true").json(path)
+    if some[1]:
+        return multi
+    single = shapes.where("single").select("file")
+    at = "__file"
+
+    def of(df: DataFrame, how: str) -> DataFrame:
+        named = df.select("*", F.col("_metadata.file_path").alias(at))
+        return named.join(single, named[at] == single["file"], how).drop(at)
+
+    return of(reader.json(path), "left_anti").union(of(multi, "left_semi"))

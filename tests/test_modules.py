@@ -203,6 +203,20 @@ def test_run_files_of_either_shape(spark, tmp_path):
         assert got == [("r1", 2), ("r2", 3)][:1 if name == "document" else 2], name
 
 
+def test_run_files_of_mixed_shapes(spark, tmp_path):
+    import json
+    from migrata.sources.io import read_runs
+    run = lambda k: {"run_id": f"r{k}", "tier": k}
+    line = lambda k: json.dumps(run(k))
+    texts = {"lines one.json": "\n".join(map(line, (1, 2, 3))), "doc.json": json.dumps(run(4), indent=2),
+             "list.json": json.dumps([run(5), run(6)], indent=2), "feed.json": "\n\n" + line(7) + "\n" + line(8),
+             "cut.json": line(9)[:12] + "\n" + line(10) + "\n" + line(11)}
+    for name, text in texts.items():
+        (tmp_path / name).write_text(text)
+    got = {tuple(r) for r in read_runs(spark, str(tmp_path), "run_id string, tier int").where("run_id is not null").collect()}
+    assert got >= {(f"r{k}", k) for k in (*range(1, 9), 10, 11)}
+
+
 def test_jaccard_over_distinct_ids(spark):
     sch = {"entities": {"Job": {"fields": {"id": {"kind": "id"}, "state": {"kind": "enum", "values": ["up", "down"]}}}}}
     from migrata.spec import Schema, log_from_dicts
