@@ -152,6 +152,8 @@ SQL_REPLAY = {
     "t_replay_supplier": "SELECT * FROM supplier_x",
     "t_replay_click_event": "SELECT id, user_id, value FROM event_x WHERE sub = 'ClickEvent'",
     "t_replay_view_event": "SELECT id, user_id, value FROM event_x WHERE sub = 'ViewEvent'",
+    "t_replay_purchase_event": "SELECT id, user_id, value FROM event_x WHERE sub = 'PurchaseEvent'",
+    "t_replay_signup_event": "SELECT id, user_id, value FROM event_x WHERE sub = 'SignupEvent'",
 }
 
 
@@ -317,6 +319,8 @@ def queries() -> dict:
         "t_replay_supplier": _replayed("Supplier"),
         "t_replay_click_event": _replayed("ClickEvent"),
         "t_replay_view_event": _replayed("ViewEvent"),
+        "t_replay_purchase_event": _replayed("PurchaseEvent"),
+        "t_replay_signup_event": _replayed("SignupEvent"),
         "k_dense_id": k_dense_id,
         "k_dense_id_nested": k_dense_id_nested,
         "k_last_wins": k_last_wins,

@@ -33,3 +33,9 @@ def test_query_matches_oracle(spark, duck, name):
     assert sorted(df.columns) == sorted(ocols)
     assert len(rows) == len(orows)
     assert digest(df.columns, rows)[0] == digest(ocols, orows)[0]
+
+
+def test_every_partition_is_replayed():
+    from migrata.plans import catalog_transforms as c
+    names = {f"t_replay_{x}_event" for x in ("click", "view", "purchase", "signup")}
+    assert names <= set(c.queries()) and names <= set(c.oracles())
