@@ -3,14 +3,14 @@
 A page becomes *lines*: markup is stripped, every block-level tag starts a new line, inline tags
 vanish, character references are decoded and white space inside a line becomes one blank.  Parts
 that are never article text (scripts, styles, forms, menus, page headers and footers, sidebars,
-notices, adverts, reader comments, by tag, role, class or id) leave a gap of empty lines, and so does
-everything outside ``<article>`` or ``<main>`` where a page has one.
+notices, adverts, reader comments, by tag, role, or a whole class name or id) leave a gap of empty lines, and so
+do the ends of ``<article>`` and ``<main>``.  An element that holds an article is never left out for its names.
 
-The distribution is the sum of text lengths over a window of ``WINDOW`` lines sliding down the page.
-A *surge* is where the sum rises from zero, a *dive* where it falls back to zero; the lines between a
-surge and its dive are kept if the distribution in between reaches the threshold: any text counts
-inside a declared article, ``MIN_PEAK`` characters of text outside links on pages that declare none.
-Kept lines are joined in page order by one blank.
+The distribution is the sum of weights over a window of ``WINDOW`` lines sliding down the page.  The weight of a
+line is its length, ``MIN_PEAK`` more inside ``<article>`` or ``<main>``, and nothing for a line of links outside
+them.  Where the sum rises from zero a block begins, where it falls back to zero it ends; the block is kept if the
+sum reaches ``MIN_PEAK`` in it.  The *surge* is its first weighted line and the *dive* its last one, and every
+line between them is kept, short ones too.  Kept lines are joined in page order by one blank.
 
 Defined results: a null or empty page, and a page without article text, give the empty string; whole
 pages are read whatever their length; unclosed or stray tags, unclosed comments and an unclosed last
@@ -48,7 +48,6 @@ NAMES = frozenset(
     "navigation breadcrumb breadcrumbs sidebar footer masthead cookie cookies consent notice notices gdpr popup "
     "modal overlay newsletter subscribe signup login share sharing social related recommended comment comments "
     "commentlist disqus reply replies respond pagination pager toolbar widget skip".split())
-_NAME_SPLIT = re.compile(r"[^a-z0-9]+")
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
     r"|<!\[CDATA\[.*?(?:\]\]>|\Z)"
@@ -59,15 +58,13 @@ _BROKEN_TAG = re.compile(r"</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
 _ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?![\w-])", re.I | re.S)
 
 
-def _unwanted(name: str, attrs: str, in_article: bool) -> bool:
-    if name in DROP or (name == "header" and not in_article):
-        return True
+def _unwanted(name: str, attrs: str) -> bool:
     if attrs and name not in ("html", "body", "article", "main"):
         for m in _ATTR.finditer(attrs):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if key == "role" and value.strip() in ROLES:
                 return True
-            if key in ("class", "id") and any(p in NAMES for w in value.split() for p in (w, *_NAME_SPLIT.split(w))):
+            if key in ("class", "id") and not NAMES.isdisjoint(value.split()):
                 return True
     return False
 
@@ -77,6 +74,41 @@ def _article_class_unwanted(attrs: str) -> bool:
                for m in _ATTR.finditer(attrs))
 
 
+def _holders(page: str) -> set[int]:
+    """Where the elements start that hold an ``<article>`` or ``<main>`` (not one of comments)."""
+    found: set[int] = set()
+    opened: list[tuple[str, int]] = []
+    pos, n = 0, len(page)
+    while 0 <= (lt := page.find("<", pos)) < n:
+        m = _TOKEN.match(page, lt)
+        if m is None:
+            m = _BROKEN_TAG.match(page, lt)
+            pos = m.end() if m else lt + 1
+            continue
+        pos = m.end()
+        name, attrs = (m["name"] or "").lower(), m["attrs"] or ""
+        if not name or name in VOID or attrs.rstrip().endswith("/"):
+            continue
+        if m["end"]:
+            # an end tag without a start closes nothing; what it leaves open inside closes with it
+            if any(x == name for x, _ in opened[-64:]):
+                while opened.pop()[0] != name:
+                    pass
+            continue
+        if name in RAW:
+            close = re.compile(r"</" + re.escape(name) + r"(?=[\s/>])[^>]*>", re.I).search(page, pos)
+            pos = close.end() if close else n
+            continue
+        if name in ("article", "main") and not _article_class_unwanted(attrs):
+            for _, at in reversed(opened):
+                if at in found:
+                    break
+                found.add(at)
+        if name not in INLINE and name != "p":
+            opened.append((name, lt))
+    return found
+
+
 def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     """(text, characters of it inside links, inside a declared article) per line, and whether any article is declared."""
     lines: list[tuple[str, int, bool]] = []
@@ -86,6 +118,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     declared = False
     links = 0
     skip, depth = "", 0  # element whose content is left out, and its depth
+    holders: set[int] | None = None
 
     def text(raw: str) -> None:
         nonlocal linked
@@ -157,10 +190,16 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
                 article += 1
                 declared = True
             continue
-        if not end and name not in VOID and not attrs.rstrip().endswith("/") and _unwanted(name, attrs, article > 0):
-            gap()
-            skip, depth = name, 1
-            continue
+        if not end and name not in VOID and not attrs.rstrip().endswith("/"):
+            out = name in DROP or (name == "header" and not article)
+            if not out and _unwanted(name, attrs):
+                if not article and holders is None:
+                    holders = _holders(page)
+                out = article > 0 or lt not in holders
+            if out:
+                gap()
+                skip, depth = name, 1
+                continue
         if name == "a":
             links = max(0, links - 1) if end else links + 1
         if name not in INLINE:
@@ -184,13 +223,8 @@ def extract(page: str | None) -> str:
     """The main text of one page."""
     if not page:
         return ""
-    lines, declared = lines_of(page)
-    if declared:
-        weight = [len(s) if inside else 0 for s, _, inside in lines]
-        least = 1
-    else:
-        weight = [0 if linked > MAX_LINK_SHARE * len(s) else len(s) for s, linked, _ in lines]
-        least = MIN_PEAK
+    lines, _ = lines_of(page)
+    weight = [len(s) + MIN_PEAK if s and inside else 0 if linked > MAX_LINK_SHARE * len(s) else len(s) for s, linked, inside in lines]
     sums = block_sums(weight)
     kept: list[str] = []
     i, n = 0, len(lines)
@@ -201,8 +235,9 @@ def extract(page: str | None) -> str:
         dive = i
         while dive < n and sums[dive]:
             dive += 1
-        if max(sums[i:dive]) >= least:
-            kept += [s for (s, _, _), w in zip(lines[i:dive], weight[i:dive]) if w]
+        if max(sums[i:dive]) >= MIN_PEAK:
+            surge = next(k for k in range(i, dive) if weight[k])
+            kept += [s for s, _, _ in lines[surge:dive] if s]
         i = dive
     return " ".join(kept)
 

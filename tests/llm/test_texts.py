@@ -107,6 +107,25 @@ def test_extraction_cases(page, want):
     assert html.extract(page) == want
 
 
+LONG = "a sentence of the main text that is long enough to be one. " * 3
+
+
+@pytest.mark.parametrize("page, want", [
+    # the article of a page does not switch off the text outside it
+    (f"<article class=teaser><p>teaser</p></article><div id=content><p>{LONG}</p><p>short</p><p>{LONG}</p></div>",
+     f"teaser {LONG}short {LONG}".strip()),
+    # class names count whole, and never on what holds an article
+    (f"<div class='layout has-sidebar'><article><p>{LONG}</p></article></div>", LONG.strip()),
+    (f"<div class='sidebar'><article><p>{LONG}</p></article></div>", LONG.strip()),
+    (f"<div class='sidebar'><p>{LONG}</p></div><article>a</article>", "a"),
+    (f"<div class='post-share'><p>{LONG}</p></div>", LONG.strip()),
+    # short lines and links between surge and dive stay
+    (f"<p>{LONG}</p><p><a href=x>linked heading</a></p><p>{LONG}</p><ul><li><a href=x>menu</a></ul>", f"{LONG}linked heading {LONG}".strip()),
+])
+def test_extraction_by_the_distribution(page, want):
+    assert html.extract(page) == want
+
+
 def test_block_sums():
     assert html.block_sums([1, 0, 0, 0, 5, 2], 3) == [1, 0, 5, 7, 7, 2]
 
