@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from migrata.llm import bpe, decontaminate, html, licenses, lines, quality, reshard, search, simhash, warc
+from migrata.llm import bpe, conversations, decontaminate, filters, html, licenses, lines, passages, quality, reshard, search, simhash, warc
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -56,9 +56,21 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.report(_table(spark, sf_dir, "documents"))
 
 
+def op11_count_min_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.report(_table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.report(_table(spark, sf_dir, "conversations"))
+
+
+def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op11_count_min_substring_dedup": passages.ORACLE, "op13_filter_interaction_audit": filters.ORACLE}
