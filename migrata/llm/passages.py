@@ -33,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,29 +47,44 @@ DEPTH = 2
 WIDTH = 1 << 27
 BLOCK = 1 << 16
 FILTER_WORDS = 1 << 20
-SLICE = 4 << 20
-CACHED_WORDS = 1 << 20
+SLICE = 1 << 20
+LONG = 256
 # cells a task holds before it emits a partial sketch
 HELD = 1 << 22
 _R1, _R2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+_WHITE = np.isin(np.arange(256), np.frombuffer(b" \t\n\v\f\r", np.uint8))
 _MIX = (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53)
 
 
-class _Hashes(dict):
-    """64-bit hashes of words, kept for words seen before."""
+class _Hashes:
+    """64-bit hashes of words: a polynomial over random values of their bytes, taken from prefix sums over all the bytes at once.
 
-    def __init__(self, seed: int):
-        super().__init__()
-        self.seed = seed
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        value = self[word] = xxh3_64_intdigest(word, self.seed)
-        return value
+    Words of ``LONG`` bytes and more, where such a polynomial can be tricked, get XXH3 instead."""
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+    def __init__(self, seed: int):
+        random = np.random.default_rng(seed)
+        self.seed, self.table = seed, random.integers(0, 1 << 64, 256, dtype=np.uint64)
+        self.base = int(random.integers(0, 1 << 63)) * 2 + 1
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if len(self.up) < n:
+            size = max(n, 1 << 20)
+            self.up, self.down = (np.full(size, x, np.uint64) for x in (self.base, pow(self.base, -1, 1 << 64)))
+            for x in (self.up, self.down):
+                x[0] = 1
+                np.multiply.accumulate(x, out=x)
+
+    def of(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The hash of each ``data[begin:end]``."""
+        with np.errstate(over="ignore"):
+            self._powers(len(data))
+            sums = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(self.table[data] * self.up[:len(data)], out=sums[1:])
+            out = _mixed((sums[end] - sums[begin]) * self.down[begin] + (end - begin).astype(np.uint64))
+        for k in np.flatnonzero(end - begin >= LONG):
+            out[k] = xxh3_64_intdigest(data[begin[k]:end[k]].tobytes(), self.seed)
+        return out
 
 
 def rolling(words: np.ndarray, n: int, base: np.uint64) -> np.ndarray:
@@ -109,23 +125,28 @@ def _mixed(values: np.ndarray) -> np.ndarray:
 class Texts:
     """The words of some documents in a row, and their windows."""
 
-    def __init__(self, texts: list[str | None], hashes: _Hashes, window: int, gram: int):
-        self.words: list[bytes] = []
-        starts = [0]
-        for t in texts:
-            # bytes.split() separates at the six ASCII white-space characters alone
-            self.words += t.encode("utf-8", "surrogatepass").split() if t else ()
-            starts.append(len(self.words))
-        self.starts = np.array(starts)
-        n = len(self.words)
+    def __init__(self, texts: pa.Array, hashes: _Hashes, window: int, gram: int):
+        raw = pc.fill_null(texts.cast(pa.large_binary()), b"")
+        _, offsets, values = raw.buffers()
+        cuts = np.frombuffer(offsets, np.int64)[raw.offset:raw.offset + len(raw) + 1] if len(raw) else np.zeros(1, np.int64)
+        self.data = np.frombuffer(values, np.uint8)[cuts[0]:cuts[-1]] if values is not None else np.zeros(0, np.uint8)
+        cuts = cuts - cuts[0]
+        black = np.zeros(len(self.data) + 2, bool)
+        black[1:-1] = ~_WHITE[self.data]
+        # a word begins or ends where white meets black, and where a document does
+        edge = np.zeros(len(self.data) + 1, bool)
+        edge[cuts] = True
+        self.begin = np.flatnonzero(black[1:] & (edge | ~black[:-1]))
+        self.end = np.flatnonzero(black[:-1] & (edge | ~black[1:]))
+        doc = np.searchsorted(cuts, self.begin, side="right") - 1
+        self.starts = np.searchsorted(doc, np.arange(len(raw) + 1))
+        n = len(doc)
         self.place = np.zeros(0, np.int64)
         if n < window:
             return
-        doc = np.repeat(np.arange(len(texts)), np.diff(self.starts))
+        self.hashed = hashes.of(self.data, self.begin, self.end)
         # grams by mixed hash: the least one is an arbitrary one, not that of a common word
-        self.hashed = hashes.of(self.words)
-        grams = _mixed(rolling(self.hashed, gram, _R1))
-        least = sliding_min(grams, window - gram + 1)
+        least = sliding_min(_mixed(rolling(self.hashed, gram, _R1)), window - gram + 1)
         self.place = np.flatnonzero(doc[:n - window + 1] == doc[window - 1:])
         self.doc = doc[self.place]
         self.least = least[self.place]
@@ -133,6 +154,14 @@ class Texts:
         self.new = np.ones(len(self.place), bool)
         self.new[1:] = (self.least[1:] != self.least[:-1]) | (self.doc[1:] != self.doc[:-1])
 
+    def windows(self, at: np.ndarray, hashes: _Hashes, window: int, base: np.uint64, hashed: np.ndarray | None = None) -> np.ndarray:
+        """The hash of the windows ``at`` (in increasing order), hashing only the documents they are in."""
+        docs = np.unique(self.doc[at])
+        spans = [np.arange(self.starts[d], self.starts[d + 1]) for d in docs]
+        words = np.concatenate(spans)
+        values = hashes.of(self.data, self.begin[words], self.end[words]) if hashed is None else hashed[words]
+        return _mixed(rolling(values, window, base)[np.searchsorted(words, self.place[at])])
+
 
 def cells(grams: np.ndarray, depth: int, width: int) -> list[np.ndarray]:
     """Per row of the sketch the cells of the grams (counted over all rows)."""
@@ -161,7 +190,7 @@ def sketch(docs: DataFrame, text_col: str = "text", window: int = WINDOW, gram:
 
         for batch in batches:
             for part in _slices(batch, [0], SLICE):
-                texts = Texts(part.column(0).to_pylist(), hashes, window, gram)
+                texts = Texts(part.column(0), hashes, window, gram)
                 if len(texts.place):
                     new = cells(texts.least[texts.new], depth, width)
                     found += new
@@ -206,7 +235,7 @@ def _candidates(docs: DataFrame, id_col: str, text_col: str, twice, window: int,
         bits = np.frombuffer(twice.value, np.uint8)
         for batch in batches:
             for part in _slices(batch, [2], SLICE):
-                texts = Texts(part.column(2).to_pylist(), first, window, gram)
+                texts = Texts(part.column(2), first, window, gram)
                 if not len(texts.place):
                     continue
                 likely = np.ones(int(texts.new.sum()), bool)
@@ -216,8 +245,8 @@ def _candidates(docs: DataFrame, id_col: str, text_col: str, twice, window: int,
                 if not len(at):
                     continue
                 start, doc = texts.place[at], texts.doc[at]
-                k1 = _mixed(rolling(texts.hashed, window, _R2)[start]).view(np.int64)
-                k2 = (_mixed(rolling(second.of(texts.words), window, _R1)[start]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                k1 = texts.windows(at, first, window, _R2, texts.hashed).view(np.int64)
+                k2 = (texts.windows(at, second, window, _R1) >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 copy = np.asarray(part.column(1))
                 place = (start - texts.starts[doc]) << 31 | copy[doc]
                 ids = part.column(0).take(pa.array(doc))

@@ -6,6 +6,8 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
+import xxhash
 
 from migrata.llm import passages
 
@@ -98,7 +100,7 @@ def test_cells_count_once_or_more(spark):
     for r in passages.sketch(df, window=10, gram=5, width=1 << 16).collect():
         bits[r["block"] * 8192:(r["block"] + 1) * 8192] = np.frombuffer(r["twice"], np.uint8)
     on = {int(x) for x in np.flatnonzero(np.unpackbits(bits, bitorder="little"))}
-    t, o = (passages.Texts([x], passages._Hashes(1), 10, 5) for x in (text, other))
+    t, o = (passages.Texts(pa.array([x]), passages._Hashes(1), 10, 5) for x in (text, other))
     assert {int(c) for row in passages.cells(t.least, 2, 1 << 16) for c in row} <= on
     assert len(on) <= 2 * len(set(t.least.tolist())) + 2
 
@@ -110,3 +112,16 @@ def test_rolling_and_sliding():
         want = [sum(int(v) * pow(int(passages._R1), n - 1 - k, 1 << 64) for k, v in enumerate(x[i:i + n])) % (1 << 64) for i in range(200 - n + 1)]
         assert passages.rolling(x, n, passages._R1).tolist() == want
         assert passages.sliding_min(x, n).tolist() == [min(x[i:i + n].tolist()) for i in range(200 - n + 1)]
+
+
+def test_words_of_a_batch():
+    texts = ["one two", None, "", "  three\u00a0x\n", "four", "é\tü " + "z" * 300 + " q", " "]
+    whole = pa.array([None, "cut off", *texts, "rest"])
+    got = passages.Texts(whole.slice(2, len(texts)), passages._Hashes(1), 2, 1)
+    want = [w.encode() for t in texts for w in _words(t)]
+    assert [got.data[a:b].tobytes() for a, b in zip(got.begin, got.end)] == want
+    assert np.diff(got.starts).tolist() == [len(_words(t)) for t in texts]
+    h = passages._Hashes(1)
+    one = {w: int(h.of(np.frombuffer(w, np.uint8), np.array([0]), np.array([len(w)]))[0]) for w in want}
+    assert got.hashed.tolist() == [one[w] for w in want] and len(set(one.values())) == len(set(want))
+    assert one[b"z" * 300] == xxhash.xxh3_64_intdigest(b"z" * 300, 1)
