@@ -47,7 +47,19 @@ def stored(df: DataFrame, tag: str, partition_by: Sequence[str] = ()) -> DataFra
     path = scratch(df.sparkSession, tag)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.folder = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the folders of ``stored`` tables nothing reads any more, and let Spark drop shuffle files nobody refers to."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        path = context._jvm.org.apache.hadoop.fs.Path(df.folder)
+        path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def small_batches(spark: SparkSession) -> None:

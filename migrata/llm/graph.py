@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from migrata.llm.common import stored
+from migrata.llm.common import discard, stored
 
 
 def _settled(links: DataFrame) -> bool:
@@ -37,5 +37,6 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         nearest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(nearest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .union(nearest.select("u", "m")))
-        now = stored(small.distinct(), "links")
+        before, now = now, stored(small.distinct(), "links")
+        discard(before)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -265,8 +265,10 @@ def marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     for r in sketch(docs, text_col, window, gram, depth, width).collect():
         twice[r["block"] * (BLOCK // 8):(r["block"] + 1) * (BLOCK // 8)] = np.frombuffer(r["twice"], np.uint8)
     found = _candidates(docs, id_col, text_col, spark.sparkContext.broadcast(twice.tobytes()), window, gram, depth, width)
-    least = found.groupBy("k1", "k2").agg(F.min("id").alias("least"))
-    later = found.join(least, ["k1", "k2"]).where("id > least")
+    # dealt by one more key than the groups were, so that both sides of the join come from exchanges of its own, which AQE splits
+    deal = F.xxhash64("k1", "k2").alias("deal")
+    least = found.groupBy("k1", "k2").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("k1", "k2", deal, "least")
+    later = found.select("*", deal).join(least, ["deal", "k1", "k2"]).where("id > least")
     mine = later.groupBy("id", F.col("place").bitwiseAND(F.lit(0x7FFFFFFF)).alias("copy")).agg(
         F.collect_list(F.shiftright("place", 31).cast("int")).alias("starts"))
     return stored(mine, "repeats")

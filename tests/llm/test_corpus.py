@@ -102,25 +102,6 @@ def test_simhash_keeps_one_of_each(spark, odd, empty):
 
 # lines
 
-def _line_truth(rows, similarity=0.8):
-    letter = "[A-Za-zÀ-ɏ]"
-    shingle = re.compile(rf"(?s)(?<!{letter})(?=(\S.{{0,4}}{letter}*))")
-    where = defaultdict(list)
-    for i, t in rows:
-        for p, x in enumerate((t or "").split("\n") if t is not None else []):
-            if x := x.strip(" \t\r\v\f"):
-                where[x].append((i is not None, i or 0, p))
-    keys = sorted(where)
-    sets = [set(shingle.findall(x)) for x in keys]
-    links = [(a, b) for a, b in itertools.combinations(range(len(keys)), 2)
-             if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])]
-    roots = _roots(len(keys), links)
-    best = {}
-    for x, r in zip(keys, roots):
-        best[r] = min([best[r], *where[x]] if r in best else where[x])
-    return {(i if known else None, p) for x, r in zip(keys, roots) for known, i, p in where[x] if (known, i, p) != best[r]}
-
-
 def _near_lines():
     base = "the quick brown fox number {} jumps over the lazy dog while the old grey cat number {} sleeps on a warm window sill in town"
     chain = base.format(1, 2).split()
@@ -131,23 +112,13 @@ def _near_lines():
     return rows + [(20, "文字文字文字文字文字文字と文字文字文字"), (21, "文字文字文字文字文字文字と文字文字文字。"), (22, None), (23, ""), (24, " \n "), (None, "short\r")]
 
 
-def test_lines_against_all_pairs(spark):
+def test_lines_of_hand_made_texts(spark):
     rows = _near_lines()
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {(r["doc_id"], p) for r in lines.report(df).collect() for p in r["gone"]}
-    assert got == _line_truth(rows)
     kept = {r["doc_id"]: r["text"] for r in lines.dedupe(df).collect()}
     assert set(kept) == {i for i, _ in rows} and kept[22] is None and kept[23] == "" and kept[24] == " \n "
 
 
-def test_lines_of_the_documents(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 90")
-    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
-    got = {(r["doc_id"], p) for r in lines.report(docs).collect() for p in r["gone"]}
-    want = _line_truth(rows)
-    assert len(got ^ want) <= 0.01 * len(want)
-
-
 def _plain_truth(rows, similarity=0.8, size=5):
     """The lines taken out, by all pairs over the plain character shingles of every line."""
     where = defaultdict(list)
@@ -172,7 +143,7 @@ def test_lines_have_a_shingle_at_every_character(spark):
     for r in df.select("t", F.size(lines.shingles(F.col("t"))).alias("n")).collect():
         assert r["n"] == len({r["t"][k:k + 5] for k in range(max(len(r["t"]) - 5, 0) + 1)})
     # the signatures see the same places as the verification
-    counted = lines._signatures(df.select(F.col("t").alias("node"), F.col("t").alias("line")), 1, 1, 5).collect()
+    counted = lines._minima(df.select(F.col("t").alias("node"), F.col("t").alias("line"), F.lit(1).alias("times")), 1, 1, 5).collect()
     assert {r["node"]: r["n"] for r in counted} == {t: len(t) - 4 for t in texts if len(t) >= 5}
 
 
@@ -199,28 +170,48 @@ def test_lines_of_the_documents_by_plain_shingles(spark):
     assert len(got ^ want) <= 0.01 * len(want)
 
 
-def test_lines_bound_puts_no_alike_pair_aside(spark):
-    rng = random.Random(4)
-    texts = []
-    for n in (5, 20, 60, 300, 1200):
-        for _ in range(12):
+def _edited_lines(rng, count, sizes=(60, 150, 300, 1200)):
+    """(line, copy) pairs of all similarities: some letters of the copy changed."""
+    out = []
+    for n in sizes:
+        for k in range(count):
             base = [rng.choice("abcdefgh ") for _ in range(n)]
-            for edits in (0, 1, 2, n // 40, n // 15):
-                t = list(base)
-                for _ in range(edits):
-                    t[rng.randrange(n)] = rng.choice("xyz")
-                texts.append("".join(t).strip() or "x")
-    texts = sorted(set(texts))
-    df = spark.createDataFrame(list(enumerate(texts)), "node long, line string")
-    p = lines._parities(df, 5)
-    pairs = p.join(p.select(*[F.col(c).alias(f"{c}_b") for c in p.columns]), F.col("node") < F.col("node_b"))
-    near = {(r["node"], r["node_b"]) for r in pairs.where(lines.possible(0.8)).select("node", "node_b").collect()}
+            copy = list(base)
+            for _ in range(k % (n // 12)):
+                copy[rng.randrange(n)] = rng.choice("xyz")
+            out.append(("".join(base).strip(), "".join(copy).strip()))
+    return out
+
+
+def test_lines_bands_and_sketch_let_alike_pairs_through(spark):
+    pairs = _edited_lines(random.Random(4), 100)
+    texts = sorted({t for p in pairs for t in p})
+    df = spark.createDataFrame([(k, t, 1) for k, t in enumerate(texts)], "node long, line string, times long")
+    s = {r["node"]: r for r in lines._signatures(df, lines.ROWS, lines.BANDS, 5).collect()}
+    place = {t: k for k, t in enumerate(texts)}
     sets = [{t[k:k + 5] for k in range(max(len(t) - 5, 0) + 1)} for t in texts]
-    alike = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
-    assert alike and alike <= near
-    # lines of some hundred characters are told apart; far longer ones fill the bits and go to the texts
-    short = {(a, b) for a, b in near if max(len(texts[a]), len(texts[b])) < 400}
-    assert len(short) < 2 * len(alike)
+    both = spark.createDataFrame([(a, b, *(s[x][c] for x in (a, b) for c in ("s1", "s2"))) for a, b in ((place[x], place[y]) for x, y in pairs)],
+                                 "a long, b long, p long, q long, r long, t long")
+    through = {(r["a"], r["b"]) for r in both.where(lines.agree(*map(F.col, "pqrt"))).collect()}
+    alike = {(place[x], place[y]) for x, y in pairs if len(sets[place[x]] & sets[place[y]]) >= 0.8 * len(sets[place[x]] | sets[place[y]])}
+    banded = {(a, b) for a, b in alike if any(x == y for x, y in zip(s[a]["keys"], s[b]["keys"]))}
+    assert len(alike) > 100 and alike <= through and len(banded) >= 0.99 * len(alike)
+    fields = lambda k: [s[k]["s1"] >> 5 * i & 31 for i in range(12)] + [s[k]["s2"] >> 5 * i & 31 for i in range(12)]
+    for a, b in ((place[x], place[y]) for x, y in pairs):
+        assert ((a, b) in through) == (sum(x == y for x, y in zip(fields(a), fields(b))) >= lines.AGREE)
+
+
+def test_lines_hot_groups_meet_once(spark):
+    rng = random.Random(6)
+    base = [f"word{rng.randrange(900)}" for _ in range(40)]
+    copies = []
+    for k in range(150):
+        w = list(base)
+        w[rng.randrange(40)] = f"other{k}"
+        copies.append(" ".join(w))
+    rows = [(k, t) for k, t in enumerate(copies)] + [(500 + k, " ".join(base)) for k in range(50)]
+    got = {(r["doc_id"], p) for r in lines.report(spark.createDataFrame(rows, "doc_id long, text string")).collect() for p in r["gone"]}
+    assert got == _plain_truth(rows) == {(i, 0) for i, _ in rows if i}
 
 
 def test_lines_odd_rows(odd, empty):
