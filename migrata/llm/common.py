@@ -53,13 +53,18 @@ def stored(df: DataFrame, tag: str, partition_by: Sequence[str] = ()) -> DataFra
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete the folders of ``stored`` tables nothing reads any more, and let Spark drop shuffle files nobody refers to."""
+    """Delete the folders of ``stored`` tables nothing reads any more, and release their shuffle files."""
     for df in tables:
         context = df.sparkSession.sparkContext
         path = context._jvm.org.apache.hadoop.fs.Path(df.folder)
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
     if tables:
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
+        release(tables[0].sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of results that nobody refers to any more (it does so after a collection on the driver)."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def small_batches(spark: SparkSession) -> None:
