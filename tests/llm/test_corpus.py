@@ -200,7 +200,7 @@ def test_lines_bands_and_sketch_let_alike_pairs_through(spark):
     alike = {(place[x], place[y]) for x, y in pairs if len(sets[place[x]] & sets[place[y]]) >= 0.8 * len(sets[place[x]] | sets[place[y]])}
     banded = {(a, b) for a, b in alike if any(x == y for x, y in zip(s[a]["keys"], s[b]["keys"]))}
     assert len(alike) > 100 and alike <= through and len(banded) >= 0.99 * len(alike)
-    fields = lambda k: [s[k]["s1"] >> 5 * i & 31 for i in range(12)] + [s[k]["s2"] >> 5 * i & 31 for i in range(12)]
+    fields = lambda k: [s[k][c] >> 3 * i & 7 for c in ("s1", "s2") for i in range(20)]
     for a, b in ((place[x], place[y]) for x, y in pairs):
         assert ((a, b) in through) == (sum(x == y for x, y in zip(fields(a), fields(b))) >= lines.AGREE)
 
