@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -64,6 +65,7 @@ def discard(*tables: DataFrame) -> None:
 
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of results that nobody refers to any more (it does so after a collection on the driver)."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
