@@ -6,7 +6,8 @@ metadata) to pick the expression; no Python runs per row.
 
 Semantics follow plain Python values:
 * ``values_equal``: bools compare with ``==`` (``True == 1``), numbers within 1e-9,
-  everything else exactly, ``None == None``; values of unrelated types differ.
+  everything else exactly, ``None == None``; values of unrelated types differ.  Lists and records compare
+  element by element (``[1] == [1.0]``).
 * ``py_str``: ``str(value)`` as Python prints it (``True``, ``12345678.9``, ``1e+16``).
 * ``coerce``: the retype coercions (text, bool, number).
 """
@@ -23,6 +24,7 @@ from ..spec import DATE_PATTERN
 
 INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 FRACTIONAL = (T.FloatType, T.DoubleType, T.DecimalType)
+NESTED = (T.ArrayType, T.StructType, T.MapType)
 EPS = 1e-9
 
 
@@ -71,13 +73,57 @@ def values_equal(a: Column, at: T.DataType, b: Column, bt: T.DataType) -> Column
         eq = a == b
     elif isinstance(at, (T.DateType, T.TimestampType, T.TimestampNTZType)) and type(at) is type(bt):
         eq = a == b
-    elif isinstance(at, (T.ArrayType, T.StructType, T.MapType)) and isinstance(bt, (T.ArrayType, T.StructType, T.MapType)):
-        eq = F.to_json(a) == F.to_json(b)
+    elif isinstance(at, NESTED) and isinstance(bt, NESTED):
+        eq = _nested_equal(a, at, b, bt)
     else:
         return both_null
     return F.when(one_null, both_null).otherwise(F.coalesce(eq, F.lit(False)))
 
 
+def _variant_number(v: Column) -> Column:
+    """The number a VARIANT holds (booleans count as 0 and 1), null for other values."""
+    kind = F.schema_of_variant(v)
+    return F.when(kind == "BOOLEAN", F.try_variant_get(v, "$", "boolean").cast("double")).when(
+        kind.startswith("DECIMAL") | kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT"), F.try_variant_get(v, "$", "double"))
+
+
+def _nested_equal(a: Column, at: T.DataType, b: Column, bt: T.DataType) -> Column:
+    """Equality of two values inside lists and records as Python has it: exact, numbers and booleans by value,
+    lists place by place, records field by field (a null field equals a missing one)."""
+    if isinstance(at, T.ArrayType) and isinstance(bt, T.ArrayType):
+        same = F.zip_with(a, b, lambda x, y: _nested_equal(x, at.elementType, y, bt.elementType))
+        eq = (F.size(a) == F.size(b)) & F.forall(same, lambda e: e)
+    elif isinstance(at, T.StructType) and isinstance(bt, T.StructType):
+        x, y = {f.name: f.dataType for f in at.fields}, {f.name: f.dataType for f in bt.fields}
+        eq = F.lit(True)
+        for f in sorted({*x, *y}):
+            one = _nested_equal(a[f], x[f], b[f], y[f]) if f in x and f in y else (a[f] if f in x else b[f]).isNull()
+            eq = eq & one
+    elif isinstance(at, T.MapType) and isinstance(bt, T.MapType):
+        entries = [T.ArrayType(T.StructType([T.StructField("key", t.keyType), T.StructField("value", t.valueType)])) for t in (at, bt)]
+        return _nested_equal(F.array_sort(F.map_entries(a)), entries[0], F.array_sort(F.map_entries(b)), entries[1])
+    elif isinstance(at, T.VariantType) and isinstance(bt, T.VariantType):
+        x, y = _variant_number(a), _variant_number(b)
+        eq = F.when(x.isNotNull() & y.isNotNull(), x == y).otherwise(F.to_json(a) == F.to_json(b))
+    elif isinstance(at, T.VariantType) or isinstance(bt, T.VariantType):
+        v, other, ot = (a, b, bt) if isinstance(at, T.VariantType) else (b, a, at)
+        if is_numberish(ot):
+            eq = _variant_number(v) == _as_number(other, ot).cast("double")
+        elif isinstance(ot, T.StringType):
+            eq = (F.schema_of_variant(v) == "STRING") & (F.try_variant_get(v, "$", "string") == other)
+        else:
+            eq = F.to_json(v) == F.to_json(other)
+    elif is_numberish(at) and is_numberish(bt):
+        whole = not isinstance(at, FRACTIONAL) and not isinstance(bt, FRACTIONAL)
+        x, y = _as_number(a, at), _as_number(b, bt)
+        eq = x.cast("bigint") == y.cast("bigint") if whole else x.cast("double") == y.cast("double")
+    elif type(at) is type(bt) and not is_null_type(at):
+        eq = a == b
+    else:
+        eq = F.lit(False)
+    return F.when(a.isNull() | b.isNull(), a.isNull() & b.isNull()).otherwise(F.coalesce(eq, F.lit(False)))
+
+
 def literal_equal(a: Column, at: T.DataType, value: Any) -> Column:
     """``a == value`` with Python semantics for a Python literal (never null)."""
     if value is None:

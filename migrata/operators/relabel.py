@@ -13,6 +13,7 @@ from typing import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.fields import logical_name
 from ..functions.values import inverse_map
 
 
@@ -65,13 +66,18 @@ def relabel(tables: Mapping[str, DataFrame], seed: int = 0):
 
 def translate_back(tables: Mapping[str, DataFrame], entity_map: Mapping[str, str],
                    field_maps: Mapping[str, Mapping[str, str]]) -> dict[str, DataFrame]:
-    """O2: reverse both maps; unknown tables and columns pass through unchanged."""
+    """O2: reverse both maps; unknown tables and columns pass through unchanged.
+
+    A field of a record bag is renamed with all its columns: one per value class, and the present-``None`` flag.
+    """
     rev_entity = inverse_map(entity_map)
     out = {}
     for label, df in tables.items():
         real = rev_entity.get(label, label)
         rev_fields = inverse_map(field_maps.get(real, {})) if real in field_maps else {}
-        out[real] = df.select(*[F.col(f"`{c}`").alias(rev_fields.get(c, c)) for c in df.columns])
+        # the tag of a class column follows the field's name
+        names = {c: rev_fields[f] + c[len(f):] for c in df.columns if (f := logical_name(c)) in rev_fields}
+        out[real] = df.select(*[F.col(f"`{c}`").alias(names.get(c, c)) for c in df.columns])
     return out
 
 

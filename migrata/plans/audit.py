@@ -224,8 +224,14 @@ def any_variance(runs: DataFrame, task: str = "task_id", score: str = "total") -
 
 
 def canonical_text(columns: Sequence[str]) -> Column:
-    """All values of a row as one text, in the order given: a null is told apart from any value."""
-    return F.concat_ws("|", *[F.coalesce(F.concat(F.lit("v"), F.col(f"`{c}`").cast("string")), F.lit("n")) for c in columns])
+    """All values of a row as one text, in the order given: ``length:value`` for a value, ``n`` for a null.
+
+    The length ahead of each value makes the text injective: no value can look like the end of another.
+    """
+    def one(c: str) -> Column:
+        v = F.col(f"`{c}`").cast("string")
+        return F.when(v.isNull(), F.lit("n")).otherwise(F.concat(F.char_length(v).cast("string"), F.lit(":"), v))
+    return F.concat(*[one(c) for c in columns])
 
 
 def fingerprint(tables: Mapping[str, DataFrame]) -> DataFrame:

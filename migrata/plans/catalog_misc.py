@@ -137,7 +137,8 @@ def _sql_fingerprint() -> str:
     part = []
     for t, cols in FLAT.items():
         value = {c: c for c in cols} | ({"user_id": "CASE WHEN user_id % 3 <> 0 THEN user_id END"} if t == "Event" else {})
-        text = " || '|' || ".join(f"coalesce('v' || CAST({value[c]} AS VARCHAR), 'n')" for c in sorted(cols))
+        text = " || ".join(f"coalesce(CAST(length(CAST({value[c]} AS VARCHAR)) AS VARCHAR) || ':' || CAST({value[c]} AS VARCHAR), 'n')"
+                           for c in sorted(cols))
         part.append(f"SELECT '{t}' AS table_name, count(*) AS n_rows, CAST(sum(CAST(('0x' || substr(sha256({text}), 1, 15)) AS BIGINT)) "
                     f"AS DECIMAL(38,0)) AS row_hash_sum FROM {t.lower()}_s")
     return W + "\nUNION ALL\n".join(part)

@@ -46,8 +46,11 @@ def _read(spark: SparkSession, base: str, names) -> dict:
     return out
 
 
-def migrate(spark: SparkSession, spec_path: str, source_base: str, dest_base: str) -> list[str]:
-    """Replay the spec's log over the stored source tables and write every destination table."""
+def migrate(spark: SparkSession, spec_path: str, source_base: str, dest_base: str, records: bool = False) -> list[str]:
+    """Replay the spec's log over the stored source tables and write every destination table.
+
+    ``records=True`` writes JSON lines in id order instead of Parquet.
+    """
     schema, log = load_spec(spark, spec_path)
     src = _read(spark, source_base, schema.entities)
     missing = sorted(set(schema.entities) - set(src))
@@ -55,6 +58,10 @@ def migrate(spark: SparkSession, spec_path: str, source_base: str, dest_base: st
         raise FileNotFoundError(f"no source table for {', '.join(missing)} below {source_base}")
     routed: dict = {}
     dest = apply_log(src, log, blocks={b: list(f) for b, f in schema.blocks.items()}, routed=routed)
+    if records:
+        from ..sources.records import write_record_set
+        write_record_set(dest, dest_base)
+        return sorted(dest)
     # sub-tables of a partition: one pass over the entity, one folder per sub-table
     in_routed = {sub for _, subs in routed.values() for sub in subs}
     for entity, (frame, _) in routed.items():
@@ -106,7 +113,7 @@ def main(argv=None) -> None:
     ap.add_argument("source")
     ap.add_argument("dest")
     ap.add_argument("--out", default=None, help="folder for checks and report (verify)")
-    ap.add_argument("--records", action="store_true", help="destination tables are JSON-lines records (verify)")
+    ap.add_argument("--records", action="store_true", help="destination tables are JSON-lines records")
     a = ap.parse_args(argv)
     spark = get_spark()
     if a.command == "migrate":

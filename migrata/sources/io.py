@@ -7,6 +7,7 @@ checkpoint folder (``spark.checkpoint.dir``).
 from __future__ import annotations
 
 from typing import Iterable, Mapping, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -87,24 +88,28 @@ def write_runs(runs: DataFrame, path: str) -> None:
 def read_runs(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Read run results: JSON lines, or one document (or list of documents) per file, indented or not."""
     reader = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt")
-    lines = F.filter(F.split("value", "\r?\n"), lambda x: F.btrim(x, F.lit(" \t\r\ufeff")) != "")
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value"), lines.alias("lines"))
-    # each file for itself: one document if its first line is no complete one, unless that line alone is damaged
-    broken = F.expr("try_parse_json(lines[0]) IS NULL")
-    whole = F.try_parse_json("value").isNotNull()
-    others = F.exists("lines", lambda x: x.startswith("{") & F.try_parse_json(x).isNotNull())
-    shapes = files.where(F.size("lines") > 0).select("file", (broken & (whole | ~others)).alias("single"))
-    some = shapes.agg(F.bool_or("single"), F.bool_and("single")).first()
-    if not some[0]:
+    multi = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt").option("multiLine", "true")
+    shapes = run_files(spark, path)
+    single = [r["file"] for r in shapes.where("single").collect()]
+    if not single:
         return reader.json(path)
-    multi = spark.read.schema(schema).option("columnNameOfCorruptRecord", "_corrupt").option("multiLine", "true").json(path)
-    if some[1]:
-        return multi
-    single = shapes.where("single").select("file")
-    at = "__file"
+    lines = [r["file"] for r in shapes.where("not single").collect()]
+    documents = multi.json([unquote(f) for f in single])
+    return documents.union(reader.json([unquote(f) for f in lines])) if lines else documents
 
-    def of(df: DataFrame, how: str) -> DataFrame:
-        named = df.select("*", F.col("_metadata.file_path").alias(at))
-        return named.join(single, named[at] == single["file"], how).drop(at)
 
-    return of(reader.json(path), "left_anti").union(of(multi, "left_semi"))
+def run_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, single): whether a file holds one document (or a list of them) rather than one document a line.
+
+    It does if its first line that is not blank opens a list, or is no complete document while no other line is one (so a
+    damaged first line makes no document of the file).  Files are read line by line and in blocks; what is kept per file is
+    one line and a flag, combined before the shuffle.
+    """
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                                        F.monotonically_increasing_id().alias("line"), F.rtrim(F.col("value"), F.lit(" \t\r")).alias("value"))
+    text = text.where(F.btrim("value", F.lit(" \t\r\ufeff")) != "")
+    complete = F.col("value").startswith("{") & F.try_parse_json("value").isNotNull()
+    per = text.groupBy("file").agg(F.min_by("value", F.struct("block", "line")).alias("first"), F.bool_or(complete).alias("records"))
+    start = F.btrim("first", F.lit(" \t\r\ufeff"))
+    one = F.try_parse_json(start).isNotNull()
+    return per.select("file", (~one & (start.startswith("[") | ~F.col("records"))).alias("single"))

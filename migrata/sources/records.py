@@ -20,7 +20,7 @@ and are the only things collected.
 
 from __future__ import annotations
 
-from typing import Iterable, Mapping
+from typing import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -51,6 +51,11 @@ def value_class(v: Column) -> Column:
             .otherwise(F.lit("object")))
 
 
+def _part(file: Column) -> Column:
+    """The number of a file that Spark wrote (its digits are padded to five, so names alone misplace the 100,000th), else 0."""
+    return F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(file, r"^part-(\d{1,18})-", 1), F.lit("")), F.lit("9" * 18)).cast("bigint"), F.lit(0).cast("bigint"))
+
+
 def parse_records(lines: DataFrame, column: str = "value") -> DataFrame:
     """One VARIANT ``rec`` per non-blank line, with ``_seq`` = place in the table.
 
@@ -59,9 +64,9 @@ def parse_records(lines: DataFrame, column: str = "value") -> DataFrame:
     """
     at = F.monotonically_increasing_id()
     if "file" in lines.columns and "block" in lines.columns:
-        seq = F.struct(F.col("file"), F.col("block"), at.alias("line"))
+        seq = F.struct(_part(F.col("file")).alias("part"), F.col("file"), F.col("block"), at.alias("line"))
     else:
-        seq = F.struct(F.lit("").alias("file"), F.lit(0).cast("bigint").alias("block"), at.alias("line"))
+        seq = F.struct(F.lit(0).cast("bigint").alias("part"), F.lit("").alias("file"), F.lit(0).cast("bigint").alias("block"), at.alias("line"))
     return lines.select(column, seq.alias(SEQ)).filter(F.trim(F.col(column)) != "").select(
         F.parse_json(F.col(column)).alias("rec"), SEQ)
 
@@ -110,3 +115,21 @@ def read_records(spark: SparkSession, path: str, fields: Iterable[str] | None =
 def read_record_set(spark: SparkSession, base: str, fields: Mapping[str, Iterable[str]]) -> dict[str, DataFrame]:
     """Record bags ``{base}/{name}`` with the given fields per table (absent folders stay absent)."""
     return {n: read_records(spark, f"{base}/{n}", f) for n, f in fields.items() if exists(spark, f"{base}/{n}")}
+
+
+def write_records(df: DataFrame, path: str, order: Sequence[str] = ("id",), mode: str = "overwrite") -> None:
+    """``df`` as JSON lines whose order of files and lines is that of ``order`` (nulls first).
+
+    A destination of records is a list: its place in the list is what extract fidelity compares.  Rows are dealt by
+    ranges of ``order`` and sorted, and Spark numbers the files by range, so ``read_records`` (file, block, line)
+    gives them back in that order, however many files there are.  Null columns are left out of a record.
+    """
+    keys = [F.col(f"`{c}`").asc_nulls_first() for c in order if c in df.columns]
+    rows = df.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else df
+    rows.write.mode(mode).json(path)
+
+
+def write_record_set(tables: Mapping[str, DataFrame], base: str, order: Sequence[str] = ("id",)) -> None:
+    """Every table as an ordered JSON-lines folder ``{base}/{name}``."""
+    for name, df in tables.items():
+        write_records(df, f"{base}/{name}", order)

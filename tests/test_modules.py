@@ -117,9 +117,7 @@ def test_jobs_verify_json_records(spark, tmp_path):
     spec.write_text(json.dumps({"schema": SCHEMA.to_dict(), "log": log_to_dicts(LOG)}))
     src = generate(spark, SCHEMA, n=5, seed=4)
     write_table_set(src, str(tmp_path / "src"))
-    dest = apply_log(src, LOG, blocks=BLOCKS)
-    for name, df in dest.items():  # a script writing JSON records: one object per line
-        df.write.mode("overwrite").json(str(tmp_path / "dst" / name))
+    jobs.migrate(spark, str(spec), str(tmp_path / "src"), str(tmp_path / "dst"), records=True)
     jobs.verify(spark, str(spec), str(tmp_path / "src"), str(tmp_path / "dst"), str(tmp_path / "out"), records=True)
     assert spark.read.parquet(str(tmp_path / "out" / "report")).first().total == pytest.approx(100.0, abs=1e-6)
 
