@@ -367,6 +367,138 @@ UNION ALL SELECT 'field_fidelity', 'v_fid_base', 'Event', NULL, CAST(4 * n - v -
 UNION ALL SELECT 'type_correctness', 'v_type', 'Event', NULL, CAST(4 * n - v - e AS DOUBLE), CAST(4 * n AS DOUBLE) FROM c"""
 
 
+# ---------------------------------------------------------------------------
+# order-keeping records, relabelled records, loads, commit log, extract on a stream
+# ---------------------------------------------------------------------------
+def _checks(v: Verifier) -> DataFrame:
+    return v.checks().select("axis", "check", "entity", "step", F.round("hits", ROUND).alias("hits"), F.round("total", ROUND).alias("total"))
+
+
+def s_record_sink(spark, d):
+    """A perfect extract written as JSON lines from many partitions and read back as records, all checks."""
+    from ..sources.records import read_record_set, write_record_set
+
+    src = {"Orders": orders_nested(spark, d).select("id", "lines")}
+    dest = apply_log(src, EXTRACT_LOG, blocks={"LineBlock": ["linenumber", "partkey"]})
+    path = scratch_path(spark, "records")
+    write_record_set(dict(dest.items()), path)
+    back = read_record_set(spark, path, {"Orders": ["id", "lines"], "OrderLine": ["id", "order_id", "linenumber", "partkey"]})
+    return _checks(Verifier(EXTRACT_SCHEMA, EXTRACT_LOG, src, back)).where("total > 0")
+
+
+SQL_RECORD_SINK = W + """, c AS (SELECT (SELECT count(*) FROM orders_s) AS p, (SELECT count(*) FROM lines_s) AS n),
+r AS (SELECT 'coverage' AS axis, 'v_cov_extract' AS "check", 'OrderLine' AS entity, 0 AS step, n AS v FROM c
+  UNION ALL SELECT 'structural', 'v_str_presence', 'OrderLine', 0, 1 FROM c UNION ALL SELECT 'relationship_integrity', 'v_rel_extract_link', 'OrderLine', 0, n FROM c
+  UNION ALL SELECT 'field_fidelity', 'v_fid_extract', 'OrderLine', 0, 2 * n FROM c UNION ALL SELECT 'coverage', 'v_cov_recall', 'Orders', NULL, p FROM c
+  UNION ALL SELECT 'field_fidelity', 'v_fid_base', 'Orders', NULL, p FROM c UNION ALL SELECT 'type_correctness', 'v_type', 'OrderLine', NULL, 4 * n FROM c
+  UNION ALL SELECT 'type_correctness', 'v_type', 'Orders', NULL, p FROM c)
+SELECT axis, "check", entity, step, CAST(v AS DOUBLE) AS hits, CAST(v AS DOUBLE) AS total FROM r"""
+SQL_STRICT = W + """SELECT * FROM (SELECT 'array_left_after_extract' AS issue, 'Orders' AS table_name, 'lines' AS column_name,
+    (SELECT count(DISTINCT l.order_id) FROM lines_s l JOIN orders_s o ON o.id = l.order_id WHERE l.order_id % 3 = 0) AS n_rows
+  UNION ALL SELECT 'duplicate_ids', 'Event', 'id', (SELECT count(*) FROM events WHERE event_id % 50 = 0)
+  UNION ALL SELECT 'expected_column_missing', 'Event', 'user_id', (SELECT count(*) + count(*) FILTER (WHERE event_id % 50 = 0) FROM events)
+  UNION ALL SELECT 'expected_column_missing', 'OrderLine', 'partkey', (SELECT count(*) FROM lines_s)
+  UNION ALL SELECT 'enum_out_of_domain', 'Event', 'event_type', (SELECT count(*) FROM events WHERE event_id % 10 = 1)) WHERE n_rows > 0"""
+SQL_LOAD = W + """, g AS (SELECT 0 AS wave, 'Region' AS table_name, (SELECT count(*) FROM region) AS n_rows, CAST(NULL AS VARCHAR) AS ref, 0 AS orphan_rows, true AS published
+  UNION ALL SELECT 0, 'Customer', (SELECT count(*) FROM customer_s), NULL, 0, true UNION ALL SELECT 0, 'Supplier', (SELECT count(*) FROM supplier), NULL, 0, true
+  UNION ALL SELECT 1, 'Nation', (SELECT count(*) FROM nation), 'Nation.region_id', 0, p FROM (SELECT unnest([true, false]) AS p)
+  UNION ALL SELECT 1, 'Orders', (SELECT count(*) FROM orders_s), 'Orders.customer_id', CASE WHEN p THEN 0 ELSE (SELECT count(*) FROM orders WHERE o_custkey % 100 = 1) END, p FROM (SELECT unnest([true, false]) AS p)
+  UNION ALL SELECT 1, 'Event', (SELECT count(*) FROM events), 'Event.user_id', CASE WHEN p THEN 0 ELSE (SELECT count(*) FROM events WHERE user_id % 100 = 1) END, p FROM (SELECT unnest([true, false]) AS p))
+SELECT wave, table_name, n_rows, ref, CAST(0 AS BIGINT) AS null_refs, CAST(orphan_rows AS BIGINT) AS orphan_rows, published FROM g"""
+
+
+def o_relabel_records(spark, d):
+    """The sloppy event records of ``s_record_bag`` under opaque names, translated back and scored."""
+    from ..operators.relabel import relabel_maps, translate_back
+    from ..sources.records import read_records
+
+    e = load(spark, d, "events").select(F.col("event_id").alias("id"), "user_id", "event_type", "value")
+    entity_map, field_maps = relabel_maps({"Event": e.columns}, seed=5)
+    f = field_maps["Event"]
+    text = F.concat(F.lit('"'), F.col("value").cast("string"), F.lit('"'))
+    line = F.concat(F.lit('{"id": '), F.col("id").cast("string"), F.lit(f', "{f["user_id"]}": '),
+                    F.when(F.col("event_type") == "error", F.lit("null")).otherwise(F.col("user_id").cast("string")),
+                    F.lit(f', "{f["event_type"]}": "'), F.col("event_type"), F.lit(f'", "{f["value"]}": '),
+                    F.when(F.col("event_type") == "view", text).otherwise(F.col("value").cast("string")), F.lit("}"))
+    path = scratch_path(spark, "records")
+    e.select(line.alias("value")).write.text(path)
+    bag = read_records(spark, path, [f[c] for c in e.columns])
+    return _checks(Verifier(EVENT_SCHEMA, [], {"Event": e}, translate_back({entity_map["Event"]: bag}, entity_map, field_maps)))
+
+
+def v_lists_equal(spark, d):
+    """The lines of every order as lists of whole numbers and of decimals, one list in seven with a value changed."""
+    from ..functions.values import values_equal
+
+    li = load(spark, d, "lineitem")
+    changed = F.when((F.col("l_orderkey") % 7 == 0) & (F.col("l_linenumber") == 1), 0.5).otherwise(0.0)
+    both = li.groupBy(F.col("l_orderkey").alias("id")).agg(
+        F.sort_array(F.collect_list(F.struct("l_linenumber", F.col("l_partkey").alias("part")))).alias("a"),
+        F.sort_array(F.collect_list(F.struct(F.col("l_linenumber").cast("double").alias("l_linenumber"), (F.col("l_partkey") + changed).alias("part")))).alias("b"))
+    types = {f.name: f.dataType for f in both.schema.fields}
+    return both.select("id", F.size("a").cast("bigint").alias("n_items"), values_equal(F.col("a"), types["a"], F.col("b"), types["b"]).alias("equal"))
+
+
+def v_strict_report(spark, d):
+    """What the score does not look at: an extract and events with arrays left, repeated ids, a lost column and foreign enum values."""
+    from .verify import strict_report
+
+    entities = {**EXTRACT_SCHEMA.to_dict()["entities"], **EVENT_SCHEMA.to_dict()["entities"]}
+    schema = Schema.from_dict({"entities": entities, "nested_blocks": EXTRACT_SCHEMA.to_dict()["nested_blocks"]})
+    e = load(spark, d, "events").select(F.col("event_id").alias("id"), "user_id", "event_type", "value")
+    src = {"Orders": orders_nested(spark, d).select("id", "lines"), "Event": e}
+    dest = apply_log(src, EXTRACT_LOG, blocks={"LineBlock": ["linenumber", "partkey"]})
+    bad = e.select("id", F.when(F.col("id") % 10 == 1, F.initcap("event_type")).otherwise(F.col("event_type")).alias("event_type"), "value")
+    tables = {"OrderLine": dest["OrderLine"].drop("partkey"), "Event": bad.union(bad.where("id % 50 = 0")),
+              "Orders": src["Orders"].withColumn("lines", F.when(F.col("id") % 3 == 0, F.col("lines")))}
+    return strict_report(Verifier(schema, EXTRACT_LOG, src, tables))
+
+
+def c_load(spark, d):
+    """The scenario's tables loaded in waves and published; a second load, with orders of customers that are not there, publishes nothing."""
+    from ..sources.storage import exists
+    from .loading import LoadError, load_in_waves
+    from .scenario import VS_SCHEMA
+    src = {k: v for k, v in vs_source(spark, d).items()}
+    target = scratch_path(spark, "loaded")
+    gate = load_in_waves(src, VS_SCHEMA, target)
+    bad = dict(src)
+    bad["Customer"] = src["Customer"].where("id % 100 <> 1")
+    other = scratch_path(spark, "refused")
+    try:
+        load_in_waves(bad, VS_SCHEMA, other)
+        failed = None
+    except LoadError as e:
+        failed = spark.createDataFrame([tuple(r) for r in e.gate], gate.schema)
+    state = [F.lit(exists(spark, target)).alias("published")], [F.lit(exists(spark, other)).alias("published")]
+    out = gate.select("*", *state[0])
+    return out.union(failed.select("*", *state[1])) if failed is not None else out
+
+
+def s_commit_log(spark, d):
+    """Events written by two writers in turn, one batch twice with its token, as read back."""
+    base = scratch_path(spark, "commits")
+    one, two = BatchWriter(spark, base), BatchWriter(spark, base)
+    e = load(spark, d, "events").select(F.col("event_id").alias("id"), "user_id", "event_type")
+    for w, kinds, token in ((one, ["click", "view"], "a"), (two, ["purchase"], "b"), (one, ["click", "view"], "a"), (two, ["signup", "error"], "c"), (one, ["purchase"], "b")):
+        w.write("Event", e.where(F.col("event_type").isin(kinds)), token=token)
+    return two.read("Event").groupBy("_batch", "event_type").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("id").alias("id_sum"))
+
+
+def st_extract(spark, d):
+    """Orders with their lines read as a stream, the lines extracted batch by batch."""
+    from ..streaming.replay import extract_stream
+
+    path = scratch_path(spark, "nested")
+    orders_nested(spark, d).select("id", "lines").repartitionByRange(3, "id").write.parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    out = scratch_path(spark, "extracted")
+    tables = extract_stream(spark, stream, "lines", "order_id", out, "Orders", "OrderLine", name=out.rsplit("/", 1)[-1])
+    child = tables["OrderLine"].groupBy("order_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_distinct("id").alias("n_ids"), F.sum("partkey").cast("bigint").alias("parts"))
+    o = tables["Orders"].select("id")
+    return o.join(child, o["id"] == child["order_id"], "left").select("id", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_lines", "n_ids", "parts")])
+
+
 WAVE_TABLES = {"Region": "region", "Nation": "nation", "Customer": "customer", "Orders": "orders",
                "Event": "events", "Supplier": "supplier"}
 
@@ -395,6 +527,8 @@ UNION ALL SELECT 0, 'Supplier', count(*) FROM supplier"""
 
 def queries() -> dict:
     return {
+        "s_record_sink": s_record_sink, "o_relabel_records": o_relabel_records, "v_lists_equal": v_lists_equal, "v_strict_report": v_strict_report,
+        "c_load": c_load, "s_commit_log": s_commit_log, "st_extract": st_extract,
         "c_waves": c_waves,
         "s_record_bag": s_record_bag,
         "st_event_stream": st_event_stream,
@@ -448,4 +582,10 @@ def oracles() -> dict:
         "st_event_stream": SQL_STREAM,
         "s_record_bag": SQL_RECORD_BAG,
         "c_waves": SQL_WAVES,
+        "o_relabel_records": SQL_RECORD_BAG, "s_record_sink": SQL_RECORD_SINK, "v_strict_report": SQL_STRICT, "c_load": SQL_LOAD,
+        "v_lists_equal": "SELECT l_orderkey AS id, count(*) AS n_items, NOT bool_or(l_orderkey % 7 = 0 AND l_linenumber = 1) AS equal FROM lineitem GROUP BY l_orderkey",
+        "s_commit_log": "SELECT CASE WHEN event_type IN ('click', 'view') THEN 0 WHEN event_type = 'purchase' THEN 1 ELSE 2 END AS _batch, event_type, "
+                        "count(*) AS n_rows, CAST(sum(event_id) AS BIGINT) AS id_sum FROM events GROUP BY event_type",
+        "st_extract": W + "SELECT o.id, count(l.order_id) AS n_lines, count(l.order_id) AS n_ids, CAST(coalesce(sum(l.partkey), 0) AS BIGINT) AS parts "
+                          "FROM orders_s o LEFT JOIN lines_s l ON l.order_id = o.id GROUP BY o.id",
     }

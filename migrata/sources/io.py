@@ -6,18 +6,23 @@ checkpoint folder (``spark.checkpoint.dir``).
 
 from __future__ import annotations
 
+import json
+import uuid
+from functools import reduce
 from typing import Iterable, Mapping, Sequence
 from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.keys import rank_within
 from ..session import scratch_path
-from .storage import folders
+from .storage import create_new, delete, files, folders
 
 SEQ = "_seq"
 BATCH = "_batch"
+LOG = "_log"
 
 
 def read_table_set(spark: SparkSession, base: str, names: Iterable[str], fmt: str = "parquet",
@@ -39,33 +44,68 @@ def write_table_set(tables: Mapping[str, DataFrame], base: str, fmt: str = "parq
 class BatchWriter:
     """``write(entity, df)`` appends a batch; repeated calls extend the table.
 
-    Each row gets ``_batch`` (0, 1, ... per table, continued from what is stored) and ``_seq`` (batch above
-    bit 40, place of the row in the batch by ``order`` below), so last-write-wins resolution follows the
-    order of writing, also inside a batch and after a retry.  Batches are folders of their own.
+    A table is a commit log: a batch's rows go to a folder of their own, then a manifest ``_log/<number>.json`` names
+    that folder.  The manifest is written last and only if its number is free, so of several writers each gets a
+    number of its own, a batch that failed half-way is never read, and readers see whole batches.  ``token``
+    names a batch: writing a token again (a retry, also one that runs beside the first try) changes nothing.  Rows get ``_batch`` (the manifest's number, 0, 1, ...)
+    and ``_seq`` (batch above bit 40, place of the row in the batch by ``order`` below), so last-write-wins
+    resolution follows the order of commits, also inside a batch.
     """
 
     def __init__(self, spark: SparkSession, base: str):
         self.spark = spark
         self.base = base
 
-    def _next(self, entity: str) -> int:
-        found = [f.split("=", 1)[1] for f in folders(self.spark, f"{self.base}/{entity}") if f.startswith(f"{BATCH}=")]
-        return 1 + max(map(int, found), default=-1)
-
-    def write(self, entity: str, df: DataFrame, order: Sequence[str] = ("id",)) -> int:
-        """Append ``df`` in the order of ``order``; the number of rows written."""
-        batch = self._next(entity)
-        rows = rank_within(df, [], list(order), SEQ, start=0).withColumn(SEQ, F.col(SEQ) + F.lit(batch << 40))
+    def manifests(self, entity: str) -> list[dict]:
+        """The committed batches in order: number, token, folder, rows, columns; of manifests with one token the first counts."""
+        log = f"{self.base}/{entity}/{LOG}"
+        names = [f for f in files(self.spark, log) if f.endswith(".json")]
+        if not names:
+            return []
+        rows = self.spark.read.text([f"{log}/{n}" for n in names], wholetext=True).collect()
+        # a writer that has created its manifest but not yet written it has not committed
+        found = sorted((json.loads(r[0]) for r in rows if r[0].strip().endswith("}")), key=lambda m: m["batch"])
+        first: dict[str, dict] = {}
+        for m in found:
+            first.setdefault(m["token"], m)
+        return list(first.values())
+
+    def _committed(self, entity: str, token: str) -> int | None:
+        return next((m["rows"] for m in self.manifests(entity) if m["token"] == token), None)
+
+    def write(self, entity: str, df: DataFrame, order: Sequence[str] = ("id",), token: str | None = None) -> int:
+        """Append ``df`` in the order of ``order``; the number of rows of the batch."""
+        token = token or uuid.uuid4().hex
+        if (done := self._committed(entity, token)) is not None:
+            return done
+        folder = f"data-{uuid.uuid4().hex}"
         seen = Observation()
-        (rows.observe(seen, F.count(F.lit(1)).alias("n")).withColumn(BATCH, F.lit(batch))
-         .write.mode("append").partitionBy(BATCH).parquet(f"{self.base}/{entity}"))
-        return seen.get["n"]
+        rank_within(df, [], list(order), SEQ, start=0).observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{self.base}/{entity}/{folder}")
+        n = seen.get["n"]
+        batch = len(files(self.spark, f"{self.base}/{entity}/{LOG}"))
+        while True:
+            note = {"batch": batch, "token": token, "folder": folder, "rows": n, "schema": df.schema.jsonValue()}
+            if create_new(self.spark, f"{self.base}/{entity}/{LOG}/{batch:012d}.json", json.dumps(note)):
+                return n
+            # another writer took the number; it may have been this very batch, tried twice at once
+            if (done := self._committed(entity, token)) is not None:
+                delete(self.spark, f"{self.base}/{entity}/{folder}")
+                return done
+            batch += 1
 
     def read(self, entity: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.base}/{entity}")
+        """All committed batches; a batch that lacks a column has nulls in it."""
+        parts = []
+        for m in self.manifests(entity):
+            fields = T.StructType.fromJson(m["schema"])
+            rows = self.spark.read.schema(fields.add(SEQ, "long")).parquet(f"{self.base}/{entity}/{m['folder']}")
+            parts.append(rows.withColumn(SEQ, F.col(SEQ) + F.lit(m["batch"] << 40)).withColumn(BATCH, F.lit(m["batch"])))
+        if not parts:
+            raise FileNotFoundError(f"no batch of {entity} below {self.base}")
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
     def tables(self) -> dict[str, DataFrame]:
-        return {e: self.read(e) for e in folders(self.spark, self.base)}
+        return {e: self.read(e) for e in folders(self.spark, self.base) if self.manifests(e)}
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:

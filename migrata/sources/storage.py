@@ -25,3 +25,38 @@ def read_text(spark: SparkSession, path: str) -> str:
     """A small text file (a spec) as one string."""
     row = spark.read.text(path, wholetext=True).first()
     return row[0] if row else ""
+
+
+def rename(spark: SparkSession, path: str, to: str) -> None:
+    """Move a folder to a path that does not exist yet."""
+    fs, p = _fs(spark, path)
+    if not fs.rename(p, _fs(spark, to)[1]):
+        raise FileExistsError(to)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _fs(spark, path)
+    fs.delete(p, True)
+
+
+def create_new(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file unless it exists: of several writers of one path exactly one gets True."""
+    fs, p = _fs(spark, path)
+    exists_error = ("FileAlreadyExists", "already exists")
+    try:
+        out = fs.create(p, False)
+    except Exception as e:  # noqa: BLE001 - the file system's own exception, through the gateway
+        if any(x in str(e) for x in exists_error):
+            return False
+        raise
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+    return True
+
+
+def files(spark: SparkSession, path: str) -> list[str]:
+    """Names of the files in ``path`` (none if it does not exist)."""
+    fs, p = _fs(spark, path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(p) if f.isFile()) if fs.exists(p) else []
