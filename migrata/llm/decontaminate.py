@@ -12,8 +12,9 @@ share is hit.
 Scale: documents are mapped in place, without a shuffle.  Each automaton holds at most about
 ``CHUNK_WORDS`` item words (one item longer than that is cut into parts that overlap by a window
 less one word), so what a task holds does not grow with the benchmark; a larger benchmark gives
-several automata, through which the documents are passed one after the other.  The item words of
-one chunk are the only thing that travels from the driver to the tasks.
+several automata, and for each the documents are read and the finds alone kept, by the hash of their text; the finds
+of all automata meet in one aggregate.  The item words of the chunks are the only thing that travels from the driver to the
+tasks.
 
 Defined results: a null or empty text has no words and no hits; null or wordless items never match;
 items with equal texts all count; repeated item rows count once (``items`` are distinct ids); an item
@@ -232,23 +233,43 @@ def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
             return work
 
         return map_texts(docs, keep, [col(text_col)], FOUND, make)
-    # beyond one automaton: the text travels along and each pass adds its finds
-    now = docs.select(*keep, col(text_col).alias("__text"), F.lit(0).cast("long").alias("n_words"),
-                      F.lit(None).cast(SPANS).alias("spans"), F.lit(None).cast("array<string>").alias("items"))
+    # beyond one automaton the finds come back by the hash of the text; what is shuffled is as narrow as they are
+    def counted():
+        return lambda texts: ([len(words_of(t)) for t in texts],)
+
+    names = [fresh(docs, f"__{x}") for x in ("a", "b")]
+    rows = map_texts(docs, [*keep, *(h.alias(n) for h, n in zip(_hashes(text_col), names))], [col(text_col)], FOUND[:1], counted)
+    found = _found(docs, text_col, passes, window)
+    joined = rows.join(found, (col(names[0]) == F.col("h1")) & (col(names[1]) == F.col("h2")), "left")
+    return joined.select(*keep, "n_words", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
+
+
+def _hashes(text_col: str) -> list:
+    return [F.xxhash64(col(text_col)), F.hash(col(text_col), F.lit(1))]
+
+
+def _found(docs: DataFrame, text_col: str, passes, window: int) -> DataFrame:
+    """(h1, h2, spans, items): the finds of all automata per text that has any, by two hashes of the text."""
+    h1, h2 = _hashes(text_col)
+    parts = None
     for key, chunk in passes:
         def make(key=key, chunk=chunk):
             a = _automaton(key, chunk, window)
 
-            def work(texts, spans, names):
-                words = [words_of(t) for t in texts]
-                got = [a.scan(w) for w in words]
-                return ([len(w) for w in words],
-                        [_as_rows(_merged([(x["start"], x["end"]) for x in old or []] + new)) for old, (new, _) in zip(spans, got)],
-                        [sorted({*(old or []), *new}) for old, (_, new) in zip(names, got)])
+            def work(texts):
+                got = [a.scan(words_of(t)) for t in texts]
+                return [_as_rows(s) for s, _ in got], [sorted(k) for _, k in got]
             return work
 
-        now = stored(map_texts(now, [col(id_col), F.col("__text")], [F.col("__text"), F.col("spans"), F.col("items")], FOUND, make), "scan")
-    return now.drop("__text")
+        one = map_texts(docs, [h1.alias("h1"), h2.alias("h2")], [col(text_col)], FOUND[1:], make).where(F.size("spans") > 0)
+        parts = one if parts is None else parts.unionByName(one)
+    # equal texts have equal finds, which collapse map-side
+    each = parts.groupBy("h1", "h2").agg(F.flatten(F.collect_set("spans")).alias("all"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+
+    def joined():
+        return lambda spans, items: ([_as_rows(_merged([(x["start"], x["end"]) for x in s])) for s in spans], [sorted(i) for i in items])
+
+    return stored(map_texts(each, [F.col("h1"), F.col("h2")], [F.col("all"), F.col("items")], FOUND[1:], joined), "found")
 
 
 def _as_rows(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
@@ -311,17 +332,12 @@ def remove(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id: s
 
     now, clean_rows, first = docs, [], True
     while True:
-        found = now.select(*plain, F.lit(None).cast(SPANS).alias(mark))
-        for key, chunk in passes:
-            def make_found(key=key, chunk=chunk):
-                a = _automaton(key, chunk, window)
-
-                def work(texts, spans):
-                    return ([_as_rows(_merged([(x["start"], x["end"]) for x in old or []] + a.scan(words_of(t))[0]))
-                             for t, old in zip(texts, spans)],)
-                return work
-
-            found = stored(map_texts(found, plain, [col(text_col), col(mark)], [T.StructField(mark, SPANS)], make_found), "hits")
+        names = [fresh(now, f"__{x}") for x in ("a", "b", "spans")]
+        finds = _found(now, text_col, passes, window).select("h1", "h2", "spans").toDF(*names)
+        here = _hashes(text_col)
+        found = now.join(finds, (here[0] == col(names[0])) & (here[1] == col(names[1])), "left").select(
+            *plain, F.coalesce(col(names[2]), F.array().cast(SPANS)).alias(mark))
+        found = stored(found, "hits")
         clean_rows.append(found.where(F.size(col(mark)) == 0).select(*plain))
         hit = found.where(F.size(col(mark)) > 0)
         if hit.isEmpty():

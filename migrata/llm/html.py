@@ -3,13 +3,14 @@
 A page becomes *lines*: markup is stripped, every block-level tag starts a new line, inline tags
 vanish, character references are decoded and white space inside a line becomes one blank.  Parts
 that are never article text (scripts, styles, forms, menus, page headers and footers, sidebars,
-notices, adverts, reader comments, by tag, role, or a whole class name or id) leave a gap of empty lines, and so
-do the ends of ``<article>`` and ``<main>``.  An element that holds an article is never left out for its names.
+notices, adverts, reader comments, by tag, role, class name or id) leave a gap of empty lines, and so
+do the ends of ``<article>`` and ``<main>``.  An element that holds an article is never left out for its names; one of which
+only a part of a name says so (``site-sidebar``) is left out if it holds at most ``PART_SHARE`` of the page's text.
 
 The distribution is the sum of weights over a window of ``WINDOW`` lines sliding down the page.  The weight of a
 line is its length, ``MIN_PEAK`` more inside ``<article>`` or ``<main>``, and nothing for a line of links outside
 them.  Where the sum rises from zero a block begins, where it falls back to zero it ends; the block is kept if the
-sum reaches ``MIN_PEAK`` in it.  The *surge* is its first weighted line and the *dive* its last one, and every
+sum reaches ``MIN_PEAK`` in it, or, on a page where no block does, half of the page's highest sum.  The *surge* is its first weighted line and the *dive* its last one, and every
 line between them is kept, short ones too.  Kept lines are joined in page order by one blank.
 
 Defined results: a null or empty page, and a page without article text, give the empty string; whole
@@ -33,6 +34,7 @@ from migrata.llm.common import col, map_texts
 WINDOW = 3
 MIN_PEAK = 80
 MAX_LINK_SHARE = 0.5
+PART_SHARE = 0.3
 
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small "
@@ -55,18 +57,24 @@ _TOKEN = re.compile(
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)",
     re.S)
 _BROKEN_TAG = re.compile(r"</?[a-zA-Z][^>]*(?:>|\Z)", re.S)
+_PARTS = re.compile(r"[\s_-]+")
 _ATTR = re.compile(r"(?<![\w-])(class|id|role|hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?(?![\w-])", re.I | re.S)
 
 
-def _unwanted(name: str, attrs: str) -> bool:
+def _unwanted(name: str, attrs: str) -> int:
+    """2 if a role or a whole class name or id tells that an element is no article text, 1 if a part of a name does, else 0."""
+    found = 0
     if attrs and name not in ("html", "body", "article", "main"):
         for m in _ATTR.finditer(attrs):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if key == "role" and value.strip() in ROLES:
-                return True
-            if key in ("class", "id") and not NAMES.isdisjoint(value.split()):
-                return True
-    return False
+                return 2
+            if key in ("class", "id"):
+                if not NAMES.isdisjoint(value.split()):
+                    return 2
+                if not NAMES.isdisjoint(_PARTS.split(value)):
+                    found = 1
+    return found
 
 
 def _article_class_unwanted(attrs: str) -> bool:
@@ -74,39 +82,61 @@ def _article_class_unwanted(attrs: str) -> bool:
                for m in _ATTR.finditer(attrs))
 
 
-def _holders(page: str) -> set[int]:
-    """Where the elements start that hold an ``<article>`` or ``<main>`` (not one of comments)."""
-    found: set[int] = set()
-    opened: list[tuple[str, int]] = []
-    pos, n = 0, len(page)
-    while 0 <= (lt := page.find("<", pos)) < n:
-        m = _TOKEN.match(page, lt)
-        if m is None:
-            m = _BROKEN_TAG.match(page, lt)
-            pos = m.end() if m else lt + 1
-            continue
-        pos = m.end()
-        name, attrs = (m["name"] or "").lower(), m["attrs"] or ""
-        if not name or name in VOID or attrs.rstrip().endswith("/"):
-            continue
-        if m["end"]:
-            # an end tag without a start closes nothing; what it leaves open inside closes with it
-            if any(x == name for x, _ in opened[-64:]):
-                while opened.pop()[0] != name:
-                    pass
-            continue
-        if name in RAW:
-            close = re.compile(r"</" + re.escape(name) + r"(?=[\s/>])[^>]*>", re.I).search(page, pos)
-            pos = close.end() if close else n
-            continue
-        if name in ("article", "main") and not _article_class_unwanted(attrs):
-            for _, at in reversed(opened):
-                if at in found:
-                    break
-                found.add(at)
-        if name not in INLINE and name != "p":
-            opened.append((name, lt))
-    return found
+class _Outline:
+    """Where the elements start that hold an ``<article>`` or ``<main>`` (not one of comments), how much text every element holds,
+    and how much the page does."""
+
+    def __init__(self, page: str):
+        self.holders: set[int] = set()
+        self.size: dict[int, int] = {}
+        self.total = 0
+        opened: list[tuple[str, int, int]] = []
+
+        def text(a: int, b: int) -> None:
+            self.total += sum(map(len, page[a:b].split()))
+
+        pos, n = 0, len(page)
+        while 0 <= (lt := page.find("<", pos)) < n:
+            text(pos, lt)
+            m = _TOKEN.match(page, lt)
+            if m is None:
+                m = _BROKEN_TAG.match(page, lt)
+                pos = m.end() if m else lt + 1
+                continue
+            pos = m.end()
+            name, attrs = (m["name"] or "").lower(), m["attrs"] or ""
+            if not name or name in VOID or attrs.rstrip().endswith("/"):
+                continue
+            if m["end"]:
+                # an end tag without a start closes nothing; what it leaves open inside closes with it
+                if any(x[0] == name for x in opened[-64:]):
+                    while True:
+                        what, at, before = opened.pop()
+                        self.size[at] = self.total - before
+                        if what == name:
+                            break
+                continue
+            if name in RAW:
+                close = re.compile(r"</" + re.escape(name) + r"(?=[\s/>])[^>]*>", re.I).search(page, pos)
+                pos = close.end() if close else n
+                continue
+            if name in ("article", "main") and not _article_class_unwanted(attrs):
+                for _, at, _ in reversed(opened):
+                    if at in self.holders:
+                        break
+                    self.holders.add(at)
+            if name not in INLINE and name != "p":
+                opened.append((name, lt, self.total))
+        if pos < n:
+            text(pos, n)
+        for _, at, before in opened:
+            self.size[at] = self.total - before
+
+    def leaves_out(self, at: int, certain: bool, inside: bool) -> bool:
+        """Whether the element of an unwanted name that starts at ``at`` goes."""
+        if not inside and at in self.holders:
+            return False
+        return certain or self.size.get(at, 0) <= PART_SHARE * self.total
 
 
 def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
@@ -118,7 +148,7 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
     declared = False
     links = 0
     skip, depth = "", 0  # element whose content is left out, and its depth
-    holders: set[int] | None = None
+    outline: _Outline | None = None
 
     def text(raw: str) -> None:
         nonlocal linked
@@ -192,10 +222,10 @@ def lines_of(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             continue
         if not end and name not in VOID and not attrs.rstrip().endswith("/"):
             out = name in DROP or (name == "header" and not article)
-            if not out and _unwanted(name, attrs):
-                if not article and holders is None:
-                    holders = _holders(page)
-                out = article > 0 or lt not in holders
+            if not out and (how := _unwanted(name, attrs)):
+                if outline is None and (how == 1 or not article):
+                    outline = _Outline(page)
+                out = how == 2 and article > 0 or outline.leaves_out(lt, how == 2, article > 0)
             if out:
                 gap()
                 skip, depth = name, 1
@@ -226,6 +256,8 @@ def extract(page: str | None) -> str:
     lines, _ = lines_of(page)
     weight = [len(s) + MIN_PEAK if s and inside else 0 if linked > MAX_LINK_SHARE * len(s) else len(s) for s, linked, inside in lines]
     sums = block_sums(weight)
+    peak = max(sums, default=0)
+    least = MIN_PEAK if peak >= MIN_PEAK else peak / 2
     kept: list[str] = []
     i, n = 0, len(lines)
     while i < n:
@@ -235,7 +267,7 @@ def extract(page: str | None) -> str:
         dive = i
         while dive < n and sums[dive]:
             dive += 1
-        if max(sums[i:dive]) >= MIN_PEAK:
+        if max(sums[i:dive]) >= least:
             surge = next(k for k in range(i, dive) if weight[k])
             kept += [s for s, _, _ in lines[surge:dive] if s]
         i = dive

@@ -110,9 +110,12 @@ def decide(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html
 
 def train(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
           sample: int = SAMPLE_RECORDS) -> bytes:
-    """The dictionary for ``pages``, from a hash sample of about ``sample`` of them."""
+    """The dictionary for ``pages``, from a hash sample of about ``sample`` of them (of a long one, a stretch of ``SAMPLE_BYTES``
+    characters from a place anywhere in it)."""
     n = pages.count()
-    rows = pages.select(col(id_col).alias("k"), col(url_col).cast("string").alias("u"), F.substring(col(html_col), 1, SAMPLE_BYTES).alias("h"))
+    text = col(html_col)
+    start = F.pmod(F.xxhash64(text), F.greatest(F.char_length(text) - SAMPLE_BYTES, F.lit(0)) + 1).cast("int") + 1
+    rows = pages.select(col(id_col).alias("k"), col(url_col).cast("string").alias("u"), F.substring(text, start, F.lit(SAMPLE_BYTES)).alias("h"))
     if n > sample:
         # one row in n / sample, by its position in the input rather than its id: ids may repeat
         rows = rows.where(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 30)) < int(sample / n * (1 << 30)))

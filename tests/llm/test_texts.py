@@ -91,7 +91,7 @@ def test_extraction_against_a_plain_parser(spark):
 
 
 @pytest.mark.parametrize("page, want", [
-    (None, ""), ("", ""), ("plain words alone", ""),
+    (None, ""), ("", ""), ("plain words alone", "plain words alone"),
     ("<article><h1>T</h1><p>A &amp; B\n  c</p></article>", "T A & B c"),
     ("<main><p>one<p>two<br>three</main><footer>no</footer>", "one two three"),
     ("<article><p>x<i>y</i>z</p><aside>no</aside><div class='ad box'>no</div><p>w</article>", "xyz w"),
@@ -101,7 +101,8 @@ def test_extraction_against_a_plain_parser(spark):
     ("<article><p>ab<", "ab<"),
     ("<ul><li><a href=x>menu</a></ul><div>" + "real text here. " * 10 + "</div><p>tail</p><footer>no</footer>",
      ("real text here. " * 10).strip() + " tail"),
-    ("<div>short</div>", ""),
+    ("<div>short</div>", "short"),
+    ("<div id=content><p>Short main text.</p></div>", "Short main text."),
 ])
 def test_extraction_cases(page, want):
     assert html.extract(page) == want
@@ -126,6 +127,30 @@ def test_extraction_by_the_distribution(page, want):
     assert html.extract(page) == want
 
 
+@pytest.mark.parametrize("page, want", [
+    # pages without article tags: names whole and in parts, menus, short pages
+    (f"<div class='site-masthead'><p>Site</p></div><div class='post'><p>{LONG}</p><p>end</p></div><div class='site-sidebar'><p>{LONG}</p></div>" + f"<p>{LONG}</p>" * 3,
+     f"{LONG}end " + " ".join([LONG.strip()] * 3)),
+    (f"<ul class=top-menu><li><a href=a>one</a><li><a href=b>two</a></ul><h1>Title</h1><p>{LONG}<p>{LONG}<div id='ad-slot_3'>buy</div><p>{LONG}", f"Title {LONG}{LONG}{LONG}".strip()),
+    (f"<article><p>{LONG}</p><div class='cookie-banner'>we use them</div><p>tail</p></article><div class=user-comments><p>{LONG}</p></div><p>{LONG}</p>" + f"<article><p>{LONG}</p></article>" * 2,
+     f"{LONG}tail {LONG}{LONG}{LONG}".strip()),
+    # a wrapper that holds most of the text is no sidebar, whatever a part of its name says
+    (f"<div class='with-sidebar'><p>{LONG}</p></div><p>tail</p>", f"{LONG}tail"),
+    ("<p>First words.</p><div class=ads>buy</div><p>Last words.</p>", "First words. Last words."),
+    ("<p>A few words of text.</p><aside>no</aside><p>x</p>", "A few words of text."),
+    ("<nav>a b c</nav><ul><li><a href=x>menu</a></ul>", ""),
+])
+def test_extraction_without_article_tags(page, want):
+    assert html.extract(page) == want
+
+
+def test_outline_counts_what_elements_hold():
+    page = "<div a><p>one two</p><section>three<script>no</script></section><article>x</article></div>tail <b>t"
+    o = html._Outline(page)
+    at = {k: page.index(k) for k in ("<div", "<section", "<article")}
+    assert (o.size[at["<div"]], o.size[at["<section"]], o.total) == (12, 5, 17) and o.holders == {at["<div"]}
+
+
 def test_block_sums():
     assert html.block_sums([1, 0, 0, 0, 5, 2], 3) == [1, 0, 5, 7, 7, 2]
 
