@@ -32,6 +32,8 @@ from migrata.llm.common import col, map_texts
 
 # texts longer than this are cut at safe boundaries, in pieces of about this many characters
 PIECE_CHARS = 1 << 16
+# text a worker encodes before it hands the ids on
+SLICE_BYTES = 1 << 20
 _SAFE = re.compile(r"(?<=\S)[ \n]")
 
 
@@ -96,8 +98,17 @@ def decode(encoded: DataFrame, rank_file: str, pattern: str, ids_col: str = "ids
 
 def digests(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", ids: bool = False) -> DataFrame:
     """Round trip of every text: token count and digests of the ids and of the decoded bytes; ``ids`` adds the packed ids."""
-    coded = encode(docs.select(col(id_col).alias("id"), col(text_col).alias("text")), rank_file, pattern, keep=("id",))
-    both = decode(coded, rank_file, pattern, keep=("id", "ids"))
+    # both ways in one worker: a rank file is held once a task, and little text at a time
+    def make():
+        c = codec(rank_file, pattern)
+
+        def work(texts):
+            coded = [c.encode(t) for t in texts]
+            return coded, [c.decode(x) for x in coded]
+        return work
+
+    fields = [T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.BinaryType())]
+    both = map_texts(docs, [col(id_col).alias("id")], [col(text_col)], fields, make, slice_bytes=SLICE_BYTES)
     return both.select(
         F.col("id").alias(id_col),
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
