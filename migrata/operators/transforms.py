@@ -13,6 +13,7 @@ always writes (computed and inlined columns), where null is a present ``None``.
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, MutableMapping, Sequence
+from threading import Lock
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -337,11 +338,12 @@ class LazyTables(MutableMapping):
     def later(self, name: str, then: Callable[[DataFrame], DataFrame]) -> Callable[[], DataFrame]:
         """``then`` of the table as it is now, to be built on demand."""
         if name in self._due:
-            build, made = self._due[name], []
+            build, made, one = self._due[name], [], Lock()
 
             def once() -> DataFrame:
-                if not made:
-                    made.append(build())
+                with one:  # tables may be asked for by several threads
+                    if not made:
+                        made.append(build())
                 return then(made[0])
             return once
         df = self._made[name]

@@ -1,10 +1,10 @@
 """Output audits and score tables (A1-A10).
 
 * ``output_summary`` (A1) and ``shotgun`` (A2) are one aggregate per table.
-* ``partition_ablation`` (A3) computes per-sub-table partial sums of every axis *once*
-  from the verifier's located join and recombines them for each scenario (all, none,
-  each sub removed, each sub alone) through a small join on the sub name; no scenario
-  is regraded.
+* ``partition_ablation`` (A3) stores the check table and the narrow rows of the located join,
+  each evaluated once, takes per-sub-table partial sums of every axis from them and recombines
+  these for each scenario (all, none, each sub removed, each sub alone) through a small join on
+  the sub name; no scenario is regraded.
 * Score tables over a ``runs`` frame (A4-A9) are grouped aggregates; ranking uses the
   skew-safe ``rank_within`` so a tier holding most runs is still split across tasks.
 * ``fingerprint`` (A10) is an order-insensitive sum of SHA-256 row hashes plus a count.
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..operators.keys import rank_within
 from ..spec import ALPHA, WEIGHTS
 from ..functions.fields import field_map, id_value
+from ..sources.storage import stored
 from .verify import AXES, Verifier, union_all
 
 
@@ -68,7 +69,7 @@ def partition_ablation(v: Verifier, entity: str) -> DataFrame:
     part = v.ctx.partition_of[entity]
     subs = part.subs
     spark = v.spark
-    checks = v.checks()
+    checks = v.store_parts().checks()
     dep = ((F.col("entity") == entity) & F.col("check").isin(
         "v_cov_part_recall", "v_cov_part_false_pos", "v_fid_partition", "v_rel_refs")) | (
         F.col("check").isin("v_str_jaccard", "v_type") & F.col("entity").isin(*subs))
@@ -80,8 +81,6 @@ def partition_ablation(v: Verifier, entity: str) -> DataFrame:
     j, x, dvars, tables, _, raw = v._located(entity)
     X = F.coalesce(F.col("__x"), F.lit(False))
     D = F.coalesce(F.col("__d"), F.lit(False))
-    xsub = F.col("x____mg_sub")
-    key = F.coalesce(xsub, F.col("d____mg_sub"))
     np_x = v._np_expected(entity)
     np_d = set().union(*[v._np_dest(t) for t in tables])
     refs = v.schema.refs(entity)
@@ -102,11 +101,15 @@ def partition_ablation(v: Verifier, entity: str) -> DataFrame:
             ok = X & D & v._dpresent(dvars, dname, np_d, F.lit(True)) & v._deq(
                 dvars, dname, rawc, x.schema[f"__mg_raw{i}"].dataType)
             cands.append(F.when(ok, F.struct(F.lit(target).alias("target"), rawc.cast("bigint").alias("value"))))
-    per = j.select(key.alias("sub"), i1(X).alias("n_x"), i1(X & D).alias("rec_h"), i1(D & ~X).alias("fp"),
-                   reduce(lambda a, b: a + b, fid_t).alias("fid_t"), reduce(lambda a, b: a + b, fid_h).alias("fid_h"))
+    rows = stored(j.select(
+        *v._id_columns(),
+        reduce(lambda a, b: a + b, fid_t).alias("fid_t"), reduce(lambda a, b: a + b, fid_h).alias("fid_h"),
+        *([F.filter(F.array(*cands), lambda c: c.isNotNull()).alias("cands")] if cands else [])), "located")
+    per = rows.select("sub", i1(F.col("x")).alias("n_x"), i1(F.col("x") & F.col("d")).alias("rec_h"),
+                      i1(F.col("d") & ~F.col("x")).alias("fp"), "fid_t", "fid_h")
     m = per.groupBy("sub").agg(*[F.sum(c).cast("double").alias(c) for c in ("n_x", "rec_h", "fp", "fid_t", "fid_h")])
     if cands:
-        c = j.select(key.alias("sub"), F.explode(F.array(*cands)).alias("c")).filter(F.col("c").isNotNull())
+        c = rows.select("sub", F.explode("cands").alias("c"))
         c = c.groupBy("sub", F.col("c.target").alias("target"), F.col("c.value").alias("value")).agg(
             F.count(F.lit(1)).alias("n"))
         ids = v.target_ids([t for _, t in refs]).select(F.col("target").alias("__t"), F.col("id").alias("__tid"))
@@ -118,11 +121,15 @@ def partition_ablation(v: Verifier, entity: str) -> DataFrame:
     types = checks.filter((F.col("check") == "v_type") & F.col("entity").isin(*subs)).select(
         F.col("entity").alias("tsub"), F.col("hits").alias("type_h"), F.col("total").alias("type_t"))
     m = m.join(types, m["sub"] == types["tsub"], "left").drop("tsub")
-    ids = v._id_sets(j).groupBy(F.col("sub").alias("isub")).agg(*[
+    ids = v._id_sets(rows).groupBy(F.col("sub").alias("isub")).agg(*[
         F.sum(F.when(c, 1.0).otherwise(0.0)).alias(k) for k, c in
         (("j_a", F.col("x") & F.col("d")), ("j_b", F.col("x") | F.col("d")), ("j_c", F.col("x")), ("j_d", F.col("d")))])
     m = m.join(ids, m["sub"].eqNullSafe(ids["isub"]), "left").drop("isub")
     n_refs = float(len(refs))
+    # a sub with no row in the join (nothing expected, nothing written) has zeros; rows of no sub stay under null
+    known = spark.createDataFrame([(s,) for s in subs] + [(None,)], "ksub string")
+    m = known.join(m, known["ksub"].eqNullSafe(m["sub"]), "left").drop("sub").withColumnRenamed("ksub", "sub")
+    m = m.fillna(0.0, [c for c in m.columns if c != "sub"])
     m = m.select(
         "sub",
         F.coalesce("rec_h", F.lit(0.0)).alias("cov_h_k"), (F.col("n_x") + F.col("fp")).alias("cov_t_k"),
@@ -139,12 +146,6 @@ def partition_ablation(v: Verifier, entity: str) -> DataFrame:
         F.when(F.col("sub").isNull(), 0.0).when(F.col("n_x") == 0, 1.0).otherwise(0.0).alias("str_h_r"),
         F.when(F.col("sub").isNull(), 0.0).otherwise(F.lit(1.0)).alias("str_t_r"),
     )
-    # subs with no row at all in the join (nothing expected, nothing written)
-    present_subs = m.select("sub")
-    missing = spark.createDataFrame([(s,) for s in subs], "sub string").join(present_subs, "sub", "left_anti")
-    zero = {c: F.lit(0.0) for c in m.columns if c != "sub"}
-    zero.update(str_h_k=F.lit(1.0), str_t_k=F.lit(1.0), str_h_r=F.lit(1.0), str_t_r=F.lit(1.0))
-    m = m.unionByName(missing.select("sub", *[v_.alias(k) for k, v_ in zero.items()]))
     # base row (everything that does not depend on the partition) kept in every scenario
     base_row = base.select(F.lit("__base").alias("sub"), *[
         F.col(f"{ax}_{hc}_k").alias(f"{ax}_{hc}_{kr}") for ax in ("cov", "fid", "rel", "typ", "str")

@@ -10,7 +10,7 @@ from ..operators.keys import last_wins
 from ..operators.transforms import apply_log
 from ..spec import Schema, log_from_dicts
 from . import audit, constraints
-from .catalog_verify import CHECK_SQL, ROUND, vs_verifier
+from .catalog_verify import CHECK_SQL, ROUND, vs_verifier, vs_written_verifier
 from .scenario import SQL_SOURCES, SQL_VS, load, orders_nested, vs_dest, vs_source
 from .verify import Verifier
 
@@ -65,7 +65,7 @@ SELECT t.table_name, t.n_rows, src.n AS source_rows, t.n_rows = src.n AS shotgun
 
 
 def a_partition_ablation(spark, d):
-    out = audit.partition_ablation(vs_verifier(spark, d), "Event")
+    out = audit.partition_ablation(vs_written_verifier(spark, d), "Event")
     return _r(out, [c for c in out.columns if c != "scenario"], ROUND)
 
 

@@ -94,7 +94,7 @@ def verify(spark: SparkSession, spec_path: str, source_base: str, dest_base: str
         dest = read_record_set(spark, dest_base, fields)
     else:
         dest = _read(spark, dest_base, names)
-    v = Verifier(schema, log, src, dest)
+    v = Verifier(schema, log, src, dest).store_parts()
     checks = v.checks()
     checks.write.mode("overwrite").parquet(f"{out_base}/checks")
     # the report is folded from the written check table, so the verification runs once

@@ -18,8 +18,8 @@ Plan shape (what runs on the cluster):
   union + group-by (never a cross join);
 * type checks are one aggregate per destination table.
 
-Everything is lazy: the long table is small (one row per check item) and is built by a
-single Spark job graph in which identical shuffles are reused.
+Everything is lazy: the long table is small (one row per check item).  A single check is one plan;
+for all of them ``store_parts`` runs each aggregate as a job of its own over joins stored once.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 from ..functions.fields import FieldAccess, equal, field_map, id_value, present, select_fields, valid
 from ..operators.keys import position_in_group
 from ..operators.transforms import LazyTables, expected_frame
+from ..sources.storage import stored, stored_set
 from ..spec import ALPHA, WEIGHTS, LogContext, Schema, Step, dest_kinds
 
 SEQ = "_seq"
@@ -81,6 +82,7 @@ class Verifier:
         self._ref_cands: list[DataFrame] = []
         self._targets: set[str] = set()
         self._raw: DataFrame | None = None
+        self.store_joins = False
         self._memo_norm: dict[str, DataFrame] = {}
         self._memo_x: dict[tuple, DataFrame] = {}
 
@@ -325,10 +327,14 @@ class Verifier:
                         dvars, dname, rawc, x.schema[f"__mg_raw{i}"].dataType)
                     cands.append(F.when(ok, F.struct(F.lit(target).alias("target"),
                                                      rawc.cast("bigint").alias("value"))))
+        # the few narrow columns the aggregates below read; stored first if several of them would repeat the join
+        jr = j.select(*[v.alias(k) for k, v in per.items()], *(self._id_columns() if part is not None else []),
+                      *([F.filter(F.array(*cands), lambda c: c.isNotNull()).alias("cands")] if cands else []))
+        if self.store_joins and (cands or part is not None):
+            jr = stored(jr, "located")
         if part is not None:
-            by_id = self._id_sets(j)
+            by_id = self._id_sets(jr)
         if per:
-            jr = j.select(*[v.alias(k) for k, v in per.items()])
             S = lambda k: F.coalesce(F.sum(k), F.lit(0))
             if "rec_t" in per:
                 rc = "v_cov_recall" if part is None else "v_cov_part_recall"
@@ -350,18 +356,22 @@ class Verifier:
                     self._row(by_id, "structural", "v_str_jaccard", s_, step, "jaccard", a=cnt(F.col("x") & F.col("d")),
                               b=cnt(F.col("x") | F.col("d")), c=cnt(F.col("x")), d=cnt(F.col("d")))
         if cands:
-            c = j.select(F.explode(F.array(*cands)).alias("c")).filter(F.col("c").isNotNull())
+            c = jr.select(F.explode("cands").alias("c"))
             c = c.groupBy(F.col("c.target").alias("target"), F.col("c.value").alias("value")).agg(
                 F.count(F.lit(1)).alias("n"))
             self._ref_cands.append(c.withColumn("entity", F.lit(entity)))
 
     @staticmethod
-    def _id_sets(j: DataFrame) -> DataFrame:
-        """(sub, id, x, d): the distinct ids per sub-table of a located join, expected (x) and written (d)."""
-        return j.select(F.coalesce(F.col("x____mg_sub"), F.col("d____mg_sub")).alias("sub"),
-                        F.coalesce(F.col("x__id"), F.col("d__id")).alias("id"),
-                        F.coalesce(F.col("__x"), F.lit(False)).alias("x"), F.coalesce(F.col("__d"), F.lit(False)).alias("d")) \
-            .groupBy("sub", "id").agg(F.max("x").alias("x"), F.max("d").alias("d"))
+    def _id_columns() -> list[Column]:
+        """(sub, id, x, d) of a row of a partitioned entity's located join: is it expected (x), is it written (d)."""
+        return [F.coalesce(F.col("x____mg_sub"), F.col("d____mg_sub")).alias("sub"),
+                F.coalesce(F.col("x__id"), F.col("d__id")).alias("id"),
+                F.coalesce(F.col("__x"), F.lit(False)).alias("x"), F.coalesce(F.col("__d"), F.lit(False)).alias("d")]
+
+    @staticmethod
+    def _id_sets(rows: DataFrame) -> DataFrame:
+        """The distinct ids per sub-table of rows with ``_id_columns``."""
+        return rows.groupBy("sub", "id").agg(F.max("x").alias("x"), F.max("d").alias("d"))
 
     # -- target ids ----------------------------------------------------------
     def target_ids(self, targets: Iterable[str]) -> DataFrame:
@@ -679,8 +689,8 @@ class Verifier:
                                "a", F.lit(0.0).alias("b"), *[F.lit(0.0).alias(z) for z in "cde"]))
 
     # -- public ------------------------------------------------------------------
-    def raw_parts(self) -> DataFrame:
-        if self._raw is None:
+    def _build_parts(self) -> list[DataFrame]:
+        if not self._parts:
             for ename in self.schema.entities:
                 if ename in self.ctx.merge_children:
                     continue
@@ -689,9 +699,25 @@ class Verifier:
             self._type_checks()
             self._ref_hits()
             self._flush()
-            self._raw = union_all(self.spark, self._parts, LONG_SCHEMA)
+        return self._parts
+
+    def raw_parts(self) -> DataFrame:
+        if self._raw is None:
+            self._raw = union_all(self.spark, self._build_parts(), LONG_SCHEMA)
         return self._raw
 
+    def store_parts(self, workers: int = 8) -> "Verifier":
+        """Evaluate all checks now: each join once, each aggregate as a small job of its own, several at a time.
+
+        ``checks`` and ``report`` then read the few rows these gave.  One plan of all checks re-plans itself as a
+        whole after every stage, and repeats a located join for every aggregate over it.
+        """
+        if self._raw is None:
+            self.store_joins = True
+            parts = {str(i): p.coalesce(1) for i, p in enumerate(self._build_parts())}
+            self._raw = union_all(self.spark, list(stored_set(parts, "check", workers).values()), LONG_SCHEMA)
+        return self
+
     def checks(self) -> DataFrame:
         """Long table ``(axis, check, entity, step, hits, total)``, one row per check item."""
         parts = self.raw_parts()

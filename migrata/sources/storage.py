@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession
+
+from ..session import scratch_path
 
 
 def _fs(spark: SparkSession, path: str):
@@ -60,3 +66,20 @@ def files(spark: SparkSession, path: str) -> list[str]:
     """Names of the files in ``path`` (none if it does not exist)."""
     fs, p = _fs(spark, path)
     return sorted(f.getPath().getName() for f in fs.listStatus(p) if f.isFile()) if fs.exists(p) else []
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once below the shared checkpoint folder and read back: later uses scan, prune and filter it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored_set(tables: Mapping[str, DataFrame], name: str, workers: int = 8) -> dict[str, DataFrame]:
+    """Every table ``stored``, several at a time, so that small ones fill the gaps of large ones."""
+    names = list(tables)
+    if not names:
+        return {}
+    run = inheritable_thread_target(SparkSession.active())(lambda t: stored(tables[t], f"{name}-{t}"))
+    with ThreadPoolExecutor(min(workers, len(names))) as threads:
+        return dict(zip(names, threads.map(run, names)))
