@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 from ..functions.fields import FieldAccess, equal, field_map, id_value, present, select_fields, valid
 from ..operators.keys import position_in_group
 from ..operators.transforms import LazyTables, expected_frame
-from ..sources.storage import stored, stored_set
+from ..sources.storage import side_by_side, stored, written
 from ..spec import ALPHA, WEIGHTS, LogContext, Schema, Step, dest_kinds
 
 SEQ = "_seq"
@@ -714,8 +714,9 @@ class Verifier:
         """
         if self._raw is None:
             self.store_joins = True
-            parts = {str(i): p.coalesce(1) for i, p in enumerate(self._build_parts())}
-            self._raw = union_all(self.spark, list(stored_set(parts, "check", workers).values()), LONG_SCHEMA)
+            parts = [p.coalesce(1) for p in self._build_parts()]
+            paths = side_by_side(lambda p: written(p, "check"), parts, workers)
+            self._raw = self.spark.read.schema(LONG_SCHEMA).parquet(*paths) if paths else union_all(self.spark, [], LONG_SCHEMA)
         return self
 
     def checks(self) -> DataFrame:

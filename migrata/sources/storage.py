@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
+from typing import TypeVar
 
 from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_path
 
+T, R = TypeVar("T"), TypeVar("R")
+
 
 def _fs(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -68,18 +71,27 @@ def files(spark: SparkSession, path: str) -> list[str]:
     return sorted(f.getPath().getName() for f in fs.listStatus(p) if f.isFile()) if fs.exists(p) else []
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written once below the shared checkpoint folder and read back: later uses scan, prune and filter it."""
+def written(df: DataFrame, name: str) -> str:
+    """``df`` written once below the shared checkpoint folder; its path."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once and read back: later uses scan, prune and filter it."""
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, name))
+
+
+def side_by_side(job: Callable[[T], R], items: Sequence[T], workers: int = 8) -> list[R]:
+    """``job`` of every item, several Spark jobs at a time, so that small ones fill the gaps of large ones."""
+    if not items:
+        return []
+    run = inheritable_thread_target(SparkSession.active())(job)
+    with ThreadPoolExecutor(min(workers, len(items))) as threads:
+        return list(threads.map(run, items))
 
 
-def stored_set(tables: Mapping[str, DataFrame], name: str, workers: int = 8) -> dict[str, DataFrame]:
-    """Every table ``stored``, several at a time, so that small ones fill the gaps of large ones."""
-    names = list(tables)
-    if not names:
-        return {}
-    run = inheritable_thread_target(SparkSession.active())(lambda t: stored(tables[t], f"{name}-{t}"))
-    with ThreadPoolExecutor(min(workers, len(names))) as threads:
-        return dict(zip(names, threads.map(run, names)))
+def stored_set(tables: Mapping[str, DataFrame], name: str) -> dict[str, DataFrame]:
+    """Every table ``stored``, side by side."""
+    return dict(zip(tables, side_by_side(lambda t: stored(tables[t], f"{name}-{t}"), list(tables))))

@@ -68,3 +68,9 @@ def test_partition_after_remap_filters_the_raw_column(spark):
     n = event_s(spark, SF).groupBy("event_type").count().collect()
     want = {r.event_type: r["count"] for r in n}
     assert out["ClickEvent"].count() == want["click"] and out["PurchaseEvent"].count() == want["purchase"]
+
+
+def test_report_and_ablation_read_stored_tables(spark):
+    from migrata.plans import catalog_misc, catalog_verify
+    for fn, scans in ((catalog_verify.v_score_report, 1), (catalog_misc.a_partition_ablation, 9)):
+        assert plan(fn(spark, SF), "simple").count("FileScan parquet") <= scans
