@@ -263,9 +263,12 @@ def test_license_scan_against_every_window(spark):
         texts.append((i, " ".join(body[:at] + part * (i % 4 > 0) + body[at:])))
     docs = spark.createDataFrame(texts, "doc_id int, text string")
     got = _rows(licenses.scan(docs), "doc_id")
+    scanner = licenses.Scanner(licenses.TEMPLATES)
     wrong = 0
     for i, text in texts:
         w = decontaminate.words_of(text)
+        found = scanner.candidates(w)
+        assert [(m["template"], m["start"], m["end"]) for m in got[i]["matches"]] == [m[:3] for m in licenses.settled(found)]
         for name, template in licenses.TEMPLATES.items():
             t = decontaminate.words_of(template)
             own = set(licenses.shingles_of(t, 5))
@@ -273,10 +276,56 @@ def test_license_scan_against_every_window(spark):
             step = span // 2
             s = [tuple(w[a:a + n]) for a in range(len(w) - n + 1)]
             there = any(len(own & set(s[a:a + span])) >= 0.8 * len(own) for a in range(0, max(len(s), 1), step))
-            wrong += there != any(m["template"] == name for m in got[i]["matches"])
+            wrong += there != any(m.template == name for m in found)
     assert wrong == 0
 
 
+def test_license_families_are_told_apart():
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    for name, text in licenses.TEMPLATES.items():
+        n = len(decontaminate.words_of(text))
+        assert scanner.scan(f"before {text} after")[1] == [(name, 1, n + 1, 1.0)], name
+        if n >= 60:  # a changed word takes five shingles and no license
+            words = text.split()
+            words[len(words) // 2] = "changed"
+            assert [m[0] for m in scanner.scan(" ".join(words))[1]] == [name]
+    lesser = licenses.TEMPLATES["GPL-3.0-or-later"].replace("General", "Obscure General")
+    assert [m[0] for m in scanner.scan(lesser)[1]] == ["GPL-3.0-or-later"]  # nothing nearer is known
+
+
+def test_license_every_occurrence(spark):
+    rng = random.Random(5)
+    names = sorted(licenses.TEMPLATES)
+    texts, truth = [], {}
+    for i in range(40):
+        parts, at, here = [], 0, []
+        for _ in range(rng.randrange(12)):
+            gap = [f"w{rng.randrange(1000)}" for _ in range(rng.choice([0, 0, 1, 30]))]
+            # back to back only with itself: two different notices in a row may share words at the seam
+            name = rng.choice(names) if gap or not here else here[-1][0]
+            n = len(decontaminate.words_of(licenses.TEMPLATES[name]))
+            here.append((name, at + len(gap), at + len(gap) + n))
+            parts += [*gap, licenses.TEMPLATES[name]]
+            at += len(gap) + n
+        truth[i] = here
+        texts.append((i, " ".join(parts)))
+    got = _rows(licenses.scan(spark.createDataFrame(texts, "doc_id int, text string")), "doc_id")
+    for i, here in truth.items():
+        assert [(m["template"], m["start"], m["end"]) for m in got[i]["matches"]] == here
+        assert all(m["containment"] == 1.0 for m in got[i]["matches"])
+    out = _rows(licenses.report(spark.createDataFrame(texts, "doc_id int, text string")), "doc_id")
+    for i, here in truth.items():
+        ids = sorted({name.split(":")[0] for name, _, _ in here})
+        assert (out[i]["licenses"], out[i]["n_licenses"], out[i]["n_matches"]) == (",".join(ids), len(ids), len(here))
+
+
+def test_license_equal_templates_and_ties():
+    scanner = licenses.Scanner({"a": "one two three four five six", "b": "One two three four five six", "none": " . "})
+    text = "one two three four five six one two three four five six"
+    assert scanner.scan(text)[1] == [(name, at, at + 6, 1.0) for at in (0, 6) for name in ("a", "b")]
+    assert scanner.scan(None) == (0, []) and scanner.scan("") == (0, [])
+
+
 def test_license_lines_and_odd_rows(spark, odd, empty):
     docs = spark.createDataFrame([(1, "text\nReleased under the MIT License.\nmore"), (2, None), (3, "MIT License"), (4, "")], "doc_id int, text string")
     got = _rows(licenses.report(docs), "doc_id")
