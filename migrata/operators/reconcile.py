@@ -11,6 +11,7 @@ from typing import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import scratch_path
 from .keys import dense_id
@@ -142,22 +143,38 @@ def repoint(df: DataFrame, ref: str, lost: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Ref repair by natural key
 # ---------------------------------------------------------------------------
+def _holds_map(t: T.DataType) -> bool:
+    if isinstance(t, T.StructType):
+        return any(_holds_map(f.dataType) for f in t.fields)
+    return _holds_map(t.elementType) if isinstance(t, T.ArrayType) else isinstance(t, (T.MapType, T.VariantType))
+
+
+def _spread(rows: DataFrame) -> Column:
+    """A hash of the whole row: rows that ask for nothing are dealt by it, as a null key would gather them in one task."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in rows.schema.fields if not _holds_map(f.dataType)])
+
+
 def repair_refs(child: DataFrame, ref: str, child_key: Column, parent: DataFrame, pk: str, parent_key: Column) -> DataFrame:
     """``child`` with ``outcome`` and a repaired ``ref``.
 
     ``valid``: the ref has a parent (or is null and has no key).  Otherwise the row's natural key decides: ``repaired`` if
     exactly one parent has it, ``ambiguous`` if several do, ``unmatched`` if none does; the last two keep their ref as it was.
     """
-    ids = _stored(parent.select(F.col(f"`{pk}`").alias("__mg_id"), parent_key.alias("__mg_key")).where("__mg_id IS NOT NULL").distinct(), "parents")
-    known = ids.select("__mg_id").distinct()
+    ids = _stored(parent.select(F.col(f"`{pk}`").alias("__mg_id"), parent_key.alias("__mg_key"), F.lit(0).cast("bigint").alias("__mg_known")).where(
+        "__mg_id IS NOT NULL").distinct(), "parents")
+    known = ids.select("__mg_id", "__mg_known").distinct()
     names = ids.where("__mg_key IS NOT NULL").groupBy(F.col("__mg_key").alias("__mg_name")).agg(
         F.min("__mg_id").alias("__mg_lo"), F.max("__mg_id").alias("__mg_hi"))
-    names = _stored(names, "names")
-    rows = child.withColumn("__mg_own", child_key).join(known, F.col(f"`{ref}`") == F.col("__mg_id"), "left")
+    names = _stored(names.withColumn("__mg_named", F.lit(0).cast("bigint")), "names")
+    # a second key, 0 beside a key and the row's hash beside a null one: that finds nothing, but has its place among all tasks
+    rows = child.withColumn("__mg_own", child_key).withColumn("__mg_row", _spread(child))
+    rows = rows.withColumn("__mg_at", F.when(F.col(f"`{ref}`").isNotNull(), F.lit(0).cast("bigint")).otherwise(F.col("__mg_row")))
+    rows = rows.join(known, (F.col(f"`{ref}`") == F.col("__mg_id")) & (F.col("__mg_at") == F.col("__mg_known")), "left")
     orphan = F.col("__mg_id").isNull() & (F.col(f"`{ref}`").isNotNull() | F.col("__mg_own").isNotNull())
     # only orphans ask for a name, so valid rows do not gather on common ones
     rows = rows.withColumn("__mg_ask", F.when(orphan, F.col("__mg_own"))).withColumn("__mg_orphan", orphan)
-    found = rows.join(names, F.col("__mg_ask") == F.col("__mg_name"), "left")
+    rows = rows.withColumn("__mg_to", F.when(F.col("__mg_ask").isNotNull(), F.lit(0).cast("bigint")).otherwise(F.col("__mg_row")))
+    found = rows.join(names, (F.col("__mg_ask") == F.col("__mg_name")) & (F.col("__mg_to") == F.col("__mg_named")), "left")
     one = F.col("__mg_lo") == F.col("__mg_hi")
     outcome = (F.when(~F.col("__mg_orphan"), "valid").when(F.col("__mg_lo").isNull(), "unmatched").when(one, "repaired").otherwise("ambiguous"))
     new = F.when(F.col("__mg_orphan") & one, F.col("__mg_lo")).otherwise(F.col(f"`{ref}`"))

@@ -128,3 +128,21 @@ def test_column_matches_against_all_pairs(spark):
     assert got == want and len(want) >= 4
     prof = {(r["table_name"], r["column_name"]): (r["kind"], r["n_rows"], r["n_null"], r["n_distinct"]) for r in matching.column_profiles(matching.column_values(tables)).collect()}
     assert prof["tf", "f"] == ("integer", 6, 1, 5) and prof["tf", "n"] == ("integer", 6, 6, 0) and prof["ta", "a x"] == ("text", 101, 0, 101)
+
+
+def test_repair_spreads_rows_that_ask_for_nothing(spark):
+    parent = spark.createDataFrame([(i, f"n{i}") for i in range(40)], "pk long, name string")
+    child = spark.range(800).select("id", F.when(F.col("id") % 2 == 0, F.col("id") % 40).alias("ref"), F.lit(None).cast("string").alias("name"),
+                                    F.create_map(F.lit("a"), F.col("id")).alias("m"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        out = rc.repair_refs(child, "ref", F.col("name"), parent, "pk", F.col("name"))
+        held = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+        assert out.columns == ["id", "ref", "name", "m", "outcome"]
+        assert sum(held) == 800 and max(held) < 400 and len(held) == 4
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert _rows(out, "id", "ref", "outcome") == sorted(((i, i % 40 if i % 2 == 0 else None, "valid") for i in range(800)), key=str)
