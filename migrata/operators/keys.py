@@ -37,7 +37,7 @@ def placed(df: DataFrame, key_cols: Sequence[str], n_partitions: int | None = No
     keys = [F.col(f"`{c}`").asc_nulls_first() for c in key_cols]
     path = scratch_path(spark, "ranked")
     ordered = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn(_AT, F.monotonically_increasing_id())
-    ordered.write.parquet(path)
+    ordered.write.option("compression", "zstd").parquet(path)
     rows = spark.read.schema(ordered.schema).parquet(path).withColumn(_PART, F.shiftright(_AT, _BITS).cast("int"))
     # one number per partition
     held = sorted((r[0], r[1]) for r in rows.groupBy(_PART).count().collect())

@@ -171,10 +171,10 @@ def vs_perfect(spark: SparkSession, d: str) -> LazyTables:
     return apply_log(vs_source(spark, d), VS_LOG, blocks=VS_BLOCKS)
 
 
-def vs_dest(spark: SparkSession, d: str) -> LazyTables:
-    """The damaged destination: the log applied, then data-value damage rules."""
+def vs_dest(spark: SparkSession, d: str, source: dict[str, DataFrame] | None = None) -> LazyTables:
+    """The damaged destination: the log applied (to ``source``, if it is already built), then data-value damage rules."""
     log = [s for s in VS_LOG if not isinstance(s, (Unmapped, FlattenNested))]
-    t = apply_log(vs_source(spark, d), log, blocks=VS_BLOCKS)
+    t = apply_log(source or vs_source(spark, d), log, blocks=VS_BLOCKS)
     c = t["Customer"]
     kept = c.filter(F.col("segment") != "HOUSEHOLD").withColumn(
         "full_name", F.when(F.col("segment") == "MACHINERY", F.concat("full_name", F.lit("!"))).otherwise(F.col("full_name")))

@@ -126,15 +126,18 @@ class Verifier:
         drop = [c for c in (fa.physical() if fa else []) if c != "id"]
         return df.drop(*drop).withColumn("id", idc) if drop else df.withColumn("id", idc)
 
-    def _dedup(self, df: DataFrame, keys: Sequence[str]) -> DataFrame:
-        """Last write wins per key on ``_seq``; without it a deterministic pick (row hash)."""
+    def _dedup(self, df: DataFrame, keys: Sequence[str], keep: Sequence[str] | None = None) -> DataFrame:
+        """Last write wins per key on ``_seq``; without it a deterministic pick (row hash).
+
+        Only the columns of ``keep`` (all unless given) are carried along; all of them make the pick."""
         if not self.dedupe:
             return df
-        rest = [c for c in df.columns if c not in keys]
+        whole = [c for c in df.columns if c not in keys]
+        rest = whole if keep is None else [c for c in whole if c in keep]
         if not rest:
-            return df.dropDuplicates(list(keys))
+            return df.select(*keys).dropDuplicates(list(keys)) if whole else df.dropDuplicates(list(keys))
         packed = F.struct(*[F.col(c) for c in rest])
-        order = F.col(SEQ) if SEQ in df.columns else F.xxhash64(*[F.col(c) for c in rest])
+        order = F.col(SEQ) if SEQ in df.columns else F.xxhash64(*[F.col(c) for c in whole])
         agg = df.groupBy(*keys).agg(F.max_by(packed, order).alias("__mg_row"))
         return agg.select(*keys, *[F.col(f"__mg_row.`{c}`").alias(c) for c in rest])
 
@@ -610,8 +613,9 @@ class Verifier:
         if src is None or dst is None or not self.wants("v_fid_denorm"):
             return
         via = self.ctx.source_field_name(ent, s.via_field)
-        d1 = self._dedup(self._dest_norm(ent), ["id"])
+        d1 = self._dest_norm(ent)
         dfm = field_map(d1.schema)
+        d1 = self._dedup(d1, ["id"], [p for _, d in s.inlined if d in dfm for p in dfm[d].physical()])
         ds = d1.select(F.col("id").alias("__did"), *select_fields(dfm, [d for _, d in s.inlined], "d__"))
         ss = src.select(F.col("id").alias("__sid"),
                         (F.col(via) if via in src.columns else F.lit(None)).cast("bigint").alias("__via"))

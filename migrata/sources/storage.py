@@ -74,7 +74,7 @@ def files(spark: SparkSession, path: str) -> list[str]:
 def written(df: DataFrame, name: str) -> str:
     """``df`` written once below the shared checkpoint folder; its path."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return path
 
 

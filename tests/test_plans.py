@@ -74,3 +74,17 @@ def test_report_and_ablation_read_stored_tables(spark):
     from migrata.plans import catalog_misc, catalog_verify
     for fn, scans in ((catalog_verify.v_score_report, 1), (catalog_misc.a_partition_ablation, 9)):
         assert plan(fn(spark, SF), "simple").count("FileScan parquet") <= scans
+
+
+def test_nested_source_is_gathered_once(spark):
+    from migrata.plans import catalog_verify
+    v = catalog_verify.vs_written_verifier(spark, SF)
+    assert "collect_list" not in plan(v.source["Orders"]) and v.source["Orders"].count() > 0
+
+
+def test_denormalize_check_carries_the_looked_up_columns_only(spark):
+    from migrata.plans import catalog_verify
+    v = catalog_verify.vs_written_verifier(spark, SF)
+    one = v._dedup(v._dest_norm("Orders"), ["id"], ["customer_segment"])
+    every = v._dedup(v._dest_norm("Orders"), ["id"]).select("id", "customer_segment")
+    assert one.columns == ["id", "customer_segment"] and one.exceptAll(every).isEmpty() and one.count() == every.count()
