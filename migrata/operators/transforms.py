@@ -226,15 +226,18 @@ def extract_items(parent: DataFrame, fld: str, link_field: str, block_fields: Se
     item_fields = [f.name for f in item_type.fields] if isinstance(item_type, T.StructType) else []
     wanted = list(block_fields) if block_fields is not None else item_fields
     exploded = parent.select(
-        *[F.col(c).alias(f"__mg_o{i}") for i, c in enumerate(order_cols)],
+        *[F.col(c).alias(f"__mg_o{i}") for i, c in enumerate(order_cols) if c != "id"],
         F.col("id").alias(link_field),
         F.posexplode(F.col(fld)).alias("__mg_pos", "__mg_item"),
     )
-    okeys = [f"__mg_o{i}" for i in range(len(order_cols))] + ["__mg_pos"]
-    numbered = dense_id(exploded, okeys, "id")
+    okeys = [link_field if c == "id" else f"__mg_o{i}" for i, c in enumerate(order_cols)] + ["__mg_pos"]
+    # only the fields that stay are numbered (dealt by range and stored)
+    narrow = exploded.select(*dict.fromkeys([*okeys, link_field]), *[
+        F.col(f"__mg_item.{b}").alias(f"__mg_f{i}") for i, b in enumerate(wanted) if b in item_fields])
+    numbered = dense_id(narrow, okeys, "id")
     cols = [F.col("id"), F.col(link_field)]
-    for b in wanted:
-        cols.append(F.col(f"__mg_item.{b}").alias(b) if b in item_fields else F.lit(None).cast("string").alias(b))
+    for i, b in enumerate(wanted):
+        cols.append(F.col(f"__mg_f{i}").alias(b) if b in item_fields else F.lit(None).cast("string").alias(b))
     return parent.drop(fld), numbered.select(*cols)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.io import BatchWriter, read_jsonl, read_runs, read_table_set, scratch_path, write_jsonl, write_runs
 from ..operators.keys import last_wins
 from ..operators.transforms import apply_log
+from ..sources.storage import stored
 from ..spec import Schema, log_from_dicts
 from . import audit, constraints
 from .catalog_verify import CHECK_SQL, ROUND, vs_verifier, vs_written_verifier
@@ -378,7 +379,8 @@ def s_record_sink(spark, d):
     """A perfect extract written as JSON lines from many partitions and read back as records, all checks."""
     from ..sources.records import read_record_set, write_record_set
 
-    src = {"Orders": orders_nested(spark, d).select("id", "lines")}
+    # the arrays are built once: writing and every check read them
+    src = {"Orders": stored(orders_nested(spark, d).select("id", "lines"), "source-Orders")}
     dest = apply_log(src, EXTRACT_LOG, blocks={"LineBlock": ["linenumber", "partkey"]})
     path = scratch_path(spark, "records")
     write_record_set(dict(dest.items()), path)

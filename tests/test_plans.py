@@ -88,3 +88,24 @@ def test_denormalize_check_carries_the_looked_up_columns_only(spark):
     one = v._dedup(v._dest_norm("Orders"), ["id"], ["customer_segment"])
     every = v._dedup(v._dest_norm("Orders"), ["id"]).select("id", "customer_segment")
     assert one.columns == ["id", "customer_segment"] and one.exceptAll(every).isEmpty() and one.count() == every.count()
+
+
+def test_record_sink_stores_its_source(spark, monkeypatch):
+    from migrata.plans import catalog_misc
+    seen = []
+    made = catalog_misc.Verifier
+    monkeypatch.setattr(catalog_misc, "Verifier", lambda schema, log, src, dest: seen.append(src) or made(schema, log, src, dest))
+    catalog_misc.s_record_sink(spark, SF)
+    assert "collect_list" not in plan(seen[0]["Orders"])
+
+
+def test_extract_numbers_only_the_fields_that_stay(spark, monkeypatch):
+    from migrata.operators import transforms
+    seen = []
+    made = transforms.dense_id
+    monkeypatch.setattr(transforms, "dense_id", lambda df, *a, **kw: seen.append(df) or made(df, *a, **kw))
+    src = spark.createDataFrame([(2, [(1, "x", "long")]), (1, [(5, "y", "text"), (6, None, None)])], "id long, xs array<struct<a:int,b:string,c:string>>")
+    parent, child = transforms.extract_items(src, "xs", "p", ["a", "z", "b"])
+    assert len(seen[0].columns) == 4 and parent.columns == ["id"]
+    assert child.columns == ["id", "p", "a", "z", "b"]
+    assert sorted(map(tuple, child.collect())) == [(1, 1, 5, None, "y"), (2, 1, 6, None, None), (3, 2, 1, None, "x")]
