@@ -492,8 +492,10 @@ def st_extract(spark, d):
     from ..streaming.replay import extract_stream
 
     path = scratch_path(spark, "nested")
-    orders_nested(spark, d).select("id", "lines").repartitionByRange(3, "id").write.parquet(path)
-    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", 1).parquet(path)
+    # three batches, of as many files together as a shuffle has parts: no task writes a batch alone
+    files = max(3, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    orders_nested(spark, d).select("id", "lines").repartition(files, "id").write.parquet(path)
+    stream = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", -(-files // 3)).parquet(path)
     out = scratch_path(spark, "extracted")
     tables = extract_stream(spark, stream, "lines", "order_id", out, "Orders", "OrderLine", name=out.rsplit("/", 1)[-1])
     child = tables["OrderLine"].groupBy("order_id").agg(F.count(F.lit(1)).alias("n_lines"), F.count_distinct("id").alias("n_ids"), F.sum("partkey").cast("bigint").alias("parts"))

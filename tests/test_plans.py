@@ -109,3 +109,18 @@ def test_extract_numbers_only_the_fields_that_stay(spark, monkeypatch):
     assert len(seen[0].columns) == 4 and parent.columns == ["id"]
     assert child.columns == ["id", "p", "a", "z", "b"]
     assert sorted(map(tuple, child.collect())) == [(1, 1, 5, None, "y"), (2, 1, 6, None, None), (3, 2, 1, None, "x")]
+
+
+def test_stream_input_is_written_by_all_parts(spark, monkeypatch):
+    from migrata.plans import catalog_misc
+    from migrata.sources.storage import files
+    made, kept = [], spark.conf.get("spark.sql.shuffle.partitions")
+    path = catalog_misc.scratch_path
+    monkeypatch.setattr(catalog_misc, "scratch_path", lambda s, name: made.append(path(s, name)) or made[-1])
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        rows = catalog_misc.st_extract(spark, SF).count()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", kept)
+    assert len([f for f in files(spark, made[0]) if f.endswith(".parquet")]) == 7
+    assert rows == spark.read.parquet(f"{SF}/orders.parquet").count()
