@@ -218,6 +218,22 @@ def test_lines_hot_groups_meet_once(spark):
     assert got == _plain_truth(rows) == {(i, 0) for i, _ in rows if i}
 
 
+def test_lines_that_share_a_passage_do_not_meet_pairwise(spark, monkeypatch):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    passage, tails = " ".join(word() for _ in range(36)), [[word() for _ in range(14)] for _ in range(80)]
+    rows = [(k, passage + " " + " ".join(t)) for k, t in enumerate(tails)]
+    # some have a near copy, which no centre of a bucket needs to lead to
+    rows += [(100 + k, passage + " " + " ".join([*tails[k][:-1], word()])) for k in range(10)]
+    met = []
+    verified = lines._verified
+    monkeypatch.setattr(lines, "_verified", lambda pairs, *a: (met.append(pairs.count()), verified(pairs, *a))[1])
+    got = {(r["doc_id"], p) for r in lines.report(spark.createDataFrame(rows, "doc_id long, text string")).collect() for p in r["gone"]}
+    assert got == _plain_truth(rows) == {(100 + k, 0) for k in range(10)}
+    # 90 lines have 3,995 pairs of different components
+    assert len(met) == 2 and met[1] < 200
+
+
 def test_lines_odd_rows(odd, empty):
     kept = lines.dedupe(odd)
     assert kept.columns == odd.columns and kept.count() == odd.count()
