@@ -1,8 +1,8 @@
 """Output audits and score tables (A1-A10).
 
 * ``output_summary`` (A1) and ``shotgun`` (A2) are one aggregate per table.
-* ``partition_ablation`` (A3) stores the check table and the narrow rows of the located join,
-  each evaluated once, takes per-sub-table partial sums of every axis from them and recombines
+* ``partition_ablation`` (A3) stores the check table and reads the narrow rows of the located join
+  that the checks stored, each evaluated once, takes per-sub-table partial sums of every axis from them and recombines
   these for each scenario (all, none, each sub removed, each sub alone) through a small join on
   the sub name; no scenario is regraded.
 * Score tables over a ``runs`` frame (A4-A9) are grouped aggregates; ranking uses the
@@ -21,7 +21,6 @@ from pyspark.sql import functions as F
 from ..operators.keys import rank_within
 from ..spec import ALPHA, WEIGHTS
 from ..functions.fields import field_map, id_value
-from ..sources.storage import stored
 from .verify import AXES, Verifier, union_all
 
 
@@ -77,38 +76,14 @@ def partition_ablation(v: Verifier, entity: str) -> DataFrame:
     base = checks.filter(~dep).agg(*[
         F.coalesce(F.sum(F.when(F.col("axis") == ax, F.col(c))), F.lit(0.0)).alias(f"{short[ax]}_{c[0]}_k")
         for ax in AXES for c in ("hits", "total")])
-    # per-sub partial sums from the located join
-    j, x, dvars, tables, _, raw = v._located(entity)
-    X = F.coalesce(F.col("__x"), F.lit(False))
-    D = F.coalesce(F.col("__d"), F.lit(False))
-    np_x = v._np_expected(entity)
-    np_d = set().union(*[v._np_dest(t) for t in tables])
+    # per-sub partial sums from the located join, as the checks stored it
     refs = v.schema.refs(entity)
-    xcols = [c for c in x.columns if not c.startswith("__mg_") and c != part.on_field]
     i1 = lambda c: F.when(c, 1).otherwise(0)
-    fid_t, fid_h = [i1(X & ~D)], [F.lit(0)]
-    for fcol in xcols:
-        px = F.lit(True) if fcol in np_x else F.col(f"x__{fcol}").isNotNull()
-        both = X & D & px & v._dpresent(dvars, fcol, np_d, F.lit(True))
-        fid_t.append(i1(both))
-        if fcol in dvars:
-            fid_h.append(i1(both & v._deq(dvars, fcol, F.col(f"x__{fcol}"), x.schema[fcol].dataType)))
-    cands = []
-    for i, (fname, target) in enumerate(refs):
-        dname = v.ctx.dest_field_name(entity, fname)
-        if f"__mg_raw{i}" in raw and dname in dvars:
-            rawc = F.col(f"x____mg_raw{i}")
-            ok = X & D & v._dpresent(dvars, dname, np_d, F.lit(True)) & v._deq(
-                dvars, dname, rawc, x.schema[f"__mg_raw{i}"].dataType)
-            cands.append(F.when(ok, F.struct(F.lit(target).alias("target"), rawc.cast("bigint").alias("value"))))
-    rows = stored(j.select(
-        *v._id_columns(),
-        reduce(lambda a, b: a + b, fid_t).alias("fid_t"), reduce(lambda a, b: a + b, fid_h).alias("fid_h"),
-        *([F.filter(F.array(*cands), lambda c: c.isNotNull()).alias("cands")] if cands else [])), "located")
+    rows = v.located_rows(entity)
     per = rows.select("sub", i1(F.col("x")).alias("n_x"), i1(F.col("x") & F.col("d")).alias("rec_h"),
                       i1(F.col("d") & ~F.col("x")).alias("fp"), "fid_t", "fid_h")
     m = per.groupBy("sub").agg(*[F.sum(c).cast("double").alias(c) for c in ("n_x", "rec_h", "fp", "fid_t", "fid_h")])
-    if cands:
+    if "cands" in rows.columns:
         c = rows.select("sub", F.explode("cands").alias("c"))
         c = c.groupBy("sub", F.col("c.target").alias("target"), F.col("c.value").alias("value")).agg(
             F.count(F.lit(1)).alias("n"))

@@ -83,6 +83,7 @@ class Verifier:
         self._targets: set[str] = set()
         self._raw: DataFrame | None = None
         self.store_joins = False
+        self._narrow: dict[str, DataFrame] = {}
         self._memo_norm: dict[str, DataFrame] = {}
         self._memo_x: dict[tuple, DataFrame] = {}
 
@@ -334,7 +335,7 @@ class Verifier:
         jr = j.select(*[v.alias(k) for k, v in per.items()], *(self._id_columns() if part is not None else []),
                       *([F.filter(F.array(*cands), lambda c: c.isNotNull()).alias("cands")] if cands else []))
         if self.store_joins and (cands or part is not None):
-            jr = stored(jr, "located")
+            jr = self._narrow[entity] = stored(jr, "located")
         if part is not None:
             by_id = self._id_sets(jr)
         if per:
@@ -364,6 +365,16 @@ class Verifier:
                 F.count(F.lit(1)).alias("n"))
             self._ref_cands.append(c.withColumn("entity", F.lit(entity)))
 
+    def located_rows(self, entity: str) -> DataFrame:
+        """The rows of a partitioned entity's located join, narrow and stored: ``_id_columns``, ``fid_t``, ``fid_h`` and, if it
+        has references, ``cands``.  Those that ``store_parts`` stored are used again."""
+        if entity not in self._narrow:
+            v = Verifier(self.schema, self.log, self.source, self.dest, self.user_np, self.dedupe)
+            v.store_joins = True
+            v._entity_checks(entity)
+            self._narrow[entity] = v._narrow[entity]
+        return self._narrow[entity]
+
     @staticmethod
     def _id_columns() -> list[Column]:
         """(sub, id, x, d) of a row of a partitioned entity's located join: is it expected (x), is it written (d)."""

@@ -124,3 +124,38 @@ def test_stream_input_is_written_by_all_parts(spark, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", kept)
     assert len([f for f in files(spark, made[0]) if f.endswith(".parquet")]) == 7
     assert rows == spark.read.parquet(f"{SF}/orders.parquet").count()
+
+
+def test_lines_are_gathered_with_the_columns_they_keep(spark, tmp_path):
+    from migrata.plans.scenario import lines_by_order
+    rows = [(1, 2, 7, 3.0, 9.5, "R", 4, 0.1, 0.2, "O", "x"), (1, 1, 7, 3.0, 9.5, "R", 4, 0.1, 0.2, "O", "x"),
+            (1, 2, 7, 3.0, 9.5, "R", 1, 0.0, 0.2, "O", "a"), (1, 2, 6, 3.0, 9.5, "N", 9, 0.1, 0.2, "O", "x"),
+            (1, 2, 6, None, 9.5, "N", 9, 0.1, 0.2, "O", "x"), (None, None, 5, 1.0, 1.0, None, 1, 0.0, 0.0, "F", "b")]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_extendedprice double, l_returnflag string, "
+                          "l_suppkey long, l_discount double, l_tax double, l_linestatus string, l_shipdate string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = lines_by_order(spark, str(tmp_path))
+    got = {r.order_id: [tuple(x) for x in r.lines] for r in out.collect()}
+    assert got == {1: [(1, 7, 3.0, 9.5, "R"), (2, 6, None, 9.5, "N"), (2, 6, 3.0, 9.5, "N"), (2, 7, 3.0, 9.5, "R"), (2, 7, 3.0, 9.5, "R")],
+                   None: [(None, 5, 1.0, 1.0, None)]}
+    p = plan(out)
+    assert "l_shipdate" not in p and "l_suppkey" not in p
+    # plain rows are dealt: nothing is gathered below the exchange
+    steps = plan(lines_by_order(spark, str(tmp_path)), "simple")
+    assert "collect_list" in steps and "collect_list" not in steps[steps.index("Exchange"):]
+
+
+def test_ablation_locates_its_rows_once(spark, monkeypatch):
+    from migrata.plans import catalog_misc
+    from migrata.plans.verify import Verifier
+    calls, made = [], Verifier._located
+    monkeypatch.setattr(Verifier, "_located", lambda self, entity: calls.append(entity) or made(self, entity))
+    assert catalog_misc.a_partition_ablation(spark, SF).count() == 10
+    assert calls.count("Event") == 1
+
+
+def test_located_rows_without_stored_checks(spark):
+    from migrata.plans import catalog_verify
+    v = catalog_verify.vs_written_verifier(spark, SF)
+    alone = v.located_rows("Event")
+    again = catalog_verify.vs_written_verifier(spark, SF).store_parts().located_rows("Event")
+    assert alone.exceptAll(again.select(*alone.columns)).isEmpty() and alone.count() == again.count() > 0
