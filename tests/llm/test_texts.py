@@ -334,3 +334,20 @@ def test_license_lines_and_odd_rows(spark, odd, empty):
     assert licenses.report(odd).count() == odd.count() and licenses.report(empty).count() == 0
     with pytest.raises(ValueError):
         licenses.Scanner({"big": "w " * (licenses.MAX_TEMPLATE_WORDS + 1)})
+
+
+def test_lines_alone_in_their_buckets_are_dealt_once(spark):
+    from pyspark.sql import functions as F
+
+    from migrata.llm import lines
+    rows = [(1, [10, 20], 0, 0), (2, [10, 21], 0, 0), (3, [10, 22], 0, 5), (4, [11, 23], 0, 0), (5, [12, 20], -1 >> 4, 0), (6, [13, 24], 0, 0)]
+    signatures = spark.createDataFrame(rows, "node long, keys array<long>, s1 long, s2 long")
+    shared = lines._shared(signatures)
+    assert {(r.key, r.node, r.centre) for r in shared.collect()} == {(10, 1, 3), (10, 2, 3), (10, 3, 3), (20, 1, 1), (20, 5, 1)}
+    # lines 1 and 5 differ in all their sketched fields
+    assert {(r.a, r.b) for r in lines._stars(shared).collect()} == {(1, 3), (2, 3)}
+    sliced = [lines._shared(signatures, k, 2) for k in range(2)]
+    assert sliced[0].unionAll(sliced[1]).exceptAll(shared).isEmpty() and sliced[0].count() + sliced[1].count() == 5
+    # a line of another component: 2 contests 1 and 3, which are one component
+    rooted = shared.withColumn("root", F.when(F.col("node") == 3, 1).otherwise(F.col("node")))
+    assert {(r.key, r.node) for r in lines._contested(rooted).collect()} == {(10, 1), (10, 2), (10, 3)}
