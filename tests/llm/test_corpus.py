@@ -234,6 +234,29 @@ def test_lines_that_share_a_passage_do_not_meet_pairwise(spark, monkeypatch):
     assert len(met) == 2 and met[1] < 200
 
 
+def test_lines_pairs_meet_their_texts_once(spark, monkeypatch):
+    # however many pairs there are, they are settled at once: no texts are dealt anew for a part of them
+    rng = random.Random(21)
+    texts = [" ".join(f"word{rng.randrange(40)}" for _ in range(8)) for _ in range(165)]
+    texts += [t[:-1] + "x" for t in texts] + ["abc", "abd", "aaaaaaaaa", "aaaaaa"]
+    sets = [{t[k:k + 5] for k in range(max(len(t) - 5, 0) + 1)} for t in texts]
+    alike = {(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert len(alike) > 100
+    lined = spark.createDataFrame(list(enumerate(texts)), "node long, line string")
+    ids = spark.range(len(texts))
+    found, made = lines.stored, []
+    monkeypatch.setattr(lines, "stored", lambda df, tag, *a: (made.append(tag), found(df, tag, *a))[1])
+    for _ in range(2):
+        pairs = found(ids.toDF("a").crossJoin(ids.toDF("b")).where("a < b").repartition(4), "pairs")
+        got = {(r["a"], r["b"]) for r in lines._verified(pairs, found(lined, "texts"), 0.8, 5).collect()}
+        assert got == alike and made == ["alike"]
+        # the second time the longer lines are settled row by row
+        monkeypatch.setattr(lines, "WHOLE", 50)
+        made.clear()
+        kept = lines._sets(lined, 5).groupBy("node").agg(F.count("h").alias("n"), F.count_distinct("h").alias("d")).collect()
+        assert {r["node"]: r["n"] for r in kept} == {k: len(x) for k, x in enumerate(sets)} and all(r["n"] == r["d"] for r in kept)
+
+
 def test_lines_odd_rows(odd, empty):
     kept = lines.dedupe(odd)
     assert kept.columns == odd.columns and kept.count() == odd.count()
