@@ -18,7 +18,7 @@ Classes are connected components of the links; a class carries its smallest docu
 
 Scale: fingerprints are a map over the texts, stored with the ids; equal fingerprints collapse by a
 map-side combined minimum before the join, so groups of copies cost one row; cells are hashed by their
-counts; the labels come back by equi-joins on the fingerprint whose hot keys AQE splits.
+counts, by a merge join whatever their size (a broadcast would hold every cell in the driver); the labels come back by equi-joins on the fingerprint whose hot keys AQE splits.
 
 Defined results: null and empty texts have fingerprint zero and are linked like any other; rows that repeat
 an id keep a row each; a null id never is a class id unless the class has no other; an empty table gives an
@@ -120,8 +120,9 @@ def links(distinct: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     upto = F.col("groups")
     for shift in (1, 2, 4, 8):
         upto = upto.bitwiseOR(F.shiftright(upto, shift))
-    return left.join(
-        right,
+    # Spark sizes what is exploded by its rows before: never broadcast
+    return left.hint("merge").join(
+        right.hint("merge"),
         (F.col("groups") == F.col("groups_b")) & (F.col("cell") == F.col("cell_b")) & (F.col("a") < F.col("b"))
         & (manhattan(p, q) <= max_bits) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
         & (agree.bitwiseAND(upto) == F.col("groups")),

@@ -91,6 +91,13 @@ def test_simhash_links_lose_nothing(spark):
     assert got == want
 
 
+def test_simhash_grid_is_never_broadcast(spark):
+    # 35 cells a fingerprint: what Spark takes for a few kilobytes would be a hash table of millions of rows
+    prints = spark.range(2000).select(F.xxhash64("id").alias("fp"))
+    plan = simhash.links(prints)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_simhash_keeps_one_of_each(spark, odd, empty):
     kept = simhash.keep_one(odd)
     assert kept.columns == odd.columns
