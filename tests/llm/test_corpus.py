@@ -241,6 +241,34 @@ def test_lines_that_share_a_passage_do_not_meet_pairwise(spark, monkeypatch):
     assert len(met) == 2 and met[1] < 200
 
 
+def test_lines_of_a_settled_bucket_do_not_meet_again(spark, monkeypatch):
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7))
+    rows = []
+    # two of a kind, not alike enough, meet as line and centre of buckets of their own
+    for k in range(60):
+        text = [word() for _ in range(40)]
+        rows += [(2 * k, " ".join(text)), (2 * k + 1, " ".join([*text[:34], *[word() for _ in range(6)]]))]
+    met, marked = [], []
+    verified, marks = lines._verified, lines._marks
+    monkeypatch.setattr(lines, "_verified", lambda pairs, *a: (met.append(pairs.count()), verified(pairs, *a))[1])
+    monkeypatch.setattr(lines, "_marks", lambda texts, *a: (marked.append(texts.count()), marks(texts, *a))[1])
+    assert all(r["n_gone"] == 0 for r in lines.report(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    # their texts are read once
+    assert met[0] > 40 and met[1:] == [0] and marked == [0]
+
+
+def test_lines_components_grow_by_their_roots(spark):
+    rng = random.Random(9)
+    first = [(a, b) for a, b in ((rng.randrange(200), rng.randrange(200)) for _ in range(120)) if a != b]
+    then = [(a, b) for a, b in ((rng.randrange(230), rng.randrange(230)) for _ in range(60)) if a != b]
+    link = lambda x: spark.createDataFrame(x, "a long, b long")
+    got = {r["node"]: r["root"] for r in lines._merged(graph.components(link(first)), link(then)).collect()}
+    roots = _roots(230, first + then)
+    assert got == {k: r for k, r in enumerate(roots) if r != k}
+    assert lines._merged(graph.components(link(first)), link([])).count() == graph.components(link(first)).count()
+
+
 def test_lines_pairs_meet_their_texts_once(spark, monkeypatch):
     # however many pairs there are, they are settled at once: no texts are dealt anew for a part of them
     rng = random.Random(21)
